@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import catalog_queries, market_queries
+
 
 def queries() -> dict:
-    return {}
+    return catalog_queries.QUERIES | market_queries.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return catalog_queries.SQL | market_queries.SQL
