@@ -5,7 +5,8 @@ Across documents, normalised lines are hashed, distinct documents are counted pe
 lines above the limits are removed, and documents that lose too much are rejected.  All
 of it is DataFrame and SQL functions.
 
-Shape at scale: no text is shuffled, only 8-byte line hashes with a word count.  The two
+Shape at scale: no text is shuffled, only 8-byte line hashes with a word count, which are
+staged once in the shared folder.  The two
 counts are partial aggregates, so a line that a third of all documents share sends one
 row per task; the join back to the lines has no grouping above it in its stage, so
 adaptive execution may split a hot line's partition.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sql_let
+from .common import sql_let, stage
 
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 _BLANKS = r"translate(%s, ' \t\n\u000b\u000c\r', '')"
@@ -60,14 +61,19 @@ def text_rules(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), ((n < 50) | (100 * r > 50 * n)).alias("base_failed"))
 
 
+def _normal_lines(text: str) -> str:
+    """The lines of a text, normalised: single characters over the whole text, runs of space only in lines that have them."""
+    flat = rf"translate(lower(coalesce({text}, '')), '0123456789\t\u000b\u000c\r', '0000000000    ')"
+    return rf"transform(split({flat}, '\n'), x -> trim(IF(contains(x, '  '), regexp_replace(x, ' +', ' '), x)))"
+
+
 def text_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """(doc_id, host, content, line, words): one row for each non-blank line.
 
     A line is normalised by lower case, collapsed space and digits read as 0; ``content`` is
     a hash of the whole text, by which exact copies count as one document.
     """
-    norm = rf"trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0'), '{_SPACE}', ' '))"
-    lines = rf"filter(transform(split(coalesce(text, ''), '\n'), x -> {norm}), x -> x <> '')"
+    lines = f"filter({_normal_lines('text')}, x -> x <> '')"
     coded = rf"transform({lines}, x -> named_struct('line', xxhash64(x), 'words', length(x) - length(translate(x, ' ', '')) + 1))"
     return docs.select("doc_id", F.col(host).alias("host"), F.xxhash64("text").alias("content"), F.explode(F.expr(coded)).alias("l")).select("doc_id", "host", "content", "l.line", "l.words")
 
@@ -81,7 +87,7 @@ def frequent_lines(lines: DataFrame, least: int = 20, share: float = 0.02) -> Da
     return both.where(F.col("n") > share * F.col("docs")).select("host", "line")
 
 
-def judge(docs: DataFrame, host: str = "source", least: int = 20, share: float = 0.02, most_lost: float = 0.7) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", least: int = 20, share: float = 0.02, most_lost: float = 0.7, scope: str = "lines") -> DataFrame:
     """The columns of `text_rules`, words in removed lines (``removed_words``), and ``kept``.
 
     ``kept`` is false if ``base_failed``, or if more than ``most_lost`` of the words stand
@@ -89,7 +95,7 @@ def judge(docs: DataFrame, host: str = "source", least: int = 20, share: float =
     their own text for the rules and by all their lines together for the loss.  Empty
     tables give empty tables; other columns are not looked at.
     """
-    lines = text_lines(docs, host)
+    lines = stage(text_lines(docs, host), scope)
     often = frequent_lines(lines, least, share).select(F.col("host").alias("of"), F.col("line").alias("is"))
     gone = lines.join(often, (F.col("line") == F.col("is")) & F.col("host").eqNullSafe(F.col("of")))
     lost = gone.groupBy("doc_id").agg(F.sum("words").alias("removed_words")).withColumnRenamed("doc_id", "in")
@@ -106,8 +112,10 @@ def clean(docs: DataFrame, host: str = "source", least: int = 20, share: float =
     """
     often = frequent_lines(text_lines(docs, host), least, share)
     flat = often.groupBy("host").agg(F.collect_set("line").alias("gone")).withColumnRenamed("host", "of")
-    norm = rf"trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0'), '{_SPACE}', ' '))"
-    kept = F.expr(rf"array_join(filter(split(`__row`.text, '\n'), x -> NOT array_contains(gone, xxhash64({norm}))), '\n')")
+    kept = F.expr(
+        rf"array_join(transform(filter(arrays_zip(split(`__row`.text, '\n'), {_normal_lines('`__row`.text')}), "
+        "x -> NOT array_contains(gone, xxhash64(x.`1`))), x -> x.`0`), '\n')"
+    )
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
     both = rows.join(flat, F.col("__row")[host].eqNullSafe(F.col("of")), "left")
