@@ -216,7 +216,7 @@ def near_components(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0
     one = rows.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"))
     one = stage(one.select(F.col("at.doc_id").alias("id"), F.col("at.text_key").alias("key")).distinct(), scope)
     one = broadcast_if_small(one, 500_000)  # two longs a row
-    chosen = docs.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select("text")
+    chosen = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select("text")
     sets = stage(element_sets(chosen, n).dropDuplicates(["node"]), scope)
 
     links = link(members, verifier(sets, t), scope)
@@ -237,5 +237,5 @@ def keep_first(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0.8, s
     Rows with equal doc_id stand or fall together.
     """
     parts = near_components(docs, n, threshold, scope)
-    gone = stage(parts.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), scope)
-    return docs.join(broadcast_if_small(gone, 500_000), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = stage(parts.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), scope)
+    return docs.join(broadcast_if_small(gone, 500_000), F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -33,7 +33,7 @@ EVERY = 8
 
 
 @lru_cache(None)
-def tune_bands(threshold: float, recall: float = 0.995, most: int = 256) -> tuple[int, int]:
+def tune_bands(threshold: float, recall: float = 0.999, most: int = 256) -> tuple[int, int]:
     """(bands, rows): the fewest hash values with that recall at the threshold, preferring few chance collisions.
 
     Pairs at Jaccard j collide with probability 1 - (1 - j**rows)**bands.
@@ -149,7 +149,7 @@ def _sets(docs: DataFrame, least: int, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, elements array<long>")
 
 
-def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8, recall: float = 0.995, scope: str = "paragraphs") -> DataFrame:
+def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8, recall: float = 0.999, scope: str = "paragraphs") -> DataFrame:
     """(doc_id, text_key, at, words, component, kept): units that occur in several documents.
 
     ``at`` counts words of the text from 0.  The first unit of a component, by doc_id (nulls
@@ -169,7 +169,7 @@ def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8
     one = some.join(near, "unit", "left_semi").groupBy("unit").agg(F.min(F.struct("doc_id", "text_key")).alias("o"))
     one = stage(one.select(F.col("o.doc_id").alias("id"), F.col("o.text_key").alias("key")).distinct(), scope)
     one = broadcast_if_small(one, 500_000)  # two longs a row
-    chosen = docs.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select("text")
+    chosen = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select("text")
     sets = _sets(chosen, least, n).join(near.withColumnRenamed("unit", "node"), "node", "left_semi").dropDuplicates(["node"])
     links = link(members, verifier(stage(sets, scope), t), scope)
     comp = components(links, scope).withColumnRenamed("node", "unit")
@@ -192,7 +192,7 @@ def _merged(spans) -> str:
     )
 
 
-def repeat_report(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8, recall: float = 0.995, scope: str = "paragraphs") -> DataFrame:
+def repeat_report(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8, recall: float = 0.999, scope: str = "paragraphs") -> DataFrame:
     """A row for each passage that a document shares with others: doc_id, start and end (words from 0), n_words, removed, first_doc.
 
     Overlapping units are one passage, apart for those removed and those kept.  ``first_doc``
@@ -206,24 +206,22 @@ def repeat_report(docs: DataFrame, least: int = 20, n: int = 5, threshold: float
     return flat.select("doc_id", F.col("p.at").alias("start"), F.col("p.to").alias("end"), (F.col("p.to") - F.col("p.at")).alias("n_words"), (~F.col("kept")).alias("removed"), "first_doc")
 
 
-def remove(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8, recall: float = 0.995, scope: str = "paragraphs") -> DataFrame:
+def remove(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8, recall: float = 0.999, scope: str = "paragraphs") -> DataFrame:
     """``docs`` without the repeated passages; n_chars, if there, follows; texts left without a word go.
 
     Documents with nothing to remove are untouched.  Other columns stay.
     """
     found = repeats(docs, least, n, threshold, recall, scope).where("NOT kept")
     gone = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("words")).alias("to")))).alias("s"))
-    gone = stage(gone.select(F.col("doc_id").alias("of"), F.col("text_key").alias("key"), F.expr(_merged("s")).alias("spans")), scope)
+    gone = stage(gone.select(F.col("doc_id").alias("__of"), F.col("text_key").alias("__key"), F.expr(_merged("s")).alias("__spans")), scope)
     names = docs.columns
-    cut = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (text_key(F.col("text")) == F.col("key")))
+    on = F.col("doc_id").eqNullSafe(F.col("__of")) & text_key(F.col("text")).eqNullSafe(F.col("__key"))
     # Each word goes with the white space before it.
-    tokens = r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"
-    space = r"split(text, '[^\\x20\\x09-\\x0D]+')"
-    left = f"filter(transform({tokens}, (w, i) -> named_struct('t', concat(element_at(sp, i + 1), w), 'i', i)), x -> NOT exists(spans, p -> x.i >= p.at AND x.i < p.to))"
-    text = F.expr(f"trim(BOTH ' \\n' FROM array_join(transform({left}, x -> x.t), ''))")
-    cut = cut.withColumn("sp", F.expr(space)).withColumn("new", text).where("new <> ''")
-    fresh = {"text": F.col("new"), "n_chars": F.length("new").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    cut = cut.select(*[fresh.get(c, F.col(f"`{c}`")).alias(c) for c in names])
-    key = gone.select("of", "key")
-    same = docs.join(key, F.col("doc_id").eqNullSafe(F.col("of")) & text_key(F.col("text")).eqNullSafe(F.col("key")), "left_anti")
-    return same.unionByName(cut)
+    words, space = (r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)", r"split(text, '[^\\x20\\x09-\\x0D]+')")
+    pairs = f"transform(arrays_zip({space}, {words}), (x, i) -> named_struct('t', concat(x.`0`, x.`1`), 'i', i))"
+    left = f"filter({pairs}, x -> x.t IS NOT NULL AND NOT exists(__spans, p -> x.i >= p.at AND x.i < p.to))"
+    new = F.expr(f"trim(BOTH ' \\n' FROM array_join(transform({left}, x -> x.t), ''))")
+    cut = docs.join(gone, on, "left").withColumn("__new", F.when(F.col("__spans").isNotNull(), new)).where("__spans IS NULL OR __new <> ''")
+    size = F.length("__new").cast(dict(docs.dtypes).get("n_chars", "long"))
+    fresh = {"text": F.col("__new"), "n_chars": size}
+    return cut.select(*[(F.when(F.col("__spans").isNull(), F.col(f"`{c}`")).otherwise(fresh[c]) if c in fresh else F.col(f"`{c}`")).alias(c) for c in names])
