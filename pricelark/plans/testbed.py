@@ -63,6 +63,7 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as offers; (order, seller, line, quantity) tells a part's apart."""
     s, n = F.col("l_suppkey"), F.col("l_linenumber")
     flag = F.col("l_returnflag")
     money = F.expr("CAST(round(l_extendedprice * 100) AS BIGINT) DIV CAST(l_quantity AS BIGINT)")
@@ -75,7 +76,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "F", "Немає в наявності").otherwise("В наявності").alias("availability"), confidence.alias("confidence"), (n >= 3).alias("is_analog"),
         F.when(s % 3 == 0, F.concat(F.lit("https://img/"), s.cast("string"))).alias("image_url"), F.when(n % 2 == 0, "new").alias("condition"), F.lit(None).cast("string").alias("stock"),
     )
-    return rows.dropDuplicates(["query_id", "source", "offer_ord"])
+    return rows
 
 
 def fine_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,13 +121,13 @@ SQL = {
     "keyed": """keyed AS (SELECT *, CASE WHEN regexp_replace(upper(regexp_replace(coalesce(sku, ''), '[^0-9A-Za-z]+', '', 'g')), 'KEMP$', '') = '' THEN CAST(id AS VARCHAR)
   ELSE regexp_replace(upper(regexp_replace(coalesce(sku, ''), '[^0-9A-Za-z]+', '', 'g')), 'KEMP$', '') END AS group_key FROM cat)""",
     "ranked": """ranked AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY (cents IS NULL OR cents <= 0), cents ASC NULLS LAST, id) AS rn, count(*) OVER (PARTITION BY group_key) AS group_size FROM keyed)""",
-    "offer": f"""offer AS (SELECT DISTINCT ON (query_id, source, offer_ord) * FROM (SELECT l_partkey AS query_id, CASE l_returnflag WHEN 'A' THEN 'prom' WHEN 'N' THEN 'avtopro' ELSE 'google' END AS source,
+    "offer": f"""offer AS (SELECT l_partkey AS query_id, CASE l_returnflag WHEN 'A' THEN 'prom' WHEN 'N' THEN 'avtopro' ELSE 'google' END AS source,
   CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS source_ord, l_orderkey * 10000000000 + l_suppkey * 10000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS offer_ord, {pick_sql(TITLES, 'l_orderkey')} AS title,
   CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT) AS cents, CASE l_suppkey % 10 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'UAH' END AS currency, l_suppkey AS seller,
   'https://shop' || l_suppkey || CASE l_suppkey % 4 WHEN 0 THEN '.com' WHEN 1 THEN '.kemp.ua' ELSE '.ua' END || '/p' || l_orderkey AS url,
   CASE l_linestatus WHEN 'F' THEN 'Немає в наявності' ELSE 'В наявності' END AS availability,
   CASE l_linenumber WHEN 1 THEN 95 WHEN 2 THEN 90 WHEN 3 THEN 75 WHEN 4 THEN 70 WHEN 5 THEN 55 ELSE 50 END AS conf, l_linenumber >= 3 AS is_analog,
-  CASE WHEN l_suppkey % 3 = 0 THEN 'https://img/' || l_suppkey END AS image_url, CASE WHEN l_linenumber % 2 = 0 THEN 'new' END AS condition FROM lineitem))""",
+  CASE WHEN l_suppkey % 3 = 0 THEN 'https://img/' || l_suppkey END AS image_url, CASE WHEN l_linenumber % 2 = 0 THEN 'new' END AS condition FROM lineitem)""",
     "fine": "fine AS (SELECT * REPLACE (query_id * 10 + source_ord * 2 + CASE WHEN availability = 'В наявності' THEN 1 ELSE 0 END AS query_id) FROM offer)",
     "observation": """observation AS (SELECT user_id AS listing_id, event_id AS seq, CAST(round(value) AS BIGINT) AS price_cents, 'UAH' AS currency,
   CASE WHEN event_type = 'error' THEN NULL ELSE event_type IN ('purchase', 'view') END AS is_available, ts AS observed_at FROM events)""",
