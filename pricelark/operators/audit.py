@@ -74,3 +74,8 @@ def signals(offers: DataFrame) -> DataFrame:
         F.count_if(text.stock_of(F.col("availability")) == "out_of_stock").alias("out_of_stock"), F.count_if(text.any_of(F.col("title"), (r"\bкомплект\w*", r"\bнабір\b", r"\bнабор\b"))).alias("sets"),
         F.count_if(text.is_used(F.col("title"))).alias("used"), F.count_if(low).alias("low_analogs"), F.count_if(F.col("image_url").isNotNull()).alias("with_image"),
     )
+
+
+def summary(stats: DataFrame) -> DataFrame:
+    """Reports by thin market: how many, their offers and strong prices, and how many have a recommendation."""
+    return stats.groupBy("thin_market").agg(F.count("*").alias("reports"), F.sum("offers_total").alias("offers"), F.sum("strong_total").alias("strong"), F.count("recommended_price").alias("recommended"))

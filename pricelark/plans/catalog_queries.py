@@ -427,3 +427,71 @@ def order_numbers(spark, d):
     k, s = F.col(_K).cast("string"), F.col("p_size").cast("string")
     raw = F.when(F.col(_K) % 2 == 0, F.array(k, F.concat(F.lit("A"), k), s, k)).otherwise(F.array(k, F.concat(F.lit("B"), s), k))
     return p.select("p_partkey", F.array_join(text.order_numbers(raw), ";").alias("numbers"))
+
+
+_CURRENCIES = ("грн", " грн. ", "₴", "", "usd", " EUR ", "uah", "gbpound")
+_SYMBOLS = ("грн", "$", "€", "?")
+_IMAGES = (" https://i.ua/a.jpg ", "ftp://i.ua", "", "http://i.ua/b", "data:x")
+
+
+@query(
+    f"""WITH c AS (SELECT p_partkey, {t.pick_sql(_CURRENCIES, 'p_partkey')} AS c, {t.pick_sql(_SYMBOLS, 'p_partkey')} AS s FROM part)
+SELECT p_partkey, CASE WHEN upper(trim(c)) IN ('', 'ГРН', 'ГРН.', '₴') THEN 'UAH' ELSE upper(trim(c)) END AS label, CASE WHEN trim(c) = '' THEN 'UAH' ELSE substr(upper(trim(c)), 1, 3) END AS code, CASE s WHEN '$' THEN 'USD' WHEN '€' THEN 'EUR' ELSE 'UAH' END AS symbol FROM c"""
+)
+def currencies(spark, d):
+    c, s = t.pick(_CURRENCIES, F.col(_K)), t.pick(_SYMBOLS, F.col(_K))
+    return t.table(spark, d, "part").select("p_partkey", money.currency_label(c).alias("label"), money.currency_code(c).alias("code"), money.currency_of_symbol(s).alias("symbol"))
+
+
+@query(f"WITH c AS (SELECT p_partkey, trim({t.pick_sql(_IMAGES, 'p_partkey')}) AS i FROM part) SELECT p_partkey, CASE WHEN i LIKE 'http://%' OR i LIKE 'https://%' THEN i END AS image FROM c")
+def image_url(spark, d):
+    return t.table(spark, d, "part").select("p_partkey", urls.image_url(t.pick(_IMAGES, F.col(_K))).alias("image"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_partkey % 2 = 0 AS has, CASE WHEN p_partkey % 3 > 0 THEN p_size END AS discounted, CASE WHEN p_partkey % 5 > 0 THEN p_size * 2 ELSE 0 END AS price, CASE WHEN p_partkey % 7 > 0 THEN p_size * 3 END AS original FROM part)
+SELECT p_partkey, CAST(100 * coalesce(CASE WHEN has AND discounted > 0 THEN discounted END, CASE WHEN price > 0 THEN price END, CASE WHEN original > 0 THEN original END) AS BIGINT) AS price_cents FROM p"""
+)
+def effective_price(spark, d):
+    k, size = F.col(_K), F.col("p_size").cast("decimal(14,2)")
+    price = money.effective_price(F.when(k % 5 > 0, size * 2).otherwise(F.lit(0)), F.when(k % 7 > 0, size * 3), F.when(k % 3 > 0, size), k % 2 == 0)
+    return t.table(spark, d, "part").select("p_partkey", money.cents(price).alias("price_cents"))
+
+
+@query(
+    """SELECT o_orderkey, replace(CASE WHEN o_orderkey % 2 = 0 THEN format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) ELSE format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || '.50' END, ',', ' ') AS shown,
+day(o_orderdate) || ' ' || (['січня', 'лютого', 'березня', 'квітня', 'травня', 'червня', 'липня', 'серпня', 'вересня', 'жовтня', 'листопада', 'грудня'])[month(o_orderdate)] || ' ' || year(o_orderdate) || ' о ' || strftime(o_orderdate, '%H:%M') AS day FROM orders"""
+)
+def display_formats(spark, d):
+    whole = F.floor("o_totalprice").cast("decimal(14,2)")
+    price = F.when(F.col("o_orderkey") % 2 == 0, whole).otherwise((whole + F.lit("0.50").cast("decimal(14,2)")).cast("decimal(14,2)"))
+    return t.table(spark, d, "orders").select("o_orderkey", money.display_price(price).alias("shown"), money.display_date(F.col("o_orderdate").cast("timestamp")).alias("day"))
+
+
+@query(
+    """WITH v AS (SELECT p_partkey AS item, r.run, (['same', 'analog', 'no'])[CAST(p_partkey * r.run % 3 AS INT) + 1] AS verdict FROM part, (SELECT unnest(range(3)) AS run) r)
+SELECT CAST(a.run AS INT) AS run_a, CAST(b.run AS INT) AS run_b, round_even(CAST(count(*) FILTER (a.verdict <> b.verdict) AS DOUBLE) / count(*), 4) AS rate FROM v a JOIN v b ON a.item = b.item AND a.run < b.run GROUP BY a.run, b.run"""
+)
+def run_disagreement(spark, d):
+    runs = t.table(spark, d, "part").select(F.col(_K).alias("item"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("run"))
+    return audit.disagreement(runs.withColumn("verdict", t.pick(("same", "analog", "no"), F.col("item") * F.col("run"))))
+
+
+@query(with_("observation") + "SELECT date_trunc('hour', observed_at) AS start, listing_id, count(*) AS n, min(price_cents) AS low, max(price_cents) AS high FROM observation GROUP BY ALL")
+def price_windows(spark, d):
+    from ..streaming import observations
+
+    w = observations.windowed(t.observations(spark, d))
+    return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "listing_id", "n", "low", "high")
+
+
+_TOPIC = _PAIR_SQL + """, s AS (SELECT a, b, list_distinct(list_transform(list_filter(ta, lambda w: length(w) >= 4), lambda w: substr(w, 1, 4))) AS sa, list_distinct(list_transform(list_filter(tb, lambda w: length(w) >= 4), lambda w: substr(w, 1, 4))) AS sb FROM pair WHERE i > 0)
+SELECT a, b, len(list_intersect(sa, sb)) > 0 AS topic FROM s"""
+
+
+@query(_TOPIC)
+def topic_overlap(spark, d):
+    names = _texts(spark, d).select("title").distinct().select("title", F.array_distinct(text.name_tokens(F.col("title"))).alias("ts"))
+    a = names.select(F.col("title").alias("a"), F.col("ts").alias("ta"), F.explode("ts").alias("w"))
+    b = names.select(F.col("title").alias("b"), F.col("ts").alias("tb"), F.explode("ts").alias("w"))
+    return a.join(b, "w").select("a", "b", "ta", "tb").distinct().select("a", "b", text.topic_overlap(F.col("ta"), F.col("tb")).alias("topic"))

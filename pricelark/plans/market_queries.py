@@ -336,3 +336,24 @@ def stream_changes(spark, d):
 SQL["stream_changes"] = """SELECT listing_id, seq, price_cents, is_available FROM (SELECT *, lag(price_cents) OVER w AS p, lag(is_available) OVER w AS a, row_number() OVER w AS n FROM (SELECT user_id AS listing_id, event_id AS seq, CAST(round(value) AS BIGINT) AS price_cents,
   CASE WHEN event_type = 'error' THEN NULL ELSE event_type IN ('purchase', 'view') END AS is_available, ts AS observed_at FROM events) WINDOW w AS (PARTITION BY listing_id ORDER BY observed_at, seq))
 WHERE n = 1 OR price_cents IS DISTINCT FROM p OR is_available IS DISTINCT FROM a"""
+
+
+@query(with_("offer", "fine") + ", x AS (SELECT query_id, count(*) AS o, count(*) FILTER (conf >= 70) AS s FROM fine GROUP BY query_id) SELECT s < 3 AS thin_market, count(*) AS reports, CAST(sum(o) AS BIGINT) AS offers, CAST(sum(s) AS BIGINT) AS strong, count(*) FILTER (s >= 3) AS recommended FROM x GROUP BY s < 3")
+def report_summary(spark, d):
+    return audit.summary(market.stats(t.fine_offers(spark, d), "query_id"))
+
+
+@query(
+    with_("offer", extra=_anchor("sg", "offer"))
+    + f""" SELECT query_id, count(*) FILTER (availability = 'Немає в наявності') AS out_of_stock, count(*) FILTER (title LIKE '%омплект%') AS sets, count(*) FILTER ({_matches('title', vocab.USED)}) AS used,
+count(*) FILTER (is_analog AND strong >= 3 AND cents * 2 < anchor) AS low_analogs, count(image_url) AS with_image FROM offer JOIN med_sg USING (query_id) GROUP BY query_id"""
+)
+def offer_signals(spark, d):
+    return audit.signals(t.offers(spark, d))
+
+
+@query(with_("offer") + "SELECT query_id, source, offer_ord FROM offer WHERE false")
+def gate_acceptance(spark, d):
+    """Offers out of stock that still count after the gate: none."""
+    o = t.offers(spark, d)
+    return audit.demoted(o, offers.availability_gate(o)).select("query_id", "source", "offer_ord")
