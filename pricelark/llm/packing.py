@@ -14,6 +14,8 @@ grows with the input; what is exchanged shrinks from round to round.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,14 +88,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: in
 
     def cut(batches):
         enc = tokens.encoder(tokenizer)
-        end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
-        for batch in (s for b in batches for s in tokens.slices(b)):
-            out = []
-            for row, doc, data in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
-                ids = np.frombuffer(data + end, enc.dtype).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), length)):
-                    part = ids[at : at + length]
-                    out.append((row, doc, k, at, len(part), tokens.crc32(part), part.tobytes()))
+        for batch in (s for b in batches for s in tokens.slices(b, 4096)):
+            every, counts = enc.encode_with_end(batch.column("text"), end_id)
+            every, out, first = every.astype("<u4"), [], 0
+            for row, doc, n in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), counts.tolist()):
+                for k, at in enumerate(range(0, n, length)):
+                    part = every[first + at : first + min(at + length, n)].tobytes()
+                    out.append((row, doc, k, at, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
+                first += n
             columns = list(zip(*out)) if out else [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             names = ["row", "doc_id", "piece", "start", "length", "ids_crc32", "ids"]

@@ -3,7 +3,7 @@
 Format.  A data set is a folder with two Parquet tables.  ``table``: the shared frequency
 of every symbol that occurs, out of 2**20.  ``blocks``: independent blocks in ascending
 document order (part, then seq), each with its documents' ids and token counts, and a
-payload.  A payload interleaves up to 1024 lanes: symbol ``i`` belongs to lane
+payload.  A payload interleaves up to 4096 lanes: symbol ``i`` belongs to lane
 ``i % lanes``; states are 64-bit and shed 32-bit words, which all lanes share in the order
 in which a decoder asks for them.  Every ``STEP`` rows the lane states and the word
 position are kept (a checkpoint), with the crc32 of the symbols up to the next one, so
@@ -30,7 +30,7 @@ from .common import broadcast_if_small, partitions, stage, staging
 
 BITS = 20
 LOW = np.uint64(1 << 31)
-LANES = 1024
+LANES = 4096
 STEP = 128  # rows between checkpoints
 BLOCK = LANES * 256  # tokens in a block, unless one document is longer
 
@@ -118,24 +118,28 @@ class Coder:
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-IDS = "part int, seq long, doc_id long, local_start long, n_tokens long, ids binary"
+#: The last row of each part has the counts of all its symbols and nothing else.
+IDS = "part int, seq long, doc_id long, local_start long, n_tokens long, ids binary, counts binary"
 BLOCKS = "part int, seq long, tokens long, doc_ids array<long>, counts array<long>, payload binary"
 READ = "part int, doc_id long, local_start long, ids binary"
 
 
 def _numbered(path: str, end_id: int | None):
+    names = ["part", "seq", "doc_id", "local_start", "n_tokens", "ids", "counts"]
+
     def run(batches):
         enc, part, seq, at = tokens.encoder(path), TaskContext.get().partitionId(), 0, 0
-        end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
-        for batch in (s for b in batches for s in tokens.slices(b)):
-            ids = [x + end for x in enc.encode(batch.column("text").to_pylist())]
-            n = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)
-            starts = at + np.cumsum(n) - n
+        total = np.zeros(enc.size, np.int64)
+        for batch in (s for b in batches for s in tokens.slices(b, 4096)):
+            ids, n = enc.encode_with_end(batch.column("text"), end_id)
+            total += np.bincount(ids, minlength=enc.size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(seq, seq + len(ids))), batch.column("doc_id").cast(pa.int64()), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
-                names=["part", "seq", "doc_id", "local_start", "n_tokens", "ids"],
+                [pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(seq, seq + len(n))), batch.column("doc_id").cast(pa.int64()), pa.array(at + np.cumsum(n) - n), pa.array(n), tokens.binaries(ids, n), pa.nulls(len(n), pa.binary())],
+                names=names,
             )
-            seq, at = seq + len(ids), at + int(n.sum())
+            seq, at = seq + len(n), at + int(n.sum())
+        longs = [pa.nulls(1, pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *longs, pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
     return run
 
@@ -143,7 +147,7 @@ def _numbered(path: str, end_id: int | None):
 def ordered_ids(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFrame:
     """Token ids of every document in ascending doc_id order (nulls first, then by text)."""
     n = partitions(docs.sparkSession)
-    rows = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return rows.mapInArrow(_numbered(tokenizer, end_id), IDS)
 
@@ -163,11 +167,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, sc
     def count(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), wide), minlength=size)
+            for x in b.column("counts"):
+                total += np.frombuffer(x.as_buffer(), "<i8")
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["symbol", "n"])
 
-    counted = ids.select("ids").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
+    counted = ids.where("counts IS NOT NULL").select("counts").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
     counts = np.zeros(size, np.int64)
     counts[counted.column("symbol").to_numpy()] = counted.column("n").to_numpy()
     freq = frequencies(counts)
@@ -195,7 +199,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, sc
         if held:
             yield flush()
 
-    ids.select("part", "seq", "doc_id", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ids.where("seq IS NOT NULL").select("part", "seq", "doc_id", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -215,9 +219,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for part, start, docs, counts, data in zip(*(b.column(c) for c in ("part", "start", "doc_ids", "counts", "payload"))):
                 ids, counts = coder.decode(data.as_buffer()).astype("<u4"), np.array(counts.as_py(), np.int64)
                 to = np.cumsum(counts)
-                each = [ids[e - c : e].tobytes() for e, c in zip(to.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(each), part.as_py(), np.int32)), pa.array(docs.as_py(), pa.int64()), pa.array(start.as_py() + to - counts), pa.array(each, pa.binary())],
+                    [pa.array(np.full(len(to), part.as_py(), np.int32)), pa.array(docs.as_py(), pa.int64()), pa.array(start.as_py() + to - counts), tokens.binaries(ids, counts)],
                     names=["part", "doc_id", "local_start", "ids"],
                 )
 
