@@ -15,12 +15,13 @@ is shuffled once and no window spans the table.
 from __future__ import annotations
 
 import base64
+import math
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions
@@ -106,6 +107,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _place(doc_id: Column, ends: list[int]) -> Column:
+    """How many of the sorted ``ends`` are smaller: first among every k-th, then within its group of k, k = sqrt(n)."""
+    if not ends:
+        return F.lit(0)
+    k = math.isqrt(len(ends) - 1) + 1
+    groups = [ends[i : i + k] for i in range(0, len(ends), k)]
+    below = lambda values: F.size(F.filter(values, lambda e: e < doc_id))
+    group = below(F.lit([g[-1] for g in groups]))
+    return F.when(group == len(groups), F.lit(len(ends))).otherwise(group * k + below(F.get(F.array(*[F.lit(g) for g in groups]), group)))
+
+
 def with_successor(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` dealt by ranges of doc_id and sorted (nulls first, then by text).
 
@@ -117,7 +129,7 @@ def with_successor(docs: DataFrame) -> DataFrame:
     ids = docs.select("doc_id")
     ends = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
     ends = sorted(set(ends))
-    place = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e < F.col("doc_id"))) if ends else F.lit(0)
+    place = _place(F.col("doc_id"), ends)
     rows = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), 0).otherwise(place).cast("int").alias("range"))
     first_ids = {r["range"]: r["first"] for r in rows.groupBy("range").agg(F.min("doc_id").alias("first"), F.bool_or(F.col("doc_id").isNull()).alias("null")).select("range", F.when(~F.col("null"), F.col("first")).alias("first")).collect()}
     order = sorted(first_ids)

@@ -169,3 +169,11 @@ def test_fingerprints(which, request):
     assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"], r["near_edited"], r["near_next"]) for r in got) == sorted(want)
     if which == "corpus":
         assert np.mean([r["near_edited"] for r in got if r["n_chars"] > 200]) > 0.65 and np.mean([r["near_next"] for r in got]) < 0.05
+
+
+def test_place(spark):
+    from pyspark.sql import functions as F
+
+    ends = [3, 7, 8, 20, 21, 40, 90]
+    got = spark.range(100).select("id", fingerprint._place(F.col("id"), ends).alias("p")).collect()
+    assert all(r["p"] == sum(e < r["id"] for e in ends) for r in got)
