@@ -12,8 +12,8 @@ Empty segments would meet everywhere.  The allowances therefore exceed H by a re
 whose empty segments fit the reserve leave them out and still meet elsewhere; sets with
 more of them (rare, by choice of the reserve) index them.  So nothing is lost.
 
-Shape at scale: exact copies share one set digest and count as one.  Entries are two
-longs; they are counted by partial aggregates, and only entries that meet go on, through a
+Shape at scale: texts are cut once and staged as entries; exact copies share one set digest
+and count as one.  Entries are two longs; they are counted by partial aggregates, and only entries that meet go on, through a
 join that adaptive execution may split.  Sets are fetched for candidates alone.
 """
 
@@ -153,27 +153,19 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def profiles(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, node) per row; node is the set's digest."""
-
-    def run(batches):
-        for b in (s for x in batches for s in slices(x)):
-            sets = [shingles(t, n) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], names=["doc_id", "text_key", "n_shingles", "node"])
-
-    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long")
-
-
 def indexed(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """(bucket, node): the index entries of every row's set."""
+    """(doc_id, text_key, n_shingles, node, buckets) per row: the set's digest and its index entries."""
 
     def run(batches):
         for b in (s for x in batches for s in slices(x)):
             sets = [shingles(t_, n) for t_ in b.column("text").to_pylist()]
-            sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), _lists([entries(s, t) for s in sets])], names=["node", "buckets"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").cast(pa.int64()), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), _lists([entries(s, t) if len(s) else s for s in sets])],
+                names=["doc_id", "text_key", "n_shingles", "node", "buckets"],
+            )
 
-    return docs.select("text").mapInArrow(run, "node long, buckets array<long>").select(F.explode("buckets").alias("bucket"), "node")
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, buckets array<long>")
 
 
 def element_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -185,23 +177,8 @@ def element_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, elements array<long>")
 
 
-def verifier(sets: DataFrame, t: Fraction):
-    """Exact verification of (a, b) pairs on element sets, in integers."""
-    p, q = t.numerator, t.denominator
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-        met = pairs.join(left, "a").join(right, "b")
-        near = F.least(F.size("x"), F.size("y")) * q >= F.greatest(F.size("x"), F.size("y")) * p
-        both = F.size(F.array_intersect("x", "y"))
-        return met.where(near).where(both * (p + q) >= p * (F.size("x") + F.size("y"))).select("a", "b")
-
-    return verify
-
-
 def near_components(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0.8, scope: str = "jaccard") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, n_links (links of its set that were used), component_id.
+    """Per row of ``docs``: doc_id, n_shingles, n_links (verified links of its set; those inside a component need not all be looked at), component_id.
 
     component_id is the smallest doc_id reachable by links, the row's own included.  A text without a
     word has an empty set, is linked with nothing and has its own doc_id; so has a null text.
@@ -210,8 +187,9 @@ def near_components(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0
     empty one.  Other columns are not looked at.
     """
     t = Fraction(threshold).limit_denominator(1000)
-    rows = stage(profiles(docs, n), scope)
-    members = meeting(indexed(docs, n, t), scope)
+    rows = stage(indexed(docs, n, t), scope)
+    members = meeting(rows.select(F.explode("buckets").alias("bucket"), "node"), scope)
+    rows = rows.drop("buckets")
     needed = members.select("node").distinct()
     one = rows.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"))
     one = stage(one.select(F.col("at.doc_id").alias("id"), F.col("at.text_key").alias("key")).distinct(), scope)
@@ -219,7 +197,7 @@ def near_components(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0
     chosen = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select("text")
     sets = stage(element_sets(chosen, n).dropDuplicates(["node"]), scope)
 
-    links = link(members, verifier(sets, t), scope)
+    links = link(members, sets, t, scope)
     comp = components(links, scope)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     named = rows.join(comp, "node", "left").join(degree, "node", "left")

@@ -1,21 +1,34 @@
-"""Links between items that share buckets, and the components they make.
-
-Items that share a bucket are candidates.  A bucket of n items has n * n / 2 pairs, which a
-group of near copies makes too many, yet components need a spanning set of links only.
-So each round compares a bucket's items with one of them, its pivot: the item that shares
-most buckets with others, which in a group of near copies is the one nearest all.  Then
-components are found; the pivot has met all others and leaves; buckets whose items all
-belong to one component are done.  Once the buckets that are left are small (few pairs for
-their items), or after ``rounds`` rounds, all pairs of items in different components that
-still share a bucket are compared.  No link between components is lost.
+"""Links between sets that share buckets, and the components they make.
+
+Sets that share a bucket are candidates for a link, Jaccard t or more.  A bucket of n sets has
+n * n / 2 pairs, too many for a group of near copies, where most pairs do not even link.  So
+each round compares a bucket's sets with one of them, its pivot h: the set that shares most
+buckets with others, in a group of near copies the one nearest all.  What the others may still
+link with follows from their differences from h, added (x - h) and removed (h - x) elements:
+
+* both linked with h: one component already;
+* x at c + (1 - t) or more, y below c (c = 1/2): no link, as 1 - Jaccard is a metric;
+* both below c + (1 - t): they stay together in their bucket, for the next pivot;
+* both at c or more, one not linked with h: a link allows them T differences, and they have
+  a + b differences from h, so they share (a + b - T) / 2 or more of those.  Either they share
+  an added element, or that many removed ones; then the numbers of their differences alone
+  exclude nearly all pairs, and a few removed elements in a fixed order suffice to bring the
+  rest together (a prefix filter).  Pairs that pass are compared.  An added element that very
+  many share (the pivot is itself edited there) makes a new bucket instead, for the next pivot.
+
+So a bucket loses its pivot and all nodes near it in each round.  Once buckets are small, or after
+``rounds`` rounds, all pairs of different components that still share a bucket are compared.
+No link between components is lost.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import broadcast_if_small, stage
 
 
 def components(edges: DataFrame, scope: str, most: int = 60) -> DataFrame:
@@ -39,48 +52,121 @@ def components(edges: DataFrame, scope: str, most: int = 60) -> DataFrame:
         new = stage(new, scope)
         # Done when every node has one link, to a node that has none: stars.
         first = new.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
-        open_ = first.where("n > 1").limit(1).count() or new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
+        tops = first.select("b").distinct().join(first.select(F.col("a").alias("b")), "b", "left_semi")
+        open_ = first.where("n > 1").select("b").unionByName(tops)
         now = new
-        if not open_:
+        if open_.isEmpty():
             break
     else:
         raise RuntimeError(f"components aren't stars after {most} steps")
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def link(members: DataFrame, verify, scope: str, rounds: int = 4) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, scope: str) -> DataFrame:
+    """Pairs (a, b) with their elements (x, y).  Only the sets that take part are moved."""
+    pairs = stage(pairs, scope)
+
+    def side(name: str, elements: str) -> DataFrame:
+        asked = broadcast_if_small(pairs.select(F.col(name).alias("node")).distinct(), 500_000)  # a long a row
+        return sets.join(asked, "node", "left_semi").select(F.col("node").alias(name), F.col("elements").alias(elements))
+
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+
+
+def _links(p: int, q: int, both: Column, nx: Column, ny: Column) -> Column:
+    """Jaccard p / q or more, in whole numbers."""
+    return both * (p + q) >= p * (nx + ny)
+
+
+def _star(pairs: DataFrame, sets: DataFrame, t: Fraction, scope: str) -> DataFrame:
+    """How each node stands to its pivot: linked, core, close, size, differences (a: added, r: removed), and these coded.
+
+    ``plus`` codes (pivot, added element) of close nodes; ``minus`` codes (pivot, removed element)
+    for as many as a pair without a common added element needs.
+    """
+    p, q = t.numerator, t.denominator
+    c = Fraction(1, 2)
+    rows = _compared(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, scope)
+    rows = rows.select("a", "b", "x", "y", F.size("x").cast("long").alias("nx"), F.size("y").cast("long").alias("ny"), F.size(F.array_intersect("x", "y")).cast("long").alias("both"))
+    both, nx, ny = F.col("both"), F.col("nx"), F.col("ny")
+    reaches = lambda f: both * (f.numerator + f.denominator) >= f.numerator * (nx + ny)
+    rows = rows.select("*", _links(p, q, both, nx, ny).alias("linked"), reaches(c + 1 - t).alias("core"), reaches(c).alias("close"))
+    added, removed = nx - both, ny - both
+    most = F.floor(nx * (q - p) / p)  # differences that any link of x allows
+    first = F.when(~F.col("linked"), most - added + 1).otherwise(0)
+    second = F.when(removed > added, removed - F.floor((added + removed) / 2) + 1).otherwise(0)
+    prefix = F.when(F.col("close") & (added <= most), F.greatest(first, second, F.lit(0))).otherwise(0).cast("int")
+    plus = F.when(F.col("close"), F.transform(F.array_except("x", "y"), lambda e: F.xxhash64(F.col("b"), e, F.lit(1))))
+    minus = F.transform(F.slice(F.array_sort(F.array_except("y", "x")), F.lit(1), prefix), lambda e: F.xxhash64(F.col("b"), e, F.lit(2)))
+    return rows.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "linked", "core", "close", "nx", added.alias("a"), removed.alias("r"), plus.alias("plus"), minus.alias("minus"))
+
+
+def _sharing(star: DataFrame, t: Fraction, most: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, buckets): close nodes that may link by what they share of their differences.
+
+    An added element that more than ``most`` nodes share makes a bucket.
+    """
+    p, q = t.numerator, t.denominator
+    facts = ["node", "linked", "nx", "a", "r"]
+    plus = star.where("close").select(F.explode("plus").alias("code"), *facts)
+    count = plus.groupBy("code").agg(F.count("*").alias("n"), F.bool_or(~F.col("linked")).alias("open")).where("n > 1 AND open")
+    plus = plus.join(count, "code")
+    buckets = plus.where(F.col("n") > most).select(F.col("code").alias("bucket"), "node")
+    few = plus.where(F.col("n") <= most).select("code", *facts)
+    minus = star.where("close AND size(minus) > 0").select(F.explode("minus").alias("code"), *facts)
+
+    def second(df):
+        return df.select("code", *[F.col(c).alias(f"{c}2") for c in facts])
+
+    allowed = F.floor((F.col("nx") + F.col("nx2")) * (q - p) / (q + p))
+    surplus = F.col("a") + F.col("r") + F.col("a2") + F.col("r2") - allowed
+    removed = F.least("r", "r2")
+    one = few.join(second(few), "code").where((F.col("node") < F.col("node2")) & ~(F.col("linked") & F.col("linked2")) & (surplus <= 2 * (F.least("a", "a2") + removed)))
+    open_, small = minus.where("NOT linked"), minus.where("r > a")
+    two = open_.join(second(small), "code").where((F.col("node") != F.col("node2")) & (surplus <= 2 * removed))
+    pairs = one.select("node", "node2").unionByName(two.select("node", "node2"))
+    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), buckets
+
+
+def link(members: DataFrame, sets: DataFrame, t: Fraction, scope: str, rounds: int = 2, most: int = 64) -> DataFrame:
     """Verified links (a, b) that connect whatever all candidate pairs would connect.
 
-    ``members`` has (bucket, node) rows, distinct.  ``verify`` takes distinct (a, b) pairs, a < b,
-    and returns those that link.
+    ``members``: distinct (bucket, node).  ``sets``: (node, elements), an array of distinct longs for
+    every node.
     """
-    links = None
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    left = stage(members.join(sizes, "bucket"), scope)
-    degree = left.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
-    left = stage(left.join(degree, "node").select("bucket", "node", "degree"), scope)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("x", "y"))
+        return _compared(pairs, sets, scope).where(_links(t.numerator, t.denominator, both, F.size("x"), F.size("y"))).select("a", "b")
+
+    links, left = None, members
     for r in range(rounds + 1):
-        size = left.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
-        if not size[0]:
+        sizes = stage(left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), scope)
+        total = sizes.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+        if not total[0]:
             break
-        last = r == rounds or size[1] <= 3 * size[0]
-        if not last:
-            pivot = left.groupBy("bucket").agg(F.max(F.struct(F.col("degree"), (-F.col("node")).alias("m"), F.col("node").alias("pivot")))["pivot"].alias("pivot"))
-            met = left.join(pivot, "bucket").where("node <> pivot")
-            pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        else:
-            each = left if r else left.withColumn("comp", F.col("node"))
-            other = each.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = each.select("bucket", F.col("node").alias("a"), "comp").join(other, "bucket").where("a < b AND comp <> comp_b").select("a", "b")
-        found = stage(verify(pairs.distinct()), scope)
+        sized = left.join(sizes, "bucket")
+        if r == rounds or total[1] <= 3 * total[0]:
+            named = sized.withColumn("comp", F.col("node"))
+            if links is not None:
+                named = sized.join(components(links, scope), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            named = named.select("bucket", "node", "comp")
+            other = named.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+            pairs = named.select("bucket", F.col("node").alias("a"), "comp").join(other, "bucket").where("a < b AND comp <> comp_b").select("a", "b").distinct()
+            found = stage(verified(pairs), scope)
+            return found if links is None else links.unionByName(found)
+        degree = sized.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
+        left = stage(sized.join(degree, "node").select("bucket", "node", "degree"), scope)
+        best = F.max(F.struct(F.col("degree"), (-F.col("node")).alias("m"), F.col("node").alias("pivot")))["pivot"]
+        pivot = left.groupBy("bucket").agg(best.alias("pivot"))
+        met = stage(left.join(pivot, "bucket").where("node <> pivot").select("bucket", "node", "pivot"), scope)
+        star = stage(_star(met.select("node", "pivot").distinct(), sets, t, scope), scope)
+        pairs, buckets = _sharing(star, t, most)
+        found = star.where("linked").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        found = found.unionByName(stage(verified(pairs), scope))
         links = found if links is None else links.unionByName(found)
-        if last:
-            break
-        comp = components(links, scope)
-        rest = left.join(pivot, "bucket").where("node <> pivot").select("bucket", "node", "degree")
-        rest = rest.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        left = stage(rest.join(mixed, "bucket").select("bucket", "node", "degree", "comp"), scope)
+        rest = met.join(star.where("NOT core").select("node", "pivot"), ["node", "pivot"]).select("bucket", "node")
+        left = stage(rest.unionByName(buckets).distinct(), scope)
     return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
 

@@ -7,8 +7,8 @@ their word 5-grams; bands, tuned for a recall at the threshold, put paragraphs i
 buckets; those that collide are verified by exact Jaccard and clustered by components.
 The first occurrence of a component, by doc_id, stays; the others are removed.
 
-Shape at scale: texts never move; units are hashes with a place.  Equal units are counted by
-partial aggregates, so a passage in a third of all documents costs a row for each task, and
+Shape at scale: texts are cut once and never move; units are hashes with a place, staged in
+the shared folder.  Equal units are counted by partial aggregates, so a passage in a third of all documents costs a row for each task, and
 near copies go through `links.link`, which makes no pairs inside what is already linked.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage
-from .jaccard import _lists, _signed, _words, mix, text_key, verifier
+from .jaccard import _lists, _signed, _words, mix, text_key
 from .links import components, link, meeting
 from .tokens import slices
 
@@ -63,88 +63,97 @@ def _roll(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 
 class Cut:
-    """The units of one text: hash, first word (counted in the text from 0), words, and the shingles of paragraphs."""
+    """The units of a batch of texts, as flat arrays.
 
-    def __init__(self, text: str | None, least: int, n: int, windows: bool = True):
-        lines = [line.split() for line in (text or "").encode().lower().split(b"\n")]
-        lengths = np.array([len(x) for x in lines], np.int64)
-        h = _hashes([w for x in lines for w in x])
+    Paragraphs and windows have a hash, a first word (counted in their text from 0) and the
+    number of their text; ``grams`` holds the paragraphs' shingles one after the other.
+    """
+
+    def __init__(self, texts: list[str | None], least: int, n: int, windows: bool = True):
+        cut = [[line.split() for line in (t or "").encode().lower().split(b"\n")] for t in texts]
+        h = _hashes([w for lines in cut for line in lines for w in line])
+        lengths = np.array([len(line) for lines in cut for line in lines], np.int64)
+        line_text = np.repeat(np.arange(len(cut)), [len(lines) for lines in cut])
         firsts = np.cumsum(lengths) - lengths
-        long_ = np.flatnonzero(lengths >= max(least, n))
-        self.at, self.words = firsts[long_], lengths[long_]
-        grams = mix(np.zeros(0, np.uint64)) if len(h) < n else _roll(h, np.arange(len(h) - n + 1), n)
-        spans = [(int(a), int(a + w - n + 1)) for a, w in zip(self.at, self.words)]
-        self.grams = [grams[a:b] for a, b in spans]
+        text_words = np.bincount(line_text, weights=lengths, minlength=len(cut)).astype(np.int64)
+        text_end = np.cumsum(text_words)
+        text_first = text_end - text_words
+
+        chosen = lengths >= max(least, n)
+        first, self.words, self.text = firsts[chosen], lengths[chosen], line_text[chosen]
+        self.at = first - text_first[self.text]
+        self.count = self.words - n + 1
+        self.starts = np.cumsum(self.count) - self.count
+        place = np.arange(int(self.count.sum())) - np.repeat(self.starts, self.count)
+        self.grams = _roll(h, np.repeat(first, self.count) + place, n)
         # A paragraph's hash is that of its word sequence: its grams, each with its place.
-        self.unit = np.array([int(np.bitwise_xor.reduce(mix(g + _U(0x9E3779B97F4A7C15) * np.arange(1, len(g) + 1, dtype=np.uint64)))) for g in self.grams], np.uint64)
+        placed = mix(self.grams + _U(0x9E3779B97F4A7C15) * (place + 1).astype(np.uint64))
+        self.unit = np.bitwise_xor.reduceat(placed, self.starts) if len(self.starts) else np.zeros(0, np.uint64)
+
+        self.window = self.window_at = self.window_text = np.zeros(0, np.int64)
         if windows and len(h) >= WINDOW:
             start = np.arange(len(h) - WINDOW + 1)
             start = start[mix(h[start] + (h[start + 1] << _U(1))) % _U(EVERY) == 0]
-            self.window_at, self.window = start, mix(_roll(h, start, WINDOW))
-        else:
-            self.window_at, self.window = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-
-def signature_keys(grams: list[np.ndarray], bands: int, rows: int) -> list[np.ndarray]:
-    """Band keys of each paragraph's set of grams."""
-    if not grams:
-        return []
-    flat = np.concatenate(grams)
-    starts = np.cumsum([0, *map(len, grams)])[:-1]
-    out = np.empty((len(grams), bands), np.uint64)
-    for b in range(bands):
-        key = np.full(len(grams), b + 1, np.uint64)
-        for r in range(rows):
-            seed = mix(np.array([b * rows + r + 1], np.uint64))[0]
-            key = mix(key + np.minimum.reduceat((flat ^ seed) * (seed | _U(1)) >> _U(8), starts))
-        out[:, b] = key
-    return list(out)
-
-
-UNITS = "doc_id long, text_key long, unit long, at int, words int"
+            of = np.searchsorted(text_end, start, "right")
+            inside = start + WINDOW <= text_end[of]
+            start, self.window_text = start[inside], of[inside]
+            self.window_at, self.window = start - text_first[self.window_text], mix(_roll(h, start, WINDOW))
+        self.window = self.window.astype(np.uint64)
+
+    def sets(self) -> list[np.ndarray]:
+        return [np.unique(self.grams[a : a + c]) for a, c in zip(self.starts.tolist(), self.count.tolist())]
+
+    def band_keys(self, bands: int, rows: int) -> np.ndarray:
+        """A row of band keys for each paragraph's set of grams."""
+        out = np.empty((len(self.unit), bands), np.uint64)
+        if not len(out):
+            return out
+        for b in range(bands):
+            key = np.full(len(out), b + 1, np.uint64)
+            for r in range(rows):
+                seed = mix(np.array([b * rows + r + 1], np.uint64))[0]
+                key = mix(key + np.minimum.reduceat((self.grams ^ seed) * (seed | _U(1)), self.starts))
+            out[:, b] = key
+        return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
 
 
-def units(docs: DataFrame, least: int, n: int) -> DataFrame:
-    """(doc_id, text_key, unit, at, words) of every paragraph and window."""
-
-    def run(batches):
-        for batch in (s for x in batches for s in slices(x)):
-            cuts = [Cut(t, least, n) for t in batch.column("text").to_pylist()]
-            count = [len(c.unit) + len(c.window) for c in cuts]
-            where = np.repeat(np.arange(len(cuts)), count)
-            cat = lambda f, kind: np.concatenate([f(c) for c in cuts] or [[]]).astype(kind)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()).take(pa.array(where)), batch.column("text_key").take(pa.array(where)), _signed(cat(lambda c: np.concatenate([c.unit, c.window]), np.uint64)),
-                 pa.array(cat(lambda c: np.concatenate([c.at, c.window_at]), np.int32)), pa.array(cat(lambda c: np.concatenate([c.words, np.full(len(c.window), WINDOW)]), np.int32))],
-                names=["doc_id", "text_key", "unit", "at", "words"],
-            )
-
-    return _keyed(docs).mapInArrow(run, UNITS)
+def units(docs: DataFrame, least: int, n: int, bands: int, rows: int) -> DataFrame:
+    """(row, doc_id, text_key, unit, at, words, buckets) per document, all but the first three arrays.
 
+    Paragraphs come before windows; ``buckets`` has the paragraphs' band keys one after the other.
+    """
+    schema = "row long, doc_id long, text_key long, unit array<long>, at array<int>, words array<int>, buckets array<long>"
 
-def banded(docs: DataFrame, least: int, n: int, bands: int, rows: int) -> DataFrame:
-    """(bucket, node): every paragraph's band keys."""
+    def nested(values: np.ndarray, counts: np.ndarray, kind) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values.astype(kind, copy=False)))
 
     def run(batches):
         for batch in (s for x in batches for s in slices(x)):
-            cuts = [Cut(t, least, n, windows=False) for t in batch.column("text").to_pylist()]
-            keys = signature_keys([g for c in cuts for g in c.grams], bands, rows)
-            node = np.concatenate([c.unit for c in cuts] or [np.zeros(0, np.uint64)]).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([_signed(node), _lists(keys)], names=["node", "buckets"])
+            c = Cut(batch.column("text").to_pylist(), least, n)
+            m = batch.num_rows
+            text = np.concatenate([c.text, c.window_text])
+            order = np.argsort(text, kind="stable")
+            each = np.bincount(text, minlength=m)
+            cat = lambda p, w: np.concatenate([p, w])[order]
+            keys = c.band_keys(bands, rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), nested(cat(c.unit, c.window).view(np.int64), each, np.int64), nested(cat(c.at, c.window_at), each, np.int32),
+                 nested(cat(c.words, np.full(len(c.window), WINDOW)), each, np.int32), nested(keys.reshape(-1).view(np.int64), bands * np.bincount(c.text, minlength=m), np.int64)],
+                names=["row", "doc_id", "text_key", "unit", "at", "words", "buckets"],
+            )
 
-    return docs.select("text").mapInArrow(run, "node long, buckets array<long>").select(F.explode("buckets").alias("bucket"), "node")
+    return _keyed(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, least: int, n: int) -> DataFrame:
     def run(batches):
         for batch in (s for x in batches for s in slices(x)):
-            cuts = [Cut(t, least, n, windows=False) for t in batch.column("text").to_pylist()]
-            node = np.concatenate([c.unit for c in cuts] or [np.zeros(0, np.uint64)]).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([_signed(node), _lists([np.unique(g) for c in cuts for g in c.grams])], names=["node", "elements"])
+            c = Cut(batch.column("text").to_pylist(), least, n, windows=False)
+            yield pa.RecordBatch.from_arrays([_signed(c.unit), _lists(c.sets())], names=["node", "elements"])
 
     return docs.select("text").mapInArrow(run, "node long, elements array<long>")
 
@@ -153,31 +162,33 @@ def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8
     """(doc_id, text_key, at, words, component, kept): units that occur in several documents.
 
     ``at`` counts words of the text from 0.  The first unit of a component, by doc_id (nulls
-    last), then text, then place, is ``kept``; so are those that overlap it there.
+    last), then text, then place, is ``kept``; so are those of the component in that document.
     """
-    found = units(docs, least, n)
     bands, rows = tune_bands(threshold, recall)
-    members = meeting(banded(docs, least, n, bands, rows), scope)
     t = Fraction(threshold).limit_denominator(1000)
-
-    counts = found.groupBy("unit").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    shared = counts.where("lo <> hi OR a <> b").select("unit")
+    cut = stage(units(docs, least, n, bands, rows), scope)
+    banded = cut.select(F.explode(F.transform("buckets", lambda x, i: F.struct(x.alias("bucket"), F.get(F.col("unit"), F.floor(i / bands).cast("int")).alias("node")))).alias("e")).select("e.bucket", "e.node")
+    members = meeting(banded, scope)
     near = members.select(F.col("node").alias("unit")).distinct()
+
+    found = cut.select("row", F.explode(F.arrays_zip("unit", "at", "words")).alias("u")).select("row", "u.unit", "u.at", "u.words")
+    shared = cut.select(F.explode("unit").alias("unit")).groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit")
     wanted = stage(shared.unionByName(near).distinct(), scope)
-    some = stage(found.join(wanted, "unit"), scope)
+    some = found.join(wanted, "unit")
+    some = stage(some.join(cut.select("row", "doc_id", "text_key"), "row").drop("row"), scope)
 
     one = some.join(near, "unit", "left_semi").groupBy("unit").agg(F.min(F.struct("doc_id", "text_key")).alias("o"))
     one = stage(one.select(F.col("o.doc_id").alias("id"), F.col("o.text_key").alias("key")).distinct(), scope)
     one = broadcast_if_small(one, 500_000)  # two longs a row
     chosen = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select("text")
     sets = _sets(chosen, least, n).join(near.withColumnRenamed("unit", "node"), "node", "left_semi").dropDuplicates(["node"])
-    links = link(members, verifier(stage(sets, scope), t), scope)
+    links = link(members, stage(sets, scope), t, scope)
     comp = components(links, scope).withColumnRenamed("node", "unit")
 
     placed = some.join(comp, "unit", "left").withColumn("component", F.coalesce("comp", "unit")).drop("comp", "unit")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc"), F.col("text_key").alias("key"), F.col("at").alias("first"))
     groups = placed.groupBy("component").agg(F.min(order).alias("f"), F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    groups = groups.where("lo <> hi OR a <> b").select(F.col("component"), F.col("f.doc").alias("first_doc"), F.col("f.key").alias("first_key"), F.col("f.first").alias("first_at"))
+    groups = groups.where("lo <> hi OR a <> b").select(F.col("component"), F.col("f.doc").alias("first_doc"), F.col("f.key").alias("first_key"))
     out = placed.join(groups, "component")
     kept = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key"))
     return out.select("doc_id", "text_key", "at", "words", "component", kept.alias("kept"), "first_doc")
