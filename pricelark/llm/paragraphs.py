@@ -1,8 +1,9 @@
 """Substring dedup by paragraph MinHash banding.
 
 Units of a text are its paragraphs (lines of at least ``least`` words) and, so that a
-passage inside longer lines is seen too, windows of 25 words that start at words chosen by
-content (one in eight).  Equal units are one node.  Paragraphs get MinHash signatures of
+passage inside longer lines is seen too, windows of 25 words.  Of 26 windows that follow each
+other, the one whose first words have the smallest hash is a unit (winnowing), so any passage of
+50 words has a unit that lies inside it, and about one window in 13 is kept.  Equal units are one node.  Paragraphs get MinHash signatures of
 their word 5-grams; bands, tuned for a recall at the threshold, put paragraphs into
 buckets; those that collide are verified by exact Jaccard and clustered by components.
 The first occurrence of a component, by doc_id, stays; the others are removed.
@@ -29,7 +30,7 @@ from .tokens import slices
 
 _U = np.uint64
 WINDOW = 25
-EVERY = 8
+NEXT = 26  # of so many windows in a row one is a unit at least
 
 
 @lru_cache(None)
@@ -62,6 +63,25 @@ def _roll(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _winnowed(h: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Starts of the windows that are units; ``end``: where the text of each word ends.
+
+    What is chosen inside a passage depends on the passage alone.  Texts with fewer than ``NEXT``
+    windows have none.
+    """
+    n = len(h) - WINDOW - NEXT + 2
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    low = (mix(h[:-1] + (h[1:] << _U(1))) >> _U(32) << _U(32)) + np.arange(len(h) - 1, dtype=np.uint64)  # the first of equals
+    width = 1
+    while 2 * width <= NEXT:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    low = np.minimum(low[:n], low[NEXT - width : NEXT - width + n])
+    inside = np.arange(n) + WINDOW + NEXT - 1 <= end[:n]
+    return np.unique(low[inside] & _U(0xFFFFFFFF)).astype(np.int64)
+
+
 class Cut:
     """The units of a batch of texts, as flat arrays.
 
@@ -92,11 +112,8 @@ class Cut:
 
         self.window = self.window_at = self.window_text = np.zeros(0, np.int64)
         if windows and len(h) >= WINDOW:
-            start = np.arange(len(h) - WINDOW + 1)
-            start = start[mix(h[start] + (h[start + 1] << _U(1))) % _U(EVERY) == 0]
-            of = np.searchsorted(text_end, start, "right")
-            inside = start + WINDOW <= text_end[of]
-            start, self.window_text = start[inside], of[inside]
+            start = _winnowed(h, np.repeat(text_end, text_words))
+            self.window_text = np.searchsorted(text_end, start, "right")
             self.window_at, self.window = start - text_first[self.window_text], mix(_roll(h, start, WINDOW))
         self.window = self.window.astype(np.uint64)
 

@@ -139,6 +139,20 @@ def test_repeats(spark, empty):
     assert paragraphs.remove(docs).columns == docs.columns
 
 
+def test_any_passage_of_fifty_words():
+    """Wherever a passage of 50 words stands, a window inside it is a unit in both texts."""
+    for k in range(300):
+        passage = prose(k + 1000, 50)
+        texts = [prose(k + 2000, 7 * k % 60 + 1) + " " + passage + " " + prose(k + 3000, 30), "", prose(k + 4000, 20), passage + " " + prose(k + 5000, 5 * k % 70 + 1)]
+        c = paragraphs.Cut(texts, 20, 5)
+        units = [{int(w) for w, t in zip(c.window, c.window_text) if t == i} for i in range(4)]
+        assert units[0] & units[3] and not units[1] | units[2]
+        whole = len(texts[0].split())
+        assert all(0 <= a <= whole - paragraphs.WINDOW for a, t in zip(c.window_at, c.window_text) if t == 0)
+        alone = paragraphs.Cut(texts[:1], 20, 5)
+        assert sorted(alone.window.tolist()) == sorted(c.window[c.window_text == 0].tolist()), "the batch plays no part"
+
+
 def test_paragraph_links_exact(corpus):
     """Paragraphs at Jaccard 0.8 and more are found as a plain comparison finds them, but for the banding's share."""
     seen = {}
