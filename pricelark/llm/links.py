@@ -44,18 +44,15 @@ def components(edges: DataFrame, scope: str, most: int = 60) -> DataFrame:
         # Every node and its smaller neighbours (a > b).  Small star: all of them meet at the smallest.
         low = now.groupBy("a").agg(F.min("b").alias("low"))
         small = now.join(low, "a").select(F.col("b").alias("x"), "low").where("x <> low").unionByName(low.select(F.col("a").alias("x"), "low"))
-        small = small.distinct()
         # Large star: larger neighbours meet at the smallest of the neighbourhood, or the node itself.
         both = small.select(F.col("x").alias("u"), F.col("low").alias("v")).unionByName(small.select(F.col("low").alias("u"), F.col("x").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
         new = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         new = stage(new, scope)
         # Done when every node has one link, to a node that has none: stars.
-        first = new.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
-        tops = first.select("b").distinct().join(first.select(F.col("a").alias("b")), "b", "left_semi")
-        open_ = first.where("n > 1").select("b").unionByName(tops)
+        ends = new.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(new.select(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         now = new
-        if open_.isEmpty():
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty():
             break
     else:
         raise RuntimeError(f"components aren't stars after {most} steps")
