@@ -3,7 +3,9 @@
 Units of a text are its paragraphs (lines of at least ``least`` words) and, so that a
 passage inside longer lines is seen too, windows of 25 words.  Of 26 windows that follow each
 other, the one whose first words have the smallest hash is a unit (winnowing), so any passage of
-50 words has a unit that lies inside it, and about one window in 13 is kept.  Equal units are one node.  Paragraphs get MinHash signatures of
+50 words has a unit that lies inside it, and about one window in 13 is kept.  Windows are seeds only: each
+place is extended by the words before and after it that another document has there too (`_extended`),
+so passages are reported and removed up to their ends.  Equal units are one node.  Paragraphs get MinHash signatures of
 their word 5-grams; bands, tuned for a recall at the threshold, put paragraphs into
 buckets; those that collide are verified by exact Jaccard and clustered by components.
 The first occurrence of a component, by doc_id, stays; the others are removed.
@@ -20,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage
@@ -31,6 +33,8 @@ from .tokens import slices
 _U = np.uint64
 WINDOW = 25
 NEXT = 26  # of so many windows in a row one is a unit at least
+REACH = NEXT - 1  # so an end of a passage of WINDOW + REACH words is no further from its nearest unit
+STRIDE = 5
 
 
 @lru_cache(None)
@@ -141,7 +145,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def units(docs: DataFrame, least: int, n: int, bands: int, rows: int) -> DataFrame:
     """(row, doc_id, text_key, unit, at, words, buckets) per document, all but the first three arrays.
 
-    Paragraphs come before windows; ``buckets`` has the paragraphs' band keys one after the other.
+    Paragraphs come before windows, whose ``words`` are 0; ``buckets`` has the paragraphs' band keys one after the other.
     """
     schema = "row long, doc_id long, text_key long, unit array<long>, at array<int>, words array<int>, buckets array<long>"
 
@@ -159,7 +163,7 @@ def units(docs: DataFrame, least: int, n: int, bands: int, rows: int) -> DataFra
             keys = c.band_keys(bands, rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), nested(cat(c.unit, c.window).view(np.int64), each, np.int64), nested(cat(c.at, c.window_at), each, np.int32),
-                 nested(cat(c.words, np.full(len(c.window), WINDOW)), each, np.int32), nested(keys.reshape(-1).view(np.int64), bands * np.bincount(c.text, minlength=m), np.int64)],
+                 nested(cat(c.words, np.zeros(len(c.window), np.int64)), each, np.int32), nested(keys.reshape(-1).view(np.int64), bands * np.bincount(c.text, minlength=m), np.int64)],
                 names=["row", "doc_id", "text_key", "unit", "at", "words", "buckets"],
             )
 
@@ -175,8 +179,103 @@ def _sets(docs: DataFrame, least: int, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, elements array<long>")
 
 
+def _contexts(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The windows of ``seeds`` with ``before`` (where ``back``) and ``after`` (where ``on``): codes of the window and its next 1, 2, ... ``REACH`` words on that side, as far as the text goes."""
+    schema = "doc_id long, text_key long, at int, component long, kept boolean, first_doc long, before array<long>, after array<long>"
+    each = seeds.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "component", "kept", "first_doc", "back", "on")).alias("seeds"))  # of one document
+    each = each.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "seeds")
+    found = docs.select("doc_id", "text").join(each, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), "text", "seeds")
+
+    def run(batches):
+        for batch in (s for x in batches for s in slices(x)):
+            texts = [t.encode().lower().split() for t in batch.column("text").to_pylist()]
+            h = _hashes([w for words in texts for w in words])
+            ends = np.cumsum([len(words) for words in texts])
+            firsts = np.append(0, ends[:-1])
+            lists = batch.column("seeds")
+            of, flat = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten()
+            at, component = flat.field("at").to_numpy(), flat.field("component").to_numpy()
+            start = firsts[of] + at
+            sides = []
+            for step, edge, room, asked in ((-1, start, at, "back"), (1, start + WINDOW - 1, ends[of] - start - WINDOW, "on")):
+                room = np.where(flat.field(asked).to_numpy(zero_copy_only=False), np.minimum(room, REACH), 0)
+                codes, code = np.empty((len(at), REACH), np.uint64), mix(component.view(np.uint64) + _U(step + 2))
+                for k in range(REACH):
+                    code = codes[:, k] = mix(code + h[np.clip(edge + step * (k + 1), 0, len(h) - 1)]) + _U(k)
+                offsets = pa.array(np.append(0, np.cumsum(room)), pa.int32())
+                sides.append(pa.ListArray.from_arrays(offsets, _signed(codes[np.arange(REACH) < room[:, None]])))
+            rows = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), flat.field("at"), flat.field("component"), flat.field("kept"), flat.field("first_doc"), *sides],
+                names=["doc_id", "text_key", "at", "component", "kept", "first_doc", "before", "after"],
+            )
+
+    return found.mapInArrow(run, schema)
+
+
+def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
+    """``seeds`` (places of windows that several documents have) as spans up to the ends of what is shared.
+
+    A removed place reaches as far as some earlier document goes on alike, a kept one as far as any
+    other does; what only later documents share next to a removed place is a kept span.  Words are
+    compared by grouping codes of the window and its k next words, never place by place: first for
+    every ``STRIDE``-th k, then for those between where places that were alike so far part.  A side on which
+    the next window of the text follows without a gap, kept or removed as well, needs no words: that window goes as
+    far.  Where no place of a window needs a side, it's left out.
+    """
+    turn = Window.partitionBy("doc_id", "text_key").orderBy("at")
+    joins = lambda f: F.coalesce((F.abs(f("at").over(turn) - F.col("at")) <= WINDOW) & (f("kept").over(turn) == F.col("kept")), F.lit(False))
+    seeds = seeds.distinct().withColumn("back", ~joins(F.lag)).withColumn("on", ~joins(F.lead))
+    seeds = stage(seeds, scope)
+    open_ = seeds.where("back OR on").groupBy("component").agg(F.max("back").alias("back"), F.max("on").alias("on"))
+    none = F.lit(False)
+    seeds = stage(seeds.drop("back", "on").join(open_, "component", "left").withColumn("back", F.coalesce("back", none)).withColumn("on", F.coalesce("on", none)), scope)
+    whole = seeds.where("NOT (back OR on)").select("doc_id", "text_key", "at", F.lit(WINDOW).alias("words"), "component", "kept", "first_doc")
+    seeds = seeds.where("back OR on")
+    doc = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("text_key").alias("k"))
+    places = stage(_contexts(docs, seeds).withColumn("place", F.monotonically_increasing_id()).withColumn("doc", doc), scope)
+
+    def met(coded: DataFrame) -> DataFrame:
+        """Of the codes that several documents have: whether an earlier one does, and whether the places part before the next code."""
+        coded = stage(coded, scope)
+        groups = coded.groupBy("code").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("next").alias("lo"), F.max("next").alias("hi")).where("first <> last")
+        found = coded.join(groups.select("code", "first", (F.col("lo") != F.col("hi")).alias("parts")), "code")
+        return stage(found.select("place", "back", "k", (F.col("first") < F.col("doc")).alias("earlier"), "parts"), scope)
+
+    def coded(rows: DataFrame, levels) -> DataFrame:
+        sides = F.concat(levels("before", True), levels("after", False))
+        return rows.select("place", "doc", F.explode(sides).alias("x")).select("place", "doc", "x.*")
+
+    def rough(name: str, back: bool):
+        at = lambda k: F.coalesce(F.get(name, k - 1), F.lit(0))  # noqa: E731  # 0: the text ends
+        levels = F.filter(F.array(*[F.lit(k) for k in range(0, REACH + 1, STRIDE)]), lambda k: (F.size(name) > 0) & (k <= F.size(name)))
+        first = F.xxhash64("component", F.lit(back))
+        return F.transform(levels, lambda k: F.struct(F.lit(back).alias("back"), k.alias("k"), F.when(k == 0, first).otherwise(at(k)).alias("code"), F.when(k < REACH, at(k + STRIDE)).otherwise(0).alias("next")))
+
+    def fine(name: str, back: bool):
+        here = F.transform(name, lambda c, i: F.struct(F.lit(back).alias("back"), (i + 1).alias("k"), c.alias("code"), F.lit(0).cast("long").alias("next")))
+        return F.filter(here, lambda x: (x["k"] % STRIDE != 0) & F.array_contains("parted", F.struct(F.lit(back).alias("back"), (x["k"] - x["k"] % STRIDE).alias("k"))))
+
+    first = met(coded(places, rough))
+    parted = first.where("parts").groupBy("place").agg(F.collect_set(F.struct("back", "k")).alias("parted"))  # some for each of two sides
+    second = met(coded(places.join(parted, "place"), fine))
+    most = lambda when, name: F.coalesce(F.max(F.when(F.expr(when), F.col("k"))), F.lit(0)).alias(name)
+    reached = first.unionByName(second).groupBy("place").agg(most("back AND earlier", "rb"), most("back", "sb"), most("NOT back AND earlier", "ra"), most("NOT back", "sa"))
+    done = places.drop("before", "after").join(reached, "place", "left").fillna(0, ["rb", "sb", "ra", "sa"])
+    start, end = F.col("at"), F.col("at") + WINDOW
+    span = lambda a, b, kept, first: F.struct(a.cast("int").alias("at"), (b - a).cast("int").alias("words"), kept.alias("kept"), first.alias("first_doc"))
+    own, gone = F.col("kept"), ~F.col("kept")
+    spans = F.array(
+        span(start - F.when(own, F.col("sb")).otherwise(F.col("rb")), end + F.when(own, F.col("sa")).otherwise(F.col("ra")), own, F.col("first_doc")),
+        F.when(gone & (F.col("sb") > F.col("rb")), span(start - F.col("sb"), start - F.col("rb"), F.lit(True), F.col("doc_id"))),
+        F.when(gone & (F.col("sa") > F.col("ra")), span(end + F.col("ra"), end + F.col("sa"), F.lit(True), F.col("doc_id"))),
+    )
+    flat = done.select("doc_id", "text_key", "component", F.explode(F.array_compact(spans)).alias("s"))
+    return whole.unionByName(flat.select("doc_id", "text_key", "s.at", "s.words", "component", "s.kept", "s.first_doc"))
+
+
 def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8, recall: float = 0.999, scope: str = "paragraphs") -> DataFrame:
-    """(doc_id, text_key, at, words, component, kept): units that occur in several documents.
+    """(doc_id, text_key, at, words, component, kept): units that occur in several documents, windows extended.
 
     ``at`` counts words of the text from 0.  The first unit of a component, by doc_id (nulls
     last), then text, then place, is ``kept``; so are those of the component in that document.
@@ -208,7 +307,8 @@ def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8
     groups = groups.where("lo <> hi OR a <> b").select(F.col("component"), F.col("f.doc").alias("first_doc"), F.col("f.key").alias("first_key"))
     out = placed.join(groups, "component")
     kept = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key"))
-    return out.select("doc_id", "text_key", "at", "words", "component", kept.alias("kept"), "first_doc")
+    out = stage(out.select("doc_id", "text_key", "at", "words", "component", kept.alias("kept"), "first_doc"), scope)
+    return out.where("words > 0").unionByName(_extended(docs, out.where("words = 0"), scope))
 
 
 def _merged(spans) -> str:

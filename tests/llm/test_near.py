@@ -139,6 +139,51 @@ def test_repeats(spark, empty):
     assert paragraphs.remove(docs).columns == docs.columns
 
 
+def test_repeats_exact(spark):
+    """Passages inside longer lines go up to their true ends, whichever earlier document has them."""
+    one, two, part = prose(77, 55), prose(78, 200), prose(79, 120).split(" ")
+    rows = [
+        (1, prose(1, 40) + " " + one + " " + prose(2, 40), "a"), (2, prose(3, 30) + " " + one + " " + prose(4, 30), "a"),
+        (3, prose(5, 95) + " " + two + " " + prose(6, 35), "a"), (4, two + " " + prose(7, 93), "a"), (5, prose(8, 91) + " " + two, "a"), (None, prose(9, 67) + " " + two + " " + prose(10, 67), "a"),
+        # The windows of part[10:40] stand first in 6, those around them in 7: in 8 the passage goes as a whole.
+        (6, prose(11, 30) + " " + " ".join(part[10:40]) + " " + prose(12, 30), "a"), (7, prose(13, 20) + " " + " ".join(part) + " " + prose(14, 20), "a"), (8, prose(15, 25) + " " + " ".join(part) + " " + prose(16, 25), "a"),
+    ]
+    docs = make(spark, rows)
+    got = {(r["doc_id"], r["start"], r["end"], r["n_words"], r["removed"]) for r in paragraphs.repeat_report(docs).collect()}
+    want = {(1, 40, 95, 55, False), (2, 30, 85, 55, True), (3, 95, 295, 200, False), (4, 0, 200, 200, True), (5, 91, 291, 200, True), (None, 67, 267, 200, True), (8, 25, 145, 120, True)}
+    assert {x for x in got if x[0] not in (6, 7)} == want
+    out = {r["doc_id"]: r["text"] for r in paragraphs.remove(docs).collect()}
+    assert out[2] == prose(3, 30) + " " + prose(4, 30) and out[4] == prose(7, 93) and out[5] == prose(8, 91) and out[None] == prose(9, 67) + " " + prose(10, 67) and out[8] == prose(15, 25) + " " + prose(16, 25)
+    assert all(out[k] == t for k, t, _ in rows if k in (1, 3, 6))
+
+
+def test_any_run_goes_whole(spark):
+    """Each word of a run of 50 words and more that an earlier document has too goes; what goes stands in an earlier one."""
+    pool = [prose(k + 500, 70).split(" ") for k in range(6)]
+    rows = []
+    for k in range(40):
+        words = []
+        for j in range(3):
+            piece = pool[(k * 5 + j * 7) % 6]
+            words += prose(k * 10 + j + 7000, 5 + k % 4).split(" ") + piece[(k * 3 + j) % 20 : 70 - (k * 7 + j) % 15]
+        rows.append((k, " ".join(words), "a"))
+    texts = [t.split(" ") for _, t, _ in rows]
+    gone = defaultdict(set)
+    for r in paragraphs.repeats(make(spark, rows)).where("NOT kept AND words > 0").collect():
+        gone[r["doc_id"]] |= set(range(r["at"], r["at"] + r["words"]))
+    for d, x in enumerate(texts):
+        runs = {least: set() for least in (20, 50)}
+        for e in range(d):
+            before = [0] * (len(texts[e]) + 1)
+            for i, w in enumerate(x):
+                now = [0] + [before[j] + 1 if v == w else 0 for j, v in enumerate(texts[e])]
+                for least in runs:
+                    if max(now) >= least:
+                        runs[least] |= set(range(i + 1 - max(now), i + 1))
+                before = now
+        assert runs[50] <= gone[d] <= runs[20]
+
+
 def test_any_passage_of_fifty_words():
     """Wherever a passage of 50 words stands, a window inside it is a unit in both texts."""
     for k in range(300):
