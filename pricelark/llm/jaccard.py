@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage
-from .links import components, link, meeting
+from .links import components, every_link, link, meeting
 from .tokens import slices
 
 _U = np.uint64
@@ -177,14 +177,16 @@ def element_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, elements array<long>")
 
 
-def near_components(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0.8, scope: str = "jaccard") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, n_links (verified links of its set; those inside a component need not all be looked at), component_id.
+def near_components(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0.8, scope: str = "jaccard", counted: bool = True) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, n_links (the number of other sets that its set is linked with), component_id.
 
     component_id is the smallest doc_id reachable by links, the row's own included.  A text without a
     word has an empty set, is linked with nothing and has its own doc_id; so has a null text.
     Texts with fewer than n words have one element, the whole sequence.  Null doc_ids count
     as larger than all others.  Rows that share a doc_id have rows of their own.  An empty table gives an
     empty one.  Other columns are not looked at.
+
+    Unless ``counted``, there's no n_links, and links inside a component are verified only as far as they connect it.
     """
     t = Fraction(threshold).limit_denominator(1000)
     rows = stage(indexed(docs, n, t), scope)
@@ -197,16 +199,17 @@ def near_components(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0
     chosen = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select("text")
     sets = stage(element_sets(chosen, n).dropDuplicates(["node"]), scope)
 
-    links = link(members, sets, t, scope)
-    comp = components(links, scope)
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = rows.join(comp, "node", "left").join(degree, "node", "left")
-    named = named.withColumn("comp", F.coalesce("comp", "node"))
+    links = (every_link if counted else link)(members, sets, t, scope)
+    named = rows.join(components(links, scope), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    if counted:
+        degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+        named = named.join(degree, "node", "left").fillna(0, ["n_links"])
+    names = ["doc_id", "n_shingles", *["n_links"] * counted, "component_id"]
     full = named.where("n_shingles > 0")
     first = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(first, "comp").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
+    out = full.join(first, "comp").select(*names)
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone)
+    return out.unionByName(alone.select(*names))
 
 
 def keep_first(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0.8, scope: str = "jaccard") -> DataFrame:
@@ -214,6 +217,6 @@ def keep_first(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0.8, s
 
     Rows with equal doc_id stand or fall together.
     """
-    parts = near_components(docs, n, threshold, scope)
+    parts = near_components(docs, n, threshold, scope, counted=False)
     gone = stage(parts.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), scope)
     return docs.join(broadcast_if_small(gone, 500_000), F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -167,6 +167,26 @@ def link(members: DataFrame, sets: DataFrame, t: Fraction, scope: str, rounds: i
     return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
 
+def every_link(members: DataFrame, sets: DataFrame, t: Fraction, scope: str, most: int = 256) -> DataFrame:
+    """All links (a, b), a < b, between sets that share a bucket, each once.
+
+    Arguments as for `link`.  A bucket of more than ``most`` sets is split in blocks, and each pair of blocks
+    is a group of its own.  The pairs grow with the square of a group of near copies, as its links do.
+    """
+    p, q = t.numerator, t.denominator
+    counts = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sized = members.join(counts, "bucket").join(sets.select("node", F.size("elements").cast("long").alias("size")), "node")
+    sized = sized.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sized = stage(sized.select("bucket", "node", "size", "blocks", "block"), scope)
+    one = sized.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("x"), "size")
+    two = sized.select("bucket", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("y"), F.col("size").alias("size2"))
+    able = F.least("size", "size2") * q >= F.greatest("size", "size2") * p
+    pairs = one.join(two, ["bucket", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & able)
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    both = F.size(F.array_intersect("x", "y"))
+    return stage(_compared(pairs, sets, scope).where(_links(p, q, both, F.size("x"), F.size("y"))).select("a", "b"), scope)
+
+
 def meeting(entries: DataFrame, scope: str) -> DataFrame:
     """Distinct (bucket, node) rows of the buckets in which different nodes meet.
 

@@ -72,6 +72,34 @@ def test_near_copies_of_near_copies(spark):
         assert got == plain_components([(i, x) for i, x, _ in rows], n, t)
 
 
+def test_links_counted(spark):
+    """Every link counts once, in groups of any size; copies of a text have its number."""
+    base = prose(21, 220).split(" ")
+    rows = []
+    for k in range(80):
+        w = list(base)
+        w[(k * 7) % 215 + 2] = f"edit{k}"
+        if k % 4 == 0:
+            w[(k * 11) % 213 + 3] = f"other{k}"
+        rows.append((k, " ".join(w), "a"))
+    rows += [(100 + k, rows[k][1], "b") for k in range(5)] + [(200, prose(22, 60), "a"), (201, None, "a")]
+    sets = sets_of([(i, t) for i, t, _ in rows], 3)
+    distinct = {frozenset(x) for _, x in sets if x}
+    want = {i: sum(x != y and len(x & y) * 10 >= 9 * len(x | y) for y in distinct) if x else 0 for i, x in sets}
+    assert max(want.values()) > 60 and len(set(want.values())) > 3
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.near_components(make(spark, rows), 3, 0.9).collect()} == want
+
+
+def test_every_link_in_blocks(spark):
+    """Buckets split in blocks lose no pair and repeat none."""
+    sets = {k: list(range(k, k + 20)) for k in range(60)}
+    elements = spark.createDataFrame(list(sets.items()), "node long, elements array<long>")
+    members = spark.createDataFrame([(b, k) for b in (1, 2) for k in sets], "bucket long, node long")
+    want = sorted((x, y) for x in sets for y in sets if x < y <= x + 2)  # 18 of 22 and more are 4 in 5
+    for most in (7, 256):
+        assert sorted(map(tuple, links.every_link(members, elements, Fraction(4, 5), "test", most).collect())) == want
+
+
 def test_pigeonhole():
     """Any two sets at the threshold share an entry, whatever their sizes."""
     rng = np.random.default_rng(5)
