@@ -1,8 +1,8 @@
 """Licence scans by a positional rare-token index.
 
 Each template is a short run of words with mandatory key phrases.  The index holds, for
-every template word, its postings (template, position).  A file looks up the template
-words with the highest inverse document frequency that it has; a hit at word ``p`` of the
+every template word, its postings (template, position).  A file looks up, of a template's mandatory
+words, that with the highest inverse document frequency (every true place has it); a hit at word ``p`` of the
 file and position ``q`` of the template proposes the start ``p - q``; the postings of the
 template's other words are intersected by that relative position; and a proposal counts if
 every mandatory key phrase stands there whole.
@@ -102,13 +102,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, scope: str = "license") -> tuple[
 
     places = seen.select("row", F.explode("hits").alias("h")).select("row", F.col("h.w").alias("word"), F.col("h.p").alias("p"))
     met = places.join(posts, "word").withColumn("start", F.col("p") - F.col("at"))
-    rarest = F.max("idf").over(Window.partitionBy("row", "template"))
+    needed = F.expr("must & shiftleft(1L, at) <> 0")  # an optional word may be rarer, and stand elsewhere
+    rarest = F.max(F.when(needed, F.col("idf"))).over(Window.partitionBy("row", "template"))
     aligned = (
-        met.withColumn("look_up", F.col("idf") >= rarest)
+        met.withColumn("look_up", needed & (F.col("idf") >= rarest))
         .groupBy("row", "template", "start")
         .agg(
             F.first("label").alias("label"), F.first("base").alias("base"), F.first("must").alias("must"),
-            F.bool_or("look_up").alias("proposed"), F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"),
+            F.coalesce(F.bool_or("look_up"), F.lit(False)).alias("proposed"), F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"),
             (F.sum("idf") / F.first("all_idf")).alias("score"),
         )
     )

@@ -45,6 +45,33 @@ def test_license_templates(spark, empty):
         license_scan._postings((("x", "x", ("absent",), "some words"),))
 
 
+def plain_labels(text):
+    """Labels of all templates whose key phrases stand whole at one place of the text."""
+    ws, found = LICENSE_WORD.findall(ascii_lower(text or "")), set()
+    for _, label, keys, run in license_scan.TEMPLATES:
+        run, must = run.split(), {}
+        for key in map(str.split, keys):
+            at = next(i for i in range(len(run) - len(key) + 1) if run[i : i + len(key)] == key)
+            must |= {at + k: w for k, w in enumerate(key)}
+        if any(all(0 <= p + i < len(ws) and ws[p + i] == w for i, w in must.items()) for p in range(-len(run), len(ws))):
+            found.add(label)
+    return ",".join(sorted(found))
+
+
+def test_license_optional_words(spark, corpus):
+    """An optional word of a template, rarer than the mandatory ones and out of place, hides nothing."""
+    usual = "general public license version 3 version 2 lesser affero hereby granted free of charge"
+    texts = [
+        "GNU tools under the General Public License version 3", "the GNU project; General Public License, version 2", "GNU: the Lesser General Public License", "GNU or the Affero General Public License",
+        "on obtaining it, permission is hereby granted free of charge to any person", "with redistribution in source or binary forms without modification", "gnu version 3", *[usual] * 40,
+    ]
+    rows = {r["doc_id"]: r["labels"] for r in license_scan.license_report(make(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert rows == {i: plain_labels(t) for i, t in enumerate(texts)}
+    assert [rows[i] for i in range(5)] == ["gpl,gpl-3.0", "gpl,gpl-2.0", "gpl,lgpl", "agpl,gpl", "mit-text"]
+    want = sorted(plain_labels(r["text"]) for r in corpus.collect())
+    assert sorted(r["labels"] for r in license_scan.license_report(corpus).collect()) == want
+
+
 def plain_lines(text):
     text = text or ""
     ws = SPACE_WORD.findall(text)
