@@ -6,9 +6,11 @@ band hashes the universe into segments; a segment is indexed whole (it can absor
 difference), or with its one-deletion neighbourhood (it absorbs one).  Where the parts'
 allowances add up to more than H, linked sets share an entry.  How many segments of each
 kind a band gets is the cheapest allocation by a cost model (`allocate`).  Entries that
-meet are candidates and are verified exactly on the sets.
+meet are candidates and are verified exactly on the sets (`links.link`).
 
-Empty segments would meet everywhere.  The allowances therefore exceed H by a reserve: sets
+Segments have an order.  Where all are whole, a set needs to show only as many as it may have differences
+and one (a prefix filter over segments).  Empty segments would meet everywhere, so they don't count; a set that
+has too few others shows all.  With deletions, the allowances exceed H by a reserve: sets
 whose empty segments fit the reserve leave them out and still meet elsewhere; sets with
 more of them (rare, by choice of the reserve) index them.  So nothing is lost.
 
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage
-from .links import components, every_link, link, meeting
+from .links import SKETCH, link, meeting, sketch
 from .tokens import slices
 
 _U = np.uint64
@@ -77,7 +79,7 @@ def digest(s: np.ndarray) -> int:
 @lru_cache(None)
 def bands(t: Fraction) -> list[int]:
     """Smallest size of each band; linked sets are in one band or in two that follow each other."""
-    step = max(Fraction(3, 2), 1 / t)
+    step = max(2, 1 / t)
     out = [1]
     while out[-1] < 1 << 40:
         out.append(max(out[-1] + 1, math.ceil(out[-1] * step)))
@@ -93,7 +95,7 @@ def allocate(t: Fraction, band: int, docs: float = 1e7) -> tuple[int, int, int]:
     reserve; their share is a Poisson tail, of ``docs`` sets in the band.
     """
     lo, hi = bands(t)[band], bands(t)[band + 1] - 1
-    h = math.floor(2 * hi * (1 - t) / (1 + t))
+    h = differences(hi, hi, t)
     best = None
     for deleted in sorted({0, 1, h // 4, (h + 1) // 2}):
         for reserve in range(max(2 * deleted - h - 1, 0), 2 * h + 40):
@@ -111,15 +113,29 @@ def allocate(t: Fraction, band: int, docs: float = 1e7) -> tuple[int, int, int]:
     return best[1]
 
 
-def entries(s: np.ndarray, t: Fraction) -> np.ndarray:
-    """A set's index entries in its own band and, where it may meet larger sets there, the next."""
-    out = []
+def differences(x: int, y: int, t: Fraction) -> int:
+    """The most elements in which linked sets of these sizes differ."""
+    p, q = t.numerator, t.denominator
+    return (x + y) * (q - p) // (q + p)
+
+
+def entries(s: np.ndarray, t: Fraction) -> tuple[np.ndarray, int]:
+    """(a set's index entries, how many of them it has at least in a band).
+
+    It is indexed in its own band and, where it may meet larger sets there, the next.  Where all segments are whole, a set
+    shows its first segments that aren't empty, one more than it may differ in from any it links with: of
+    two linked sets, the first segments of either hold one that the other has too, so both show it.  The number
+    is 0 where a set has too few such segments or a band has segments with deletions.
+    """
+    out, least = [], None
     edges = bands(t)
     home = int(np.searchsorted(edges, len(s), "right")) - 1
+    widest = len(s) * t.denominator // t.numerator  # the largest set that it links with
     for band in (home, home + 1):
-        if band > home and len(s) < t * edges[band]:
+        hi = edges[band + 1] - 1
+        if band > home and widest < edges[band]:
             continue
-        if math.floor(2 * (edges[band + 1] - 1) * (1 - t) / (1 + t)) == 0:
+        if differences(hi, hi, t) == 0:
             continue  # only equal sets link, and they share a digest
         whole, deleted, reserve = allocate(t, band)
         m = whole + deleted
@@ -129,15 +145,21 @@ def entries(s: np.ndarray, t: Fraction) -> np.ndarray:
         np.add.at(sums, part, mixed)
         sizes = np.bincount(part, minlength=m)
         tag = mix(np.arange(m, dtype=np.uint64) + (_U(band + 1) << _U(32)))
-        empty = int((sizes[:whole] == 0).sum() + 2 * (sizes[whole:] <= 1).sum())
-        show = np.full(m, True) if empty > reserve else sizes > 0
+        if not deleted:
+            full, need = np.flatnonzero(sizes), differences(len(s), min(widest, hi), t) + 1
+            show = full[:need] if len(full) >= need else np.arange(m)
+            enough = need if len(full) >= need else 0
+        else:
+            empty = int((sizes[:whole] == 0).sum() + 2 * (sizes[whole:] <= 1).sum())
+            show, enough = np.full(m, True) if empty > reserve else sizes > 0, 0
+        least = enough if least is None else min(least, enough)
         out.append(mix(sums[show] + tag[show]))
         if deleted:
             d = part >= whole
             if empty <= reserve:
                 d &= sizes[part] > 1
             out.append(mix(sums[part[d]] - mixed[d] + tag[part[d]]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64), least or 0
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -154,27 +176,49 @@ def text_key(text: Column) -> Column:
 
 
 def indexed(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """(doc_id, text_key, n_shingles, node, buckets) per row: the set's digest and its index entries."""
+    """(doc_id, text_key, n_shingles, node, size, shown, s0, s1, s2, s3, buckets) per row: the set's digest, size, sketch and index entries."""
+    schema = "doc_id long, text_key long, n_shingles long, node long, size int, shown int, s0 long, s1 long, s2 long, s3 long, buckets array<long>"
 
     def run(batches):
         for b in (s for x in batches for s in slices(x)):
             sets = [shingles(t_, n) for t_ in b.column("text").to_pylist()]
+            made = [entries(s, t) if len(s) else (s, 0) for s in sets]
+            bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), _lists([entries(s, t) if len(s) else s for s in sets])],
-                names=["doc_id", "text_key", "n_shingles", "node", "buckets"],
-            )
+                [b.column("doc_id").cast(pa.int64()), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
+                 pa.array([k for _, k in made], pa.int32()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)], _lists([e for e, _ in made])],
+                names=["doc_id", "text_key", "n_shingles", "node", "size", "shown", *SKETCH, "buckets"],
+            )
 
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, buckets array<long>")
+    return rows.mapInArrow(run, schema)
+
 
+def _fetched(docs: DataFrame, rows: DataFrame, n: int, wanted: DataFrame, scope: str) -> DataFrame:
+    """(node, elements) of the ``wanted`` nodes, each from one of the rows that have it."""
+    one = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), (F.count("*") > 1).alias("again"))
+    one = one.join(wanted, "node", "left_semi")
+    one = broadcast_if_small(stage(one.select(F.col("at.doc_id").alias("id"), F.col("at.text_key").alias("key"), "again"), scope), 500_000)  # two longs and a flag
+    chosen = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select("text", "again")
 
-def element_sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for b in (s for x in batches for s in slices(x)):
             sets = [shingles(t, n) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), _lists(sets)], names=["node", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), b.column("again"), _lists(sets)], names=["node", "again", "elements"])
 
-    return docs.select("text").mapInArrow(run, "node long, elements array<long>")
+    sets = stage(chosen.mapInArrow(run, "node long, again boolean, elements array<long>"), scope)
+    # Rows that repeat doc_id and text were all read.
+    return sets.where("NOT again").drop("again").unionByName(sets.where("again").drop("again").dropDuplicates(["node"]))
+
+
+def _classes(docs: DataFrame, n: int, t: Fraction, scope: str, counted: bool) -> tuple[DataFrame | None, DataFrame]:
+    """(links, rows): rows (doc_id, text_key, n_shingles, node, comp), ``comp`` null where a set has no link."""
+    rows = stage(indexed(docs, n, t), scope)
+    members = meeting(rows.select(F.explode("buckets").alias("bucket"), "node"), scope)
+    nodes = rows.where("size(buckets) > 0").select("node", "size", "shown", *SKETCH)
+    rows = rows.select("doc_id", "text_key", "n_shingles", "node")
+    links, classes = link(members, nodes, lambda wanted: _fetched(docs, rows, n, wanted, scope), t, scope, counted)
+    return links, rows.join(classes, "node", "left")
 
 
 def near_components(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0.8, scope: str = "jaccard", counted: bool = True) -> DataFrame:
@@ -188,19 +232,8 @@ def near_components(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0
 
     Unless ``counted``, there's no n_links, and links inside a component are verified only as far as they connect it.
     """
-    t = Fraction(threshold).limit_denominator(1000)
-    rows = stage(indexed(docs, n, t), scope)
-    members = meeting(rows.select(F.explode("buckets").alias("bucket"), "node"), scope)
-    rows = rows.drop("buckets")
-    needed = members.select("node").distinct()
-    one = rows.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"))
-    one = stage(one.select(F.col("at.doc_id").alias("id"), F.col("at.text_key").alias("key")).distinct(), scope)
-    one = broadcast_if_small(one, 500_000)  # two longs a row
-    chosen = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select("text")
-    sets = stage(element_sets(chosen, n).dropDuplicates(["node"]), scope)
-
-    links = (every_link if counted else link)(members, sets, t, scope)
-    named = rows.join(components(links, scope), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    links, rows = _classes(docs, n, Fraction(threshold).limit_denominator(1000), scope, counted)
+    named = rows.withColumn("comp", F.coalesce("comp", "node"))
     if counted:
         degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
         named = named.join(degree, "node", "left").fillna(0, ["n_links"])
@@ -213,10 +246,18 @@ def near_components(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0
 
 
 def keep_first(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0.8, scope: str = "jaccard") -> DataFrame:
-    """The rows of ``docs`` that come first by doc_id in their component; all columns stay.
+    """The first row of each component by doc_id (nulls last), then text; all columns stay.
 
-    Rows with equal doc_id stand or fall together.
+    Of rows that repeat doc_id and text one stays.  Rows without a word are linked with nothing and stay.
     """
-    parts = near_components(docs, n, threshold, scope, counted=False)
-    gone = stage(parts.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), scope)
-    return docs.join(broadcast_if_small(gone, 500_000), F.col("doc_id") == F.col("__gone"), "left_anti")
+    _, rows = _classes(docs, n, Fraction(threshold).limit_denominator(1000), scope, counted=False)
+    full = stage(rows.where("n_shingles > 0").select(F.coalesce("comp", "node").alias("comp"), "doc_id", "text_key"), scope)
+    order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "text_key")
+    groups = full.groupBy("comp").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    named = full.join(groups, "comp").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (order == F.col("first")).alias("__kept"))
+    # Not kept, or kept and there more than once.
+    marked = stage(named.groupBy("__id", "__key").agg(F.max("__kept").alias("__kept"), F.count("*").alias("__n")).where("NOT __kept OR __n > 1").drop("__n"), scope)
+    marked = broadcast_if_small(marked, 500_000)  # two longs and a flag
+    met = docs.join(marked, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key(F.col("text")) == F.col("__key")), "left")
+    one = met.where("__kept").dropDuplicates(["__id", "__key"])
+    return met.where("__kept IS NULL").unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])

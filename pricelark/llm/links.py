@@ -1,46 +1,98 @@
 """Links between sets that share buckets, and the components they make.
 
-Sets that share a bucket are candidates for a link, Jaccard t or more.  A bucket of n sets has
-n * n / 2 pairs, too many for a group of near copies, where most pairs do not even link.  So
-each round compares a bucket's sets with one of them, its pivot h: the set that shares most
-buckets with others, in a group of near copies the one nearest all.  What the others may still
-link with follows from their differences from h, added (x - h) and removed (h - x) elements:
-
-* both linked with h: one component already;
-* x at c + (1 - t) or more, y below c (c = 1/2): no link, as 1 - Jaccard is a metric;
-* both below c + (1 - t): they stay together in their bucket, for the next pivot;
-* both at c or more, one not linked with h: a link allows them T differences, and they have
-  a + b differences from h, so they share (a + b - T) / 2 or more of those.  Either they share
-  an added element, or that many removed ones; then the numbers of their differences alone
-  exclude nearly all pairs, and a few removed elements in a fixed order suffice to bring the
-  rest together (a prefix filter).  Pairs that pass are compared.  An added element that very
-  many share (the pivot is itself edited there) makes a new bucket instead, for the next pivot.
-
-So a bucket loses its pivot and all nodes near it in each round.  Once buckets are small, or after
-``rounds`` rounds, all pairs of different components that still share a bucket are compared.
+Sets that share a bucket are candidates for a link, Jaccard t or more.  Linked sets x and y differ in
+at most T = (|x| + |y|) (1 - t) / (1 + t) elements.  Candidates are excluded by what moves least
+first, and never wrongly:
+
+* sizes alone;
+* the number of buckets that two sets share, where the index says how many a link shares at least;
+* sketches of 256 bits, one for each element's hash, flipped by every element: two sketches differ
+  in at most as many bits as the sets in elements;
+* at last the sets themselves, for pairs that still matter: first a forest (each set with the
+  smallest candidate), then candidates that the forest has not joined.
+
+Buckets of up to ``most`` sets give all their pairs.  A larger bucket would give a square, so there each set meets
+the bucket's pivot alone, the set that shares most buckets with others, in a group of near copies the one nearest
+all.  Then only sets of different components still matter; they are compared by sketches inside the join, in
+blocks of bounded size, so that no task gets a whole bucket and no pair is written but the few that pass.
 No link between components is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage
 
+#: Columns of a sketch.
+SKETCH = ("s0", "s1", "s2", "s3")
+
+
+def sketch(mixed: np.ndarray) -> np.ndarray:
+    """The 256 bits of a set of hashes as four longs: bit h is set if an odd number of hashes ends in h."""
+    odd = np.bincount((mixed & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node it reaches) of edges, for all but the smallest."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(ids))
+    while True:
+        new = low.copy()
+        least = np.minimum(low[x], low[y])
+        for ends in (x, y, low[x], low[y]):
+            np.minimum.at(new, ends, least)
+        new = new[new]
+        if np.array_equal(new, low):
+            break
+        low = new
+    moved = low != np.arange(len(ids))
+    return ids[moved], ids[low[moved]]
+
+
+def _contracted(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The same components by fewer edges (a > b): each task makes stars of up to ``most`` edges at a time."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def stars():
+            a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in _stars(a, b)], names=["a", "b"])
+
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= most:
+                yield stars()
+                held, n = [], 0
+        if held:
+            yield stars()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
 
 def components(edges: DataFrame, scope: str, most: int = 60) -> DataFrame:
-    """(node, comp): for every node of ``edges`` (a, b) the smallest node it reaches.
+    """(node, comp): for every node of ``edges`` (a, b) with another end the smallest node it reaches.
 
-    Each step links every node to the smallest of its neighbourhood and rewires the
-    neighbours to that (large and small stars by turns), so long chains shrink in
-    logarithmically many steps.  Groupings are partial aggregates; a hub's rows are split
-    over tasks.  Nothing is collected but one count a step.
+    Tasks first make stars of the edges they read.  Then each step links every node to the
+    smallest of its neighbourhood and rewires the neighbours to that (small and large stars
+    by turns), so long chains shrink in logarithmically many steps.  Groupings are partial
+    aggregates; a hub's rows are split over tasks.  Nothing is collected but one answer a step.
     """
-    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), scope)
+    now = stage(_contracted(edges), scope)
     for _ in range(most):
+        # Done when every node has one link, to a node that has none: stars.
+        ends = now.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
         # Every node and its smaller neighbours (a > b).  Small star: all of them meet at the smallest.
         low = now.groupBy("a").agg(F.min("b").alias("low"))
         small = now.join(low, "a").select(F.col("b").alias("x"), "low").where("x <> low").unionByName(low.select(F.col("a").alias("x"), "low"))
@@ -48,143 +100,130 @@ def components(edges: DataFrame, scope: str, most: int = 60) -> DataFrame:
         both = small.select(F.col("x").alias("u"), F.col("low").alias("v")).unionByName(small.select(F.col("low").alias("u"), F.col("x").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
         new = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        new = stage(new, scope)
-        # Done when every node has one link, to a node that has none: stars.
-        ends = new.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(new.select(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        now = new
-        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components aren't stars after {most} steps")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+        now = stage(_contracted(stage(new, scope)), scope)
+    raise RuntimeError(f"components aren't stars after {most} steps")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, scope: str) -> DataFrame:
-    """Pairs (a, b) with their elements (x, y).  Only the sets that take part are moved."""
-    pairs = stage(pairs, scope)
+def _able(t: Fraction, one: str, two: str) -> Column:
+    """Sizes that allow a link."""
+    return F.least(one, two) * t.denominator >= F.greatest(one, two) * t.numerator
 
-    def side(name: str, elements: str) -> DataFrame:
-        asked = broadcast_if_small(pairs.select(F.col(name).alias("node")).distinct(), 500_000)  # a long a row
-        return sets.join(asked, "node", "left_semi").select(F.col("node").alias(name), F.col("elements").alias(elements))
 
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+def _differences(t: Fraction, one: str, two: str) -> Column:
+    """The most elements in which linked sets of these sizes differ."""
+    p, q = t.numerator, t.denominator
+    return F.floor((F.col(one).cast("long") + F.col(two)) * (q - p) / (q + p))
 
 
-def _links(p: int, q: int, both: Column, nx: Column, ny: Column) -> Column:
-    """Jaccard p / q or more, in whole numbers."""
-    return both * (p + q) >= p * (nx + ny)
+def _apart() -> Column:
+    """The number of bits in which two sketches differ."""
+    return sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"{s}_"))) for s in SKETCH), F.lit(0))
 
 
-def _star(pairs: DataFrame, sets: DataFrame, t: Fraction, scope: str) -> DataFrame:
-    """How each node stands to its pivot: linked, core, close, size, differences (a: added, r: removed), and these coded.
+def _second(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*[F.col(c) if c in keys else F.col(c).alias(f"{c}_") for c in df.columns])
 
-    ``plus`` codes (pivot, added element) of close nodes; ``minus`` codes (pivot, removed element)
-    for as many as a pair without a common added element needs.
-    """
-    p, q = t.numerator, t.denominator
-    c = Fraction(1, 2)
-    rows = _compared(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, scope)
-    rows = rows.select("a", "b", "x", "y", F.size("x").cast("long").alias("nx"), F.size("y").cast("long").alias("ny"), F.size(F.array_intersect("x", "y")).cast("long").alias("both"))
-    both, nx, ny = F.col("both"), F.col("nx"), F.col("ny")
-    reaches = lambda f: both * (f.numerator + f.denominator) >= f.numerator * (nx + ny)
-    rows = rows.select("*", _links(p, q, both, nx, ny).alias("linked"), reaches(c + 1 - t).alias("core"), reaches(c).alias("close"))
-    added, removed = nx - both, ny - both
-    most = F.floor(nx * (q - p) / p)  # differences that any link of x allows
-    first = F.when(~F.col("linked"), most - added + 1).otherwise(0)
-    second = F.when(removed > added, removed - F.floor((added + removed) / 2) + 1).otherwise(0)
-    prefix = F.when(F.col("close") & (added <= most), F.greatest(first, second, F.lit(0))).otherwise(0).cast("int")
-    plus = F.when(F.col("close"), F.transform(F.array_except("x", "y"), lambda e: F.xxhash64(F.col("b"), e, F.lit(1))))
-    minus = F.transform(F.slice(F.array_sort(F.array_except("y", "x")), F.lit(1), prefix), lambda e: F.xxhash64(F.col("b"), e, F.lit(2)))
-    return rows.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "linked", "core", "close", "nx", added.alias("a"), removed.alias("r"), plus.alias("plus"), minus.alias("minus"))
-
-
-def _sharing(star: DataFrame, t: Fraction, most: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, buckets): close nodes that may link by what they share of their differences.
-
-    An added element that more than ``most`` nodes share makes a bucket.
-    """
-    p, q = t.numerator, t.denominator
-    facts = ["node", "linked", "nx", "a", "r"]
-    plus = star.where("close").select(F.explode("plus").alias("code"), *facts)
-    count = plus.groupBy("code").agg(F.count("*").alias("n"), F.bool_or(~F.col("linked")).alias("open")).where("n > 1 AND open")
-    plus = plus.join(count, "code")
-    buckets = plus.where(F.col("n") > most).select(F.col("code").alias("bucket"), "node")
-    few = plus.where(F.col("n") <= most).select("code", *facts)
-    minus = star.where("close AND size(minus) > 0").select(F.explode("minus").alias("code"), *facts)
-
-    def second(df):
-        return df.select("code", *[F.col(c).alias(f"{c}2") for c in facts])
-
-    allowed = F.floor((F.col("nx") + F.col("nx2")) * (q - p) / (q + p))
-    surplus = F.col("a") + F.col("r") + F.col("a2") + F.col("r2") - allowed
-    removed = F.least("r", "r2")
-    one = few.join(second(few), "code").where((F.col("node") < F.col("node2")) & ~(F.col("linked") & F.col("linked2")) & (surplus <= 2 * (F.least("a", "a2") + removed)))
-    open_, small = minus.where("NOT linked"), minus.where("r > a")
-    two = open_.join(second(small), "code").where((F.col("node") != F.col("node2")) & (surplus <= 2 * removed))
-    pairs = one.select("node", "node2").unionByName(two.select("node", "node2"))
-    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), buckets
-
-
-def link(members: DataFrame, sets: DataFrame, t: Fraction, scope: str, rounds: int = 2, most: int = 64) -> DataFrame:
-    """Verified links (a, b) that connect whatever all candidate pairs would connect.
-
-    ``members``: distinct (bucket, node).  ``sets``: (node, elements), an array of distinct longs for
-    every node.
-    """
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = F.size(F.array_intersect("x", "y"))
-        return _compared(pairs, sets, scope).where(_links(t.numerator, t.denominator, both, F.size("x"), F.size("y"))).select("a", "b")
+def _ordered(one: str, two: str) -> list[Column]:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
-    links, left = None, members
-    for r in range(rounds + 1):
-        sizes = stage(left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), scope)
-        total = sizes.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
-        if not total[0]:
-            break
-        sized = left.join(sizes, "bucket")
-        if r == rounds or total[1] <= 3 * total[0]:
-            named = sized.withColumn("comp", F.col("node"))
-            if links is not None:
-                named = sized.join(components(links, scope), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            named = named.select("bucket", "node", "comp")
-            other = named.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = named.select("bucket", F.col("node").alias("a"), "comp").join(other, "bucket").where("a < b AND comp <> comp_b").select("a", "b").distinct()
-            found = stage(verified(pairs), scope)
-            return found if links is None else links.unionByName(found)
-        degree = sized.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
-        left = stage(sized.join(degree, "node").select("bucket", "node", "degree"), scope)
-        best = F.max(F.struct(F.col("degree"), (-F.col("node")).alias("m"), F.col("node").alias("pivot")))["pivot"]
-        pivot = left.groupBy("bucket").agg(best.alias("pivot"))
-        met = stage(left.join(pivot, "bucket").where("node <> pivot").select("bucket", "node", "pivot"), scope)
-        star = stage(_star(met.select("node", "pivot").distinct(), sets, t, scope), scope)
-        pairs, buckets = _sharing(star, t, most)
-        found = star.where("linked").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        found = found.unionByName(stage(verified(pairs), scope))
-        links = found if links is None else links.unionByName(found)
-        rest = met.join(star.where("NOT core").select("node", "pivot"), ["node", "pivot"]).select("bucket", "node")
-        left = stage(rest.unionByName(buckets).distinct(), scope)
-    return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-
-
-def every_link(members: DataFrame, sets: DataFrame, t: Fraction, scope: str, most: int = 256) -> DataFrame:
-    """All links (a, b), a < b, between sets that share a bucket, each once.
-
-    Arguments as for `link`.  A bucket of more than ``most`` sets is split in blocks, and each pair of blocks
-    is a group of its own.  The pairs grow with the square of a group of near copies, as its links do.
-    """
-    p, q = t.numerator, t.denominator
-    counts = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    sized = members.join(counts, "bucket").join(sets.select("node", F.size("elements").cast("long").alias("size")), "node")
-    sized = sized.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sized = stage(sized.select("bucket", "node", "size", "blocks", "block"), scope)
-    one = sized.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("node").alias("x"), "size")
-    two = sized.select("bucket", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("node").alias("y"), F.col("size").alias("size2"))
-    able = F.least("size", "size2") * q >= F.greatest("size", "size2") * p
-    pairs = one.join(two, ["bucket", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & able)
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+def _sketched(pairs: DataFrame, info: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    facts = info.select("node", "size", *SKETCH)
+    out = pairs.join(facts.withColumnRenamed("node", "a"), "a").join(_second(facts).withColumnRenamed("node_", "b"), "b")
+    return out.where(_able(t, "size", "size_") & (_apart() <= _differences(t, "size", "size_"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets are linked, in whole numbers."""
+    out = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return stage(_compared(pairs, sets, scope).where(_links(p, q, both, F.size("x"), F.size("y"))).select("a", "b"), scope)
+    return out.where(both * (t.numerator + t.denominator) >= t.numerator * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that share as many buckets as a link does at least."""
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("least").alias("least")).where("k >= least").select("a", "b")
+
+
+def _blocks(sized: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Two sides to join on (bucket, i, j): every pair of a bucket once, in groups of about ``most`` sets a side."""
+    cut = sized.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("n")
+    rest = [c for c in sized.columns if c not in ("bucket", "n")]
+    one = cut.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *rest)
+    two = cut.select("bucket", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), *rest)
+    return one, _second(two, "bucket", "i", "j")
+
+
+_ONCE = "(i < j OR node < node_)"
+
+
+def link(members: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], t: Fraction, scope: str, counted: bool = False, most: int = 64) -> tuple[DataFrame | None, DataFrame]:
+    """(links, classes): ``classes`` (node, comp) has the component of every node with a link.
+
+    ``members``: distinct (bucket, node).  ``nodes``: (node, size, shown, s0, s1, s2, s3), rows may repeat; of the buckets
+    that two linked nodes of a ``shown`` of f and g have, they share min(f, g) - T or more, and one at least.  ``fetch``
+    gives (node, elements), arrays of distinct longs, for the nodes of a DataFrame.
+    If ``counted``, ``links`` has all links (a, b), a < b, each once, which grow with the square of a group of near
+    copies; else it is None, and links inside a component are verified only as far as they connect it.
+    """
+    facts = nodes.groupBy("node").agg(*[F.min(c).alias(c) for c in ("size", "shown", *SKETCH)])
+    info = stage(facts.join(members.select("node"), "node", "left_semi"), scope)
+    counts = members.groupBy("bucket").agg(F.count("*").cast("int").alias("n"))
+    sized = stage(members.join(info.select("node", "size", "shown"), "node").join(counts, "bucket"), scope)
+    least = F.greatest(F.lit(1), F.least("shown", "shown_") - _differences(t, "size", "size_")).cast("int").alias("least")
+
+    small, hot = sized.where(F.col("n") <= most).drop("n"), sized.where(F.col("n") > most)
+    if counted:
+        # A pair may share buckets of both kinds: all are counted together.
+        one, two = _blocks(sized, 256)
+        pairs = one.join(two, ["bucket", "i", "j"]).where(F.expr(_ONCE) & _able(t, "size", "size_"))
+        pairs = _counted(pairs.select(*_ordered("node", "node_"), least))
+    else:
+        # A link between buckets of both kinds may be counted in the small ones too rarely: its share of large buckets is allowed for.
+        crowded = hot.groupBy("node").agg(F.count("*").cast("int").alias("large"))
+        crowded = broadcast_if_small(stage(crowded, scope), 500_000)
+        few = small.join(crowded, "node", "left").withColumn("shown", F.col("shown") - F.coalesce("large", F.lit(0))).drop("large")
+        pairs = few.join(_second(few, "bucket"), "bucket").where((F.col("node") < F.col("node_")) & _able(t, "size", "size_"))
+        pairs = _counted(pairs.select(F.col("node").alias("a"), F.col("node_").alias("b"), least))
+        weighed = hot.join(crowded, "node").select("bucket", "node", "large")
+        pivot = weighed.groupBy("bucket").agg(F.max(F.struct("large", "node"))["node"].alias("pivot"))
+        pairs = pairs.unionByName(hot.join(pivot, "bucket").where("node <> pivot").select(*_ordered("node", "pivot"))).distinct()
+    pairs = stage(_sketched(pairs, info, t), scope)
+    sets = fetch(_ends(pairs))
+    if counted:
+        links = stage(_verified(pairs, sets, t), scope)
+        return links, components(links, scope)
+
+    forest = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).select(*_ordered("a", "b")).distinct()
+    links = stage(_verified(forest, sets, t), scope)
+    classes = components(links, scope)
+    more = stage(_verified(_parted(pairs, classes), sets, t), scope)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        classes = components(links, scope)
+    if hot.isEmpty():
+        return None, classes
+    named = hot.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    apart = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    one, two = _blocks(named.join(apart, "bucket").drop("shown").join(info.select("node", *SKETCH), "node"), 256)
+    met = one.join(two, ["bucket", "i", "j"]).where(F.expr(_ONCE) & F.expr("comp <> comp_") & _able(t, "size", "size_") & (_apart() <= _differences(t, "size", "size_")))
+    late = stage(met.select(*_ordered("node", "node_")).distinct(), scope)
+    if not late.isEmpty():
+        more = stage(_verified(late, fetch(_ends(late)), t), scope)
+        classes = components(links.unionByName(more), scope)
+    return None, classes
+
+
+def _parted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    out = pairs.join(classes.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a", "left").join(classes.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b", "left")
+    return out.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
 def meeting(entries: DataFrame, scope: str) -> DataFrame:
@@ -193,7 +232,7 @@ def meeting(entries: DataFrame, scope: str) -> DataFrame:
     Buckets are counted by partial aggregates, so that a hot bucket costs a row for each task;
     only entries of buckets with company are moved whole, through a join that may be split.
     """
-    counts = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stage(entries.join(counts, "bucket").select("bucket", "node").distinct(), scope)
+    counts = stage(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), scope)
+    members = stage(entries.join(broadcast_if_small(counts, 500_000), "bucket").distinct(), scope)  # a long a row
     several = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     return stage(members.join(several, "bucket"), scope)

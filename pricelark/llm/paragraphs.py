@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage
 from .jaccard import _lists, _signed, _words, mix, text_key
-from .links import components, link, meeting
+from .links import SKETCH, link, meeting, sketch
 from .tokens import slices
 
 _U = np.uint64
@@ -110,16 +110,18 @@ class Cut:
         self.starts = np.cumsum(self.count) - self.count
         place = np.arange(int(self.count.sum())) - np.repeat(self.starts, self.count)
         self.grams = _roll(h, np.repeat(first, self.count) + place, n)
-        # A paragraph's hash is that of its word sequence: its grams, each with its place.
+        # A paragraph's hash is that of its word sequence: its grams, each with its place.  ``check`` makes it 128 bits.
         placed = mix(self.grams + _U(0x9E3779B97F4A7C15) * (place + 1).astype(np.uint64))
-        self.unit = np.bitwise_xor.reduceat(placed, self.starts) if len(self.starts) else np.zeros(0, np.uint64)
+        whole = lambda x: np.bitwise_xor.reduceat(x, self.starts) if len(self.starts) else np.zeros(0, np.uint64)
+        self.unit, self.check = whole(placed), whole(mix(placed + _U(1)))
 
-        self.window = self.window_at = self.window_text = np.zeros(0, np.int64)
+        self.window_at = self.window_text = np.zeros(0, np.int64)
+        self.window = self.window_check = np.zeros(0, np.uint64)
         if windows and len(h) >= WINDOW:
             start = _winnowed(h, np.repeat(text_end, text_words))
             self.window_text = np.searchsorted(text_end, start, "right")
-            self.window_at, self.window = start - text_first[self.window_text], mix(_roll(h, start, WINDOW))
-        self.window = self.window.astype(np.uint64)
+            self.window_at = start - text_first[self.window_text]
+            self.window, self.window_check = mix(_roll(h, start, WINDOW)), mix(_roll(mix(h), start, WINDOW))
 
     def sets(self) -> list[np.ndarray]:
         return [np.unique(self.grams[a : a + c]) for a, c in zip(self.starts.tolist(), self.count.tolist())]
@@ -143,11 +145,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def units(docs: DataFrame, least: int, n: int, bands: int, rows: int) -> DataFrame:
-    """(row, doc_id, text_key, unit, at, words, buckets) per document, all but the first three arrays.
+    """(row, doc_id, text_key, unit, check, at, words, buckets) per document, all but the first three arrays.
 
     Paragraphs come before windows, whose ``words`` are 0; ``buckets`` has the paragraphs' band keys one after the other.
     """
-    schema = "row long, doc_id long, text_key long, unit array<long>, at array<int>, words array<int>, buckets array<long>"
+    schema = "row long, doc_id long, text_key long, unit array<long>, check array<long>, at array<int>, words array<int>, buckets array<long>"
 
     def nested(values: np.ndarray, counts: np.ndarray, kind) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values.astype(kind, copy=False)))
@@ -162,21 +164,39 @@ def units(docs: DataFrame, least: int, n: int, bands: int, rows: int) -> DataFra
             cat = lambda p, w: np.concatenate([p, w])[order]
             keys = c.band_keys(bands, rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), nested(cat(c.unit, c.window).view(np.int64), each, np.int64), nested(cat(c.at, c.window_at), each, np.int32),
+                [batch.column("row"), batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), nested(cat(c.unit, c.window).view(np.int64), each, np.int64), nested(cat(c.check, c.window_check).view(np.int64), each, np.int64), nested(cat(c.at, c.window_at), each, np.int32),
                  nested(cat(c.words, np.zeros(len(c.window), np.int64)), each, np.int32), nested(keys.reshape(-1).view(np.int64), bands * np.bincount(c.text, minlength=m), np.int64)],
-                names=["row", "doc_id", "text_key", "unit", "at", "words", "buckets"],
+                names=["row", "doc_id", "text_key", "unit", "check", "at", "words", "buckets"],
             )
 
     return _keyed(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, least: int, n: int) -> DataFrame:
+def _sets(docs: DataFrame, one: DataFrame, least: int, n: int, scope: str) -> DataFrame:
+    """(node, elements, size, s0, s1, s2, s3) of the paragraphs in ``one`` (unit, id, key, again), cut from the document that is named there."""
+    asked = one.groupBy("id", "key").agg(F.collect_list("unit").alias("asked"), F.max("again").alias("again"))  # of one document
+    asked = broadcast_if_small(stage(asked, scope), 20_000)  # a document's paragraphs a row
+    found = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select("text", "asked", "again")
+
     def run(batches):
         for batch in (s for x in batches for s in slices(x)):
             c = Cut(batch.column("text").to_pylist(), least, n, windows=False)
-            yield pa.RecordBatch.from_arrays([_signed(c.unit), _lists(c.sets())], names=["node", "elements"])
+            asked = [set(x) for x in batch.column("asked").to_pylist()]
+            rows, first = [], set()
+            for i, (of, unit) in enumerate(zip(c.text.tolist(), c.unit.view(np.int64).tolist())):
+                if unit in asked[of] and (of, unit) not in first:
+                    first.add((of, unit))
+                    rows.append(i)
+            sets = [np.unique(c.grams[a : a + k]) for a, k in zip(c.starts[rows].tolist(), c.count[rows].tolist())]
+            bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [_signed(c.unit[rows]), _lists(sets), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)], batch.column("again").take(pa.array(c.text[rows]))],
+                names=["node", "elements", "size", *SKETCH, "again"],
+            )
 
-    return docs.select("text").mapInArrow(run, "node long, elements array<long>")
+    sets = stage(found.mapInArrow(run, "node long, elements array<long>, size int, s0 long, s1 long, s2 long, s3 long, again boolean"), scope)
+    # Rows that repeat doc_id and text were all read.
+    return sets.where("NOT again").drop("again").unionByName(sets.where("again").drop("again").dropDuplicates(["node"]))
 
 
 def _contexts(docs: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -287,27 +307,29 @@ def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8
     members = meeting(banded, scope)
     near = members.select(F.col("node").alias("unit")).distinct()
 
-    found = cut.select("row", F.explode(F.arrays_zip("unit", "at", "words")).alias("u")).select("row", "u.unit", "u.at", "u.words")
+    found = cut.select("row", F.explode(F.arrays_zip("unit", "check", "at", "words")).alias("u")).select("row", "u.unit", "u.check", "u.at", "u.words")
     shared = cut.select(F.explode("unit").alias("unit")).groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit")
     wanted = stage(shared.unionByName(near).distinct(), scope)
-    some = found.join(wanted, "unit")
+    some = found.join(broadcast_if_small(wanted, 500_000), "unit")  # a long a row
     some = stage(some.join(cut.select("row", "doc_id", "text_key"), "row").drop("row"), scope)
 
-    one = some.join(near, "unit", "left_semi").groupBy("unit").agg(F.min(F.struct("doc_id", "text_key")).alias("o"))
-    one = stage(one.select(F.col("o.doc_id").alias("id"), F.col("o.text_key").alias("key")).distinct(), scope)
-    one = broadcast_if_small(one, 500_000)  # two longs a row
-    chosen = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select("text")
-    sets = _sets(chosen, least, n).join(near.withColumnRenamed("unit", "node"), "node", "left_semi").dropDuplicates(["node"])
-    links = link(members, stage(sets, scope), t, scope)
-    comp = components(links, scope).withColumnRenamed("node", "unit")
-
-    placed = some.join(comp, "unit", "left").withColumn("component", F.coalesce("comp", "unit")).drop("comp", "unit")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc"), F.col("text_key").alias("key"), F.col("at").alias("first"))
-    groups = placed.groupBy("component").agg(F.min(order).alias("f"), F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    groups = groups.where("lo <> hi OR a <> b").select(F.col("component"), F.col("f.doc").alias("first_doc"), F.col("f.key").alias("first_key"))
-    out = placed.join(groups, "component")
+    one = some.groupBy("unit").agg(F.min(F.struct("doc_id", "text_key")).alias("o")).join(near, "unit", "left_semi").select("unit", F.col("o.doc_id").alias("id"), F.col("o.text_key").alias("key"))
+    twice = cut.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg((F.count("*") > 1).alias("again"))
+    twice = twice.where("again").select(F.col("id").alias("id_"), F.col("key").alias("key_"), "again")
+    one = one.join(twice, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), "left").select("unit", "id", "key", F.coalesce("again", F.lit(False)).alias("again"))
+    sets = _sets(docs, one, least, n, scope)
+    nodes = sets.select("node", "size", F.lit(0).alias("shown"), *SKETCH)
+    _, comp = link(members, nodes, lambda asked: sets.select("node", "elements").join(asked, "node", "left_semi"), t, scope)
+    comp = comp.withColumnRenamed("node", "unit")
+
+    # Paragraphs of a component were compared; all other units are equal by 128 bits.
+    placed = some.join(comp, "unit", "left").withColumn("check", F.when(F.col("comp").isNull(), F.col("check")).otherwise(0)).withColumn("component", F.coalesce("comp", "unit")).drop("comp", "unit")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc"), F.col("text_key").alias("key"))
+    groups = placed.groupBy("component", "check").agg(F.min(order).alias("f"), F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bool_or(F.col("doc_id").isNull()).alias("null"))
+    groups = groups.where("lo <> hi OR a <> b OR null AND a IS NOT NULL").select("component", "check", F.col("f.doc").alias("first_doc"), F.col("f.key").alias("first_key"))
+    out = placed.join(groups, ["component", "check"])
     kept = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key"))
-    out = stage(out.select("doc_id", "text_key", "at", "words", "component", kept.alias("kept"), "first_doc"), scope)
+    out = stage(out.select("doc_id", "text_key", "at", "words", F.xxhash64("component", "check").alias("component"), kept.alias("kept"), "first_doc"), scope)
     return out.where("words > 0").unionByName(_extended(docs, out.where("words = 0"), scope))
 
 

@@ -90,14 +90,29 @@ def test_links_counted(spark):
     assert {r["doc_id"]: r["n_links"] for r in jaccard.near_components(make(spark, rows), 3, 0.9).collect()} == want
 
 
-def test_every_link_in_blocks(spark):
-    """Buckets split in blocks lose no pair and repeat none."""
-    sets = {k: list(range(k, k + 20)) for k in range(60)}
+@pytest.mark.parametrize("counted", [True, False])
+def test_links_of_large_buckets(spark, counted):
+    """Buckets above the bound, in several blocks, with most sets far from the pivot: no link or component is lost."""
+    sets = {k: list(range(k, k + 20)) for k in range(600) if k % 50 < 40}
     elements = spark.createDataFrame(list(sets.items()), "node long, elements array<long>")
-    members = spark.createDataFrame([(b, k) for b in (1, 2) for k in sets], "bucket long, node long")
+    bits = {k: links.sketch(jaccard.mix(np.array(v, np.uint64))).tolist() for k, v in sets.items()}
+    nodes = spark.createDataFrame([(k, 20, 0, *bits[k]) for k in sets], "node long, size int, shown int, s0 long, s1 long, s2 long, s3 long")
+    members = spark.createDataFrame([(b, k) for b in (1, 2) for k in sets] + [(3, 5), (3, 6)], "bucket long, node long")
+    fetch = lambda asked: elements.join(asked, "node", "left_semi")
+    found, classes = links.link(members, nodes, fetch, Fraction(4, 5), "test", counted, most=7)
     want = sorted((x, y) for x in sets for y in sets if x < y <= x + 2)  # 18 of 22 and more are 4 in 5
-    for most in (7, 256):
-        assert sorted(map(tuple, links.every_link(members, elements, Fraction(4, 5), "test", most).collect())) == want
+    if counted:
+        assert sorted(map(tuple, found.select("a", "b").collect())) == want
+    assert {r["node"]: r["comp"] for r in classes.collect()} == {k: k - k % 50 for k in sets}
+
+
+def test_sketches_never_exclude_a_link():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 900))).astype(np.uint64))
+        y = np.unique(np.concatenate([x[int(rng.integers(0, len(x) + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 200))).astype(np.uint64)]))
+        apart = sum(int(v).bit_count() for v in (links.sketch(x) ^ links.sketch(y)).view(np.uint64))
+        assert apart <= len(np.setxor1d(x, y))
 
 
 def test_pigeonhole():
@@ -112,7 +127,8 @@ def test_pigeonhole():
             y = np.unique(np.concatenate([x[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64)]))
             both = len(np.intersect1d(x, y))
             if len(y) and both * t.denominator >= t.numerator * (len(x) + len(y) - both) and not np.array_equal(x, y):
-                assert len(np.intersect1d(jaccard.entries(x, t), jaccard.entries(y, t)))
+                (one, shown), (two, shown2) = jaccard.entries(x, t), jaccard.entries(y, t)
+                assert len(np.intersect1d(one, two)) >= max(1, min(shown, shown2) - jaccard.differences(len(x), len(y), t))
 
 
 def test_one_deletion():
@@ -120,7 +136,7 @@ def test_one_deletion():
     t = Fraction(9, 10)
     assert jaccard.allocate(t, int(np.searchsorted(jaccard.bands(t), 11, "right")) - 1)[1]
     x = np.sort(np.arange(1, 12, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    assert all(len(np.intersect1d(jaccard.entries(x, t), jaccard.entries(np.delete(x, k), t))) for k in range(11))
+    assert all(len(np.intersect1d(jaccard.entries(x, t)[0], jaccard.entries(np.delete(x, k), t)[0])) for k in range(11))
 
 
 def test_keep_first(hard):
@@ -134,6 +150,8 @@ def test_links_components(spark):
     got = {r["node"]: r["comp"] for r in links.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)} | {200: 200, 201: 200}
     assert links.components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+    chain = spark.createDataFrame([(i, i + 1) for i in range(0, 3000)], "a long, b long").repartition(7)
+    assert [tuple(r) for r in links.components(chain, "test").groupBy("comp").count().collect()] == [(0, 3001)]
 
 
 # --- paragraphs --------------------------------------------------------------------------
