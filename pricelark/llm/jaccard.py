@@ -86,15 +86,42 @@ def bands(t: Fraction) -> list[int]:
     return out
 
 
+def differences(x: int, y: int, t: Fraction) -> int:
+    """The most elements in which linked sets of these sizes differ."""
+    p, q = t.numerator, t.denominator
+    return (x + y) * (q - p) // (q + p)
+
+
+#: From this size on, a set shows a hundredth of its size more segments than it needs, so that linked sets share several.
+PLAIN = 30
+
+
+def most_shown(x: int, t: Fraction) -> int:
+    """How many segments a set shows, where that are enough: one more than it may differ in from any it links with, and some."""
+    return differences(x, x * t.denominator // t.numerator, t) + 1 + x // 100
+
+
+def _full(n: int, m: int) -> float:
+    """How many of m segments n elements fill, but for one time in a billion."""
+    none = math.exp(-n / m)
+    return m * (1 - none) - 6 * math.sqrt(m * none * (1 - (1 + n / m) * none))
+
+
 @lru_cache(None)
 def allocate(t: Fraction, band: int, docs: float = 1e7) -> tuple[int, int, int]:
     """(whole, deleted, reserve): segments of each kind for a band, and what its allowances exceed H by.
 
-    Cost of an allocation: its entries, plus the sets that a set is expected to meet by
+    From ``PLAIN`` on a deletion costs more than it saves, and all segments are whole: so many that a set hardly ever has too
+    few that aren't empty.  Below, the cost of an allocation is its entries, plus the sets that a set is expected to meet by
     empty segments alone.  Those are indexed by the few sets with more of them than the
     reserve; their share is a Poisson tail, of ``docs`` sets in the band.
     """
     lo, hi = bands(t)[band], bands(t)[band + 1] - 1
+    if hi >= PLAIN:
+        m = most_shown(hi, t)
+        while any(_full(n, m) < most_shown(n, t) for n in (lo, hi)):
+            m += 1 + m // 100
+        return m, 0, 0
     h = differences(hi, hi, t)
     best = None
     for deleted in sorted({0, 1, h // 4, (h + 1) // 2}):
@@ -113,18 +140,12 @@ def allocate(t: Fraction, band: int, docs: float = 1e7) -> tuple[int, int, int]:
     return best[1]
 
 
-def differences(x: int, y: int, t: Fraction) -> int:
-    """The most elements in which linked sets of these sizes differ."""
-    p, q = t.numerator, t.denominator
-    return (x + y) * (q - p) // (q + p)
-
-
 def entries(s: np.ndarray, t: Fraction) -> tuple[np.ndarray, int]:
     """(a set's index entries, how many of them it has at least in a band).
 
     It is indexed in its own band and, where it may meet larger sets there, the next.  Where all segments are whole, a set
-    shows its first segments that aren't empty, one more than it may differ in from any it links with: of
-    two linked sets, the first segments of either hold one that the other has too, so both show it.  The number
+    shows its first segments that aren't empty, more than it may differ in from any it links with: of
+    two linked sets, the first segments of either hold some that the other has too, so both show them.  The number
     is 0 where a set has too few such segments or a band has segments with deletions.
     """
     out, least = [], None
@@ -146,7 +167,7 @@ def entries(s: np.ndarray, t: Fraction) -> tuple[np.ndarray, int]:
         sizes = np.bincount(part, minlength=m)
         tag = mix(np.arange(m, dtype=np.uint64) + (_U(band + 1) << _U(32)))
         if not deleted:
-            full, need = np.flatnonzero(sizes), differences(len(s), min(widest, hi), t) + 1
+            full, need = np.flatnonzero(sizes), most_shown(len(s), t)
             show = full[:need] if len(full) >= need else np.arange(m)
             enough = need if len(full) >= need else 0
         else:

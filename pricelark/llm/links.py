@@ -211,9 +211,10 @@ def link(members: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], Data
         return None, classes
     named = hot.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     apart = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    one, two = _blocks(named.join(apart, "bucket").drop("shown").join(info.select("node", *SKETCH), "node"), 256)
+    # A link that shares a small bucket was a candidate above, so these share as many large ones as a link does.
+    one, two = _blocks(named.join(apart, "bucket").join(info.select("node", *SKETCH), "node"), 256)
     met = one.join(two, ["bucket", "i", "j"]).where(F.expr(_ONCE) & F.expr("comp <> comp_") & _able(t, "size", "size_") & (_apart() <= _differences(t, "size", "size_")))
-    late = stage(met.select(*_ordered("node", "node_")).distinct(), scope)
+    late = stage(_counted(met.select(*_ordered("node", "node_"), least)), scope)
     if not late.isEmpty():
         more = stage(_verified(late, fetch(_ends(late)), t), scope)
         classes = components(links.unionByName(more), scope)
