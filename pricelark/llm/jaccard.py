@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage
-from .links import SKETCH, link, meeting, sketch
+from .links import link, meeting, sketch
 from .tokens import slices
 
 _U = np.uint64
@@ -197,18 +197,17 @@ def text_key(text: Column) -> Column:
 
 
 def indexed(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """(doc_id, text_key, n_shingles, node, size, shown, s0, s1, s2, s3, buckets) per row: the set's digest, size, sketch and index entries."""
-    schema = "doc_id long, text_key long, n_shingles long, node long, size int, shown int, s0 long, s1 long, s2 long, s3 long, buckets array<long>"
+    """(doc_id, text_key, n_shingles, node, size, shown, sketch, buckets) per row: the set's digest, size, sketch and index entries."""
+    schema = "doc_id long, text_key long, n_shingles long, node long, size int, shown int, sketch binary, buckets array<long>"
 
     def run(batches):
         for b in (s for x in batches for s in slices(x)):
             sets = [shingles(t_, n) for t_ in b.column("text").to_pylist()]
             made = [entries(s, t) if len(s) else (s, 0) for s in sets]
-            bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array([k for _, k in made], pa.int32()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)], _lists([e for e, _ in made])],
-                names=["doc_id", "text_key", "n_shingles", "node", "size", "shown", *SKETCH, "buckets"],
+                 pa.array([k for _, k in made], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), _lists([e for e, _ in made])],
+                names=["doc_id", "text_key", "n_shingles", "node", "size", "shown", "sketch", "buckets"],
             )
 
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
@@ -236,7 +235,7 @@ def _classes(docs: DataFrame, n: int, t: Fraction, scope: str, counted: bool) ->
     """(links, rows): rows (doc_id, text_key, n_shingles, node, comp), ``comp`` null where a set has no link."""
     rows = stage(indexed(docs, n, t), scope)
     members = meeting(rows.select(F.explode("buckets").alias("bucket"), "node"), scope)
-    nodes = rows.where("size(buckets) > 0").select("node", "size", "shown", *SKETCH)
+    nodes = rows.where("size(buckets) > 0").select("node", "size", "shown", "sketch")
     rows = rows.select("doc_id", "text_key", "n_shingles", "node")
     links, classes = link(members, nodes, lambda wanted: _fetched(docs, rows, n, wanted, scope), t, scope, counted)
     return links, rows.join(classes, "node", "left")

@@ -6,8 +6,8 @@ first, and never wrongly:
 
 * sizes alone;
 * the number of buckets that two sets share, where the index says how many a link shares at least;
-* sketches of 256 bits, one for each element's hash, flipped by every element: two sketches differ
-  in at most as many bits as the sets in elements;
+* sketches of 512 or 2048 bits, where each element flips the bit that its hash names: two sketches differ
+  in at most as many bits as the sets in elements (longer sets fill a sketch, and it excludes little);
 * at last the sets themselves, for pairs that still matter: first a forest (each set with the
   smallest candidate), then candidates that the forest has not joined.
 
@@ -30,14 +30,33 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage
 
-#: Columns of a sketch.
-SKETCH = ("s0", "s1", "s2", "s3")
+#: Bits of a sketch; of a set of ``LARGE`` elements or more, four times as many.
+BITS, LARGE = 512, 800
 
 
-def sketch(mixed: np.ndarray) -> np.ndarray:
-    """The 256 bits of a set of hashes as four longs: bit h is set if an odd number of hashes ends in h."""
-    odd = np.bincount((mixed & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def sketch(mixed: np.ndarray) -> bytes:
+    """The sketch of a set of hashes: bit h is set if an odd number of hashes ends in h."""
+    bits = BITS if len(mixed) < LARGE else 4 * BITS
+    odd = np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _bits(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sketches folded to ``BITS``, as rows of longs; whether a set is large, and the whole sketches of large ones (others: zeros)."""
+    found = column.to_pylist()
+    large = np.array([len(x) > BITS // 8 for x in found], bool)
+    whole = np.zeros((len(found), 4, BITS // 64), np.uint64)
+    read = lambda wanted: np.frombuffer(b"".join(x for x, is_large in zip(found, large) if is_large == wanted), np.uint64)
+    whole[large] = read(True).reshape(-1, 4, BITS // 64)
+    folded = np.bitwise_xor.reduce(whole, axis=1)
+    folded[~large] = read(False).reshape(-1, BITS // 64)
+    return folded, large, whole.reshape(len(found), -1)
+
+
+def _apart(one: tuple, two: tuple) -> np.ndarray:
+    """In how many bits sketches differ, by whole ones where both sets are large."""
+    count = lambda k: np.bitwise_count(one[k] ^ two[k]).sum(-1, dtype=np.int64)
+    return np.where(one[1] & two[1], count(2), count(0))
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,11 +134,6 @@ def _differences(t: Fraction, one: str, two: str) -> Column:
     return F.floor((F.col(one).cast("long") + F.col(two)) * (q - p) / (q + p))
 
 
-def _apart() -> Column:
-    """The number of bits in which two sketches differ."""
-    return sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"{s}_"))) for s in SKETCH), F.lit(0))
-
-
 def _second(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*[F.col(c) if c in keys else F.col(c).alias(f"{c}_") for c in df.columns])
 
@@ -130,9 +144,50 @@ def _ordered(one: str, two: str) -> list[Column]:
 
 def _sketched(pairs: DataFrame, info: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow a link."""
-    facts = info.select("node", "size", *SKETCH)
+    facts = info.select("node", "size", "sketch")
     out = pairs.join(facts.withColumnRenamed("node", "a"), "a").join(_second(facts).withColumnRenamed("node_", "b"), "b")
-    return out.where(_able(t, "size", "size_") & (_apart() <= _differences(t, "size", "size_"))).select("a", "b")
+    out = out.where(_able(t, "size", "size_")).select("a", "b", "sketch", "sketch_", _differences(t, "size", "size_").cast("long").alias("most"))
+
+    def run(batches):
+        for batch in batches:
+            apart = _apart(_bits(batch.column("sketch")), _bits(batch.column("sketch_")))
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= batch.column("most").to_numpy()))
+
+    return out.mapInArrow(run, "a long, b long")
+
+
+def _late(members: DataFrame, t: Fraction, most: int = 1024) -> DataFrame:
+    """(a, b, least) for each bucket and two of its ``members`` of different components whose sizes and sketches allow a link.
+
+    A bucket is cut in blocks of about ``most`` sets, and every two of its blocks are a group of their own.  Pairs are
+    made inside the groups; those that pass alone leave them.
+    """
+    p, q = t.numerator, t.denominator
+    cut = members.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "size", "shown", "sketch")
+
+    def run(group: pa.Table) -> pa.Table:
+        block, node, comp, size, shown = (group.column(c).to_numpy() for c in ("block", "node", "comp", "size", "shown"))
+        size, bits = size.astype(np.int64), _bits(group.column("sketch"))
+        folded = bits[0]
+        one, two = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        node2, comp2, size2, folded2 = node[two], comp[two], size[two], folded[two]
+        found = []
+        for x in one.tolist():
+            allowed = (size[x] + size2) * (q - p) // (q + p)
+            near = (comp2 != comp[x]) & (np.bitwise_count(folded2 ^ folded[x]).sum(1, dtype=np.int64) <= allowed)
+            near &= np.minimum(size[x], size2) * q >= np.maximum(size[x], size2) * p
+            if block.min() == block.max():
+                near &= node2 > node[x]
+            at = np.flatnonzero(near)
+            at = at[_apart([b[two[at]] for b in bits], [b[x] for b in bits]) <= allowed[at]]
+            if len(at):
+                found.append(np.stack([np.minimum(node[x], node2[at]), np.maximum(node[x], node2[at]), np.maximum(1, np.minimum(shown[x], shown[two[at]]) - allowed[at])]))
+        a, b, least = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+        return pa.table({"a": a, "b": b, "least": least})
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long, least long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -166,13 +221,13 @@ _ONCE = "(i < j OR node < node_)"
 def link(members: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], t: Fraction, scope: str, counted: bool = False, most: int = 64) -> tuple[DataFrame | None, DataFrame]:
     """(links, classes): ``classes`` (node, comp) has the component of every node with a link.
 
-    ``members``: distinct (bucket, node).  ``nodes``: (node, size, shown, s0, s1, s2, s3), rows may repeat; of the buckets
+    ``members``: distinct (bucket, node).  ``nodes``: (node, size, shown, sketch), rows may repeat; of the buckets
     that two linked nodes of a ``shown`` of f and g have, they share min(f, g) - T or more, and one at least.  ``fetch``
     gives (node, elements), arrays of distinct longs, for the nodes of a DataFrame.
     If ``counted``, ``links`` has all links (a, b), a < b, each once, which grow with the square of a group of near
     copies; else it is None, and links inside a component are verified only as far as they connect it.
     """
-    facts = nodes.groupBy("node").agg(*[F.min(c).alias(c) for c in ("size", "shown", *SKETCH)])
+    facts = nodes.groupBy("node").agg(*[F.min(c).alias(c) for c in ("size", "shown", "sketch")])
     info = stage(facts.join(members.select("node"), "node", "left_semi"), scope)
     counts = members.groupBy("bucket").agg(F.count("*").cast("int").alias("n"))
     sized = stage(members.join(info.select("node", "size", "shown"), "node").join(counts, "bucket"), scope)
@@ -187,7 +242,7 @@ def link(members: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], Data
     else:
         # A link between buckets of both kinds may be counted in the small ones too rarely: its share of large buckets is allowed for.
         crowded = hot.groupBy("node").agg(F.count("*").cast("int").alias("large"))
-        crowded = broadcast_if_small(stage(crowded, scope), 500_000)
+        crowded = broadcast_if_small(stage(crowded, scope), 500_000)  # a long and an int
         few = small.join(crowded, "node", "left").withColumn("shown", F.col("shown") - F.coalesce("large", F.lit(0))).drop("large")
         pairs = few.join(_second(few, "bucket"), "bucket").where((F.col("node") < F.col("node_")) & _able(t, "size", "size_"))
         pairs = _counted(pairs.select(F.col("node").alias("a"), F.col("node_").alias("b"), least))
@@ -212,9 +267,8 @@ def link(members: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], Data
     named = hot.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     apart = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     # A link that shares a small bucket was a candidate above, so these share as many large ones as a link does.
-    one, two = _blocks(named.join(apart, "bucket").join(info.select("node", *SKETCH), "node"), 256)
-    met = one.join(two, ["bucket", "i", "j"]).where(F.expr(_ONCE) & F.expr("comp <> comp_") & _able(t, "size", "size_") & (_apart() <= _differences(t, "size", "size_")))
-    late = stage(_counted(met.select(*_ordered("node", "node_"), least)), scope)
+    left = named.join(apart, "bucket").join(info.select("node", "sketch"), "node")
+    late = stage(_counted(_late(left, t)), scope)
     if not late.isEmpty():
         more = stage(_verified(late, fetch(_ends(late)), t), scope)
         classes = components(links.unionByName(more), scope)
@@ -233,7 +287,7 @@ def meeting(entries: DataFrame, scope: str) -> DataFrame:
     Buckets are counted by partial aggregates, so that a hot bucket costs a row for each task;
     only entries of buckets with company are moved whole, through a join that may be split.
     """
-    counts = stage(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), scope)
-    members = stage(entries.join(broadcast_if_small(counts, 500_000), "bucket").distinct(), scope)  # a long a row
+    counts = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = stage(entries.join(counts, "bucket").distinct(), scope)
     several = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     return stage(members.join(several, "bucket"), scope)

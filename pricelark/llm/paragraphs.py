@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage
 from .jaccard import _lists, _signed, _words, mix, text_key
-from .links import SKETCH, link, meeting, sketch
+from .links import link, meeting, sketch
 from .tokens import slices
 
 _U = np.uint64
@@ -172,11 +172,17 @@ def units(docs: DataFrame, least: int, n: int, bands: int, rows: int) -> DataFra
     return _keyed(docs).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
+def _named(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The texts that ``lists`` (id, key, and more) names, joined with it.  Only those move."""
+    names = broadcast_if_small(lists.select(F.col("id").alias("id_"), F.col("key").alias("key_")), 500_000)  # two longs a row
+    same = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & (text_key(F.col("text")) == F.col(b))
+    return docs.select("doc_id", "text").join(names, same("id_", "key_"), "left_semi").join(lists, same("id", "key"))
+
+
 def _sets(docs: DataFrame, one: DataFrame, least: int, n: int, scope: str) -> DataFrame:
-    """(node, elements, size, s0, s1, s2, s3) of the paragraphs in ``one`` (unit, id, key, again), cut from the document that is named there."""
+    """(node, elements, size, sketch) of the paragraphs in ``one`` (unit, id, key, again), cut from the document that is named there."""
     asked = one.groupBy("id", "key").agg(F.collect_list("unit").alias("asked"), F.max("again").alias("again"))  # of one document
-    asked = broadcast_if_small(stage(asked, scope), 20_000)  # a document's paragraphs a row
-    found = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select("text", "asked", "again")
+    found = _named(docs, stage(asked, scope)).select("text", "asked", "again")
 
     def run(batches):
         for batch in (s for x in batches for s in slices(x)):
@@ -188,23 +194,22 @@ def _sets(docs: DataFrame, one: DataFrame, least: int, n: int, scope: str) -> Da
                     first.add((of, unit))
                     rows.append(i)
             sets = [np.unique(c.grams[a : a + k]) for a, k in zip(c.starts[rows].tolist(), c.count[rows].tolist())]
-            bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [_signed(c.unit[rows]), _lists(sets), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)], batch.column("again").take(pa.array(c.text[rows]))],
-                names=["node", "elements", "size", *SKETCH, "again"],
+                [_signed(c.unit[rows]), _lists(sets), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), batch.column("again").take(pa.array(c.text[rows]))],
+                names=["node", "elements", "size", "sketch", "again"],
             )
 
-    sets = stage(found.mapInArrow(run, "node long, elements array<long>, size int, s0 long, s1 long, s2 long, s3 long, again boolean"), scope)
+    sets = stage(found.mapInArrow(run, "node long, elements array<long>, size int, sketch binary, again boolean"), scope)
     # Rows that repeat doc_id and text were all read.
     return sets.where("NOT again").drop("again").unionByName(sets.where("again").drop("again").dropDuplicates(["node"]))
 
 
-def _contexts(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+def _contexts(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
     """The windows of ``seeds`` with ``before`` (where ``back``) and ``after`` (where ``on``): codes of the window and its next 1, 2, ... ``REACH`` words on that side, as far as the text goes."""
     schema = "doc_id long, text_key long, at int, component long, kept boolean, first_doc long, before array<long>, after array<long>"
     each = seeds.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "component", "kept", "first_doc", "back", "on")).alias("seeds"))  # of one document
-    each = each.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "seeds")
-    found = docs.select("doc_id", "text").join(each, F.col("doc_id").eqNullSafe(F.col("id")) & (text_key(F.col("text")) == F.col("key"))).select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), "text", "seeds")
+    each = stage(each.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "seeds"), scope)
+    found = _named(docs, each).select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), "text", "seeds")
 
     def run(batches):
         for batch in (s for x in batches for s in slices(x)):
@@ -241,19 +246,42 @@ def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
     compared by grouping codes of the window and its k next words, never place by place: first for
     every ``STRIDE``-th k, then for those between where places that were alike so far part.  A side on which
     the next window of the text follows without a gap, kept or removed as well, needs no words: that window goes as
-    far.  Where no place of a window needs a side, it's left out.
+    far.  Where windows cover the next ``REACH`` words, two of the places that have the same ones stand for all.
     """
+    doc = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("text_key").alias("k"))
     turn = Window.partitionBy("doc_id", "text_key").orderBy("at")
-    joins = lambda f: F.coalesce((F.abs(f("at").over(turn) - F.col("at")) <= WINDOW) & (f("kept").over(turn) == F.col("kept")), F.lit(False))
-    seeds = seeds.distinct().withColumn("back", ~joins(F.lag)).withColumn("on", ~joins(F.lead))
+    at = lambda f, k: f("at", k).over(turn)
+
+    def ahead(f) -> tuple:
+        """(whether the text goes on with the next window, the windows of the next ``REACH`` words, null unless three at most cover them)."""
+        joined, code, done = F.lit(True), F.array(), F.lit(False)
+        flags = []
+        for k in (1, 2, 3):
+            before = at(f, k - 1) if k > 1 else F.col("at")
+            joined = joined & F.coalesce((F.abs(at(f, k) - before) <= WINDOW) & (f("kept", k).over(turn) == F.col("kept")), F.lit(False))
+            flags.append(joined)
+            code = F.when(joined & ~done, F.concat(code, F.array(f("component", k).over(turn), (at(f, k) - F.col("at")).cast("long")))).otherwise(code)
+            done = done | (joined & (F.abs(at(f, k) - F.col("at")) >= REACH))
+        return flags[0], F.when(done, code)
+
+    (backed, prev), (followed, next_) = ahead(F.lag), ahead(F.lead)
+    seeds = seeds.distinct().select("*", backed.alias("backed"), prev.alias("prev"), followed.alias("followed"), next_.alias("next"), doc.alias("doc"))
     seeds = stage(seeds, scope)
-    open_ = seeds.where("back OR on").groupBy("component").agg(F.max("back").alias("back"), F.max("on").alias("on"))
+    seeds = seeds.withColumn("back", ~F.col("backed")).withColumn("on", ~F.col("followed"))
+    open_ = seeds.where("back OR on").groupBy("component").agg(F.max("back").alias("b"), F.max("on").alias("o"))
+    # Of the places that go on with the same windows, the first and the last document stand for all.
+    closed = seeds.join(open_, "component")
+    seeds = closed.withColumn("back", F.col("back") | (F.col("b") & F.col("prev").isNull())).withColumn("on", F.col("on") | (F.col("o") & F.col("next").isNull())).drop("b", "o").unionByName(seeds.join(open_, "component", "left_anti"))
+    edge = lambda f: f(F.struct("doc", "at"))
+    stand = lambda side, when, other: closed.where(when).groupBy("component", other).agg(edge(F.min).alias("lo"), edge(F.max).alias("hi")).select(F.explode(F.array("lo", "hi")).alias("e"), F.lit(side).alias("side"))
+    marks = stand("back", "b AND backed AND prev IS NOT NULL", "prev").unionByName(stand("on", "o AND followed AND next IS NOT NULL", "next"))
+    marks = stage(marks.groupBy("e.doc", "e.at").agg(F.bool_or(F.col("side") == "back").alias("mb"), F.bool_or(F.col("side") == "on").alias("mo")), scope)
     none = F.lit(False)
-    seeds = stage(seeds.drop("back", "on").join(open_, "component", "left").withColumn("back", F.coalesce("back", none)).withColumn("on", F.coalesce("on", none)), scope)
+    seeds = seeds.join(marks, ["doc", "at"], "left").withColumn("back", F.col("back") | F.coalesce("mb", none)).withColumn("on", F.col("on") | F.coalesce("mo", none))
+    seeds = stage(seeds.select("doc_id", "text_key", "at", "component", "kept", "first_doc", "back", "on"), scope)
     whole = seeds.where("NOT (back OR on)").select("doc_id", "text_key", "at", F.lit(WINDOW).alias("words"), "component", "kept", "first_doc")
     seeds = seeds.where("back OR on")
-    doc = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("text_key").alias("k"))
-    places = stage(_contexts(docs, seeds).withColumn("place", F.monotonically_increasing_id()).withColumn("doc", doc), scope)
+    places = stage(_contexts(docs, seeds, scope).withColumn("place", F.monotonically_increasing_id()).withColumn("doc", doc), scope)
 
     def met(coded: DataFrame) -> DataFrame:
         """Of the codes that several documents have: whether an earlier one does, and whether the places part before the next code."""
@@ -318,7 +346,7 @@ def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8
     twice = twice.where("again").select(F.col("id").alias("id_"), F.col("key").alias("key_"), "again")
     one = one.join(twice, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), "left").select("unit", "id", "key", F.coalesce("again", F.lit(False)).alias("again"))
     sets = _sets(docs, one, least, n, scope)
-    nodes = sets.select("node", "size", F.lit(0).alias("shown"), *SKETCH)
+    nodes = sets.select("node", "size", F.lit(0).alias("shown"), "sketch")
     _, comp = link(members, nodes, lambda asked: sets.select("node", "elements").join(asked, "node", "left_semi"), t, scope)
     comp = comp.withColumnRenamed("node", "unit")
 
@@ -365,13 +393,16 @@ def remove(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8,
     gone = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("words")).alias("to")))).alias("s"))
     gone = stage(gone.select(F.col("doc_id").alias("__of"), F.col("text_key").alias("__key"), F.expr(_merged("s")).alias("__spans")), scope)
     names = docs.columns
-    on = F.col("doc_id").eqNullSafe(F.col("__of")) & text_key(F.col("text")).eqNullSafe(F.col("__key"))
+    on = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & text_key(F.col("text")).eqNullSafe(F.col(b))
     # Each word goes with the white space before it.
     words, space = (r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)", r"split(text, '[^\\x20\\x09-\\x0D]+')")
     pairs = f"transform(arrays_zip({space}, {words}), (x, i) -> named_struct('t', concat(x.`0`, x.`1`), 'i', i))"
     left = f"filter({pairs}, x -> x.t IS NOT NULL AND NOT exists(__spans, p -> x.i >= p.at AND x.i < p.to))"
     new = F.expr(f"trim(BOTH ' \\n' FROM array_join(transform({left}, x -> x.t), ''))")
-    cut = docs.join(gone, on, "left").withColumn("__new", F.when(F.col("__spans").isNotNull(), new)).where("__spans IS NULL OR __new <> ''")
-    size = F.length("__new").cast(dict(docs.dtypes).get("n_chars", "long"))
-    fresh = {"text": F.col("__new"), "n_chars": size}
-    return cut.select(*[(F.when(F.col("__spans").isNull(), F.col(f"`{c}`")).otherwise(fresh[c]) if c in fresh else F.col(f"`{c}`")).alias(c) for c in names])
+    # Only texts that lose something move.
+    asked = broadcast_if_small(gone.select(F.col("__of").alias("__id"), F.col("__key").alias("__k")), 500_000)  # two longs a row
+    same = [F.col(f"`{c}`") for c in names]
+    untouched = docs.join(asked, on("__id", "__k"), "left_anti").select(*same)
+    cut = docs.join(asked, on("__id", "__k"), "left_semi").join(gone, on("__of", "__key")).withColumn("__new", new).where("__new <> ''")
+    fresh = {"text": F.col("__new"), "n_chars": F.length("__new").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return untouched.unionByName(cut.select(*[fresh.get(c, F.col(f"`{c}`")).alias(c) for c in names]))

@@ -4,6 +4,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,8 +96,7 @@ def test_links_of_large_buckets(spark, counted):
     """Buckets above the bound, in several blocks, with most sets far from the pivot: no link or component is lost."""
     sets = {k: list(range(k, k + 20)) for k in range(600) if k % 50 < 40}
     elements = spark.createDataFrame(list(sets.items()), "node long, elements array<long>")
-    bits = {k: links.sketch(jaccard.mix(np.array(v, np.uint64))).tolist() for k, v in sets.items()}
-    nodes = spark.createDataFrame([(k, 20, 0, *bits[k]) for k in sets], "node long, size int, shown int, s0 long, s1 long, s2 long, s3 long")
+    nodes = spark.createDataFrame([(k, 20, 0, bytearray(links.sketch(jaccard.mix(np.array(v, np.uint64))))) for k, v in sets.items()], "node long, size int, shown int, sketch binary")
     members = spark.createDataFrame([(b, k) for b in (1, 2) for k in sets] + [(3, 5), (3, 6)], "bucket long, node long")
     fetch = lambda asked: elements.join(asked, "node", "left_semi")
     found, classes = links.link(members, nodes, fetch, Fraction(4, 5), "test", counted, most=7)
@@ -109,9 +109,9 @@ def test_links_of_large_buckets(spark, counted):
 def test_sketches_never_exclude_a_link():
     rng = np.random.default_rng(3)
     for _ in range(300):
-        x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 900))).astype(np.uint64))
+        x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 1500))).astype(np.uint64))
         y = np.unique(np.concatenate([x[int(rng.integers(0, len(x) + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 200))).astype(np.uint64)]))
-        apart = sum(int(v).bit_count() for v in (links.sketch(x) ^ links.sketch(y)).view(np.uint64))
+        apart = links._apart(*(links._bits(pa.array([links.sketch(v)], pa.binary())) for v in (x, y)))[0]
         assert apart <= len(np.setxor1d(x, y))
 
 
