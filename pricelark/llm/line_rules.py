@@ -14,7 +14,7 @@ adaptive execution may split a hot line's partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sql_let, stage
@@ -42,8 +42,8 @@ _REPEATED = (
 )
 
 
-def text_rules(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) per row.
+def text_rules(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and ``more`` named columns) per row.
 
     A null or empty text has no words and fails.
     """
@@ -52,13 +52,14 @@ def text_rules(docs: DataFrame) -> DataFrame:
     pair = sql_let(_words(t), "ws", f"named_struct('n', CAST(size(ws) AS BIGINT), 'r', {_REPEATED})")
     rows = docs.select(
         "doc_id",
+        F.struct(*more, F.lit(0).alias("_")).alias("more"),
         F.expr(pair).alias("w"),
         F.expr(f"CAST(length({_BLANKS % t}) AS BIGINT)").alias("word_chars"),
         F.expr(f"CAST(length({t}) - length(translate({t}, '#*$%&|<>', '')) AS BIGINT)").alias("n_symbols"),
         F.expr(sql_let(lines, "ls", "CAST(size(ls) - size(array_distinct(ls)) AS BIGINT)")).alias("n_dup_lines"),
     )
     n, r = F.col("w.n"), F.col("w.r")
-    return rows.select("doc_id", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), ((n < 50) | (100 * r > 50 * n)).alias("base_failed"))
+    return rows.select("doc_id", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), ((n < 50) | (100 * r > 50 * n)).alias("base_failed"), "more.*").drop("_")
 
 
 def _normal_lines(text: str) -> str:
@@ -68,14 +69,15 @@ def _normal_lines(text: str) -> str:
 
 
 def text_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(doc_id, host, content, line, words): one row for each non-blank line.
+    """(row, doc_id, host, content, line, words): one row for each non-blank line; ``row`` numbers the rows of ``docs``.
 
     A line is normalised by lower case, collapsed space and digits read as 0; ``content`` is
     a hash of the whole text, by which exact copies count as one document.
     """
     lines = f"filter({_normal_lines('text')}, x -> x <> '')"
     coded = rf"transform({lines}, x -> named_struct('line', xxhash64(x), 'words', length(x) - length(translate(x, ' ', '')) + 1))"
-    return docs.select("doc_id", F.col(host).alias("host"), F.xxhash64("text").alias("content"), F.explode(F.expr(coded)).alias("l")).select("doc_id", "host", "content", "l.line", "l.words")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col(host).alias("host"), F.xxhash64("text").alias("content"), "text")
+    return rows.select("row", "doc_id", "host", "content", F.explode(F.expr(coded)).alias("l")).select("row", "doc_id", "host", "content", "l.line", "l.words")
 
 
 def frequent_lines(lines: DataFrame, least: int = 20, share: float = 0.02) -> DataFrame:
@@ -91,16 +93,17 @@ def judge(docs: DataFrame, host: str = "source", least: int = 20, share: float =
     """The columns of `text_rules`, words in removed lines (``removed_words``), and ``kept``.
 
     ``kept`` is false if ``base_failed``, or if more than ``most_lost`` of the words stand
-    in removed lines.  Null hosts are one host.  Rows that share a doc_id are judged by
-    their own text for the rules and by all their lines together for the loss.  Empty
-    tables give empty tables; other columns are not looked at.
+    in removed lines.  Null hosts are one host.  Every row is judged by its own text, also where rows share
+    a doc_id or repeat.  Empty tables give empty tables; other columns are not looked at.
     """
     lines = stage(text_lines(docs, host), scope)
     often = frequent_lines(lines, least, share).select(F.col("host").alias("of"), F.col("line").alias("is"))
     gone = lines.join(often, (F.col("line") == F.col("is")) & F.col("host").eqNullSafe(F.col("of")))
-    lost = gone.groupBy("doc_id").agg(F.sum("words").alias("removed_words")).withColumnRenamed("doc_id", "in")
-    rules = text_rules(docs)
-    out = rules.join(lost, F.col("doc_id").eqNullSafe(F.col("in")), "left").drop("in")
+    # Rows that repeat lose the same words: those of one of them count.
+    lost = gone.groupBy("row", "doc_id", "host", "content").agg(F.sum("words").alias("words")).groupBy("doc_id", "host", "content").agg(F.max("words").alias("removed_words"))
+    lost = lost.select(F.col("doc_id").alias("in"), F.col("host").alias("at"), F.col("content").alias("with"), "removed_words")
+    rules = text_rules(docs, F.col(host).alias("host"), F.xxhash64("text").alias("content"))
+    out = rules.join(lost, F.col("doc_id").eqNullSafe(F.col("in")) & F.col("host").eqNullSafe(F.col("at")) & (F.col("content") == F.col("with")), "left").drop("in", "at", "with", "host", "content")
     removed = F.coalesce(F.col("removed_words"), F.lit(0)).cast("long")
     return out.withColumn("removed_words", removed).withColumn("kept", ~F.col("base_failed") & (removed <= most_lost * F.col("n_words")))
 

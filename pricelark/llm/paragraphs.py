@@ -285,10 +285,9 @@ def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
 
     def met(coded: DataFrame) -> DataFrame:
         """Of the codes that several documents have: whether an earlier one does, and whether the places part before the next code."""
-        coded = stage(coded, scope)
         groups = coded.groupBy("code").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("next").alias("lo"), F.max("next").alias("hi")).where("first <> last")
         found = coded.join(groups.select("code", "first", (F.col("lo") != F.col("hi")).alias("parts")), "code")
-        return stage(found.select("place", "back", "k", (F.col("first") < F.col("doc")).alias("earlier"), "parts"), scope)
+        return found.select("place", "back", "k", (F.col("first") < F.col("doc")).alias("earlier"), "parts")
 
     def coded(rows: DataFrame, levels) -> DataFrame:
         sides = F.concat(levels("before", True), levels("after", False))
@@ -304,7 +303,7 @@ def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
         here = F.transform(name, lambda c, i: F.struct(F.lit(back).alias("back"), (i + 1).alias("k"), c.alias("code"), F.lit(0).cast("long").alias("next")))
         return F.filter(here, lambda x: (x["k"] % STRIDE != 0) & F.array_contains("parted", F.struct(F.lit(back).alias("back"), (x["k"] - x["k"] % STRIDE).alias("k"))))
 
-    first = met(coded(places, rough))
+    first = stage(met(coded(places, rough)), scope)
     parted = first.where("parts").groupBy("place").agg(F.collect_set(F.struct("back", "k")).alias("parted"))  # some for each of two sides
     second = met(coded(places.join(parted, "place"), fine))
     most = lambda when, name: F.coalesce(F.max(F.when(F.expr(when), F.col("k"))), F.lit(0)).alias(name)

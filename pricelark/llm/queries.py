@@ -84,19 +84,19 @@ FROM words w LEFT JOIN per ON w.doc_id = per.doc_id"""
 
 
 _LINES_SQL = r"""
-WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-win AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) >= 3),
-dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
-covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS k FROM dup) GROUP BY doc_id),
-raw AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM w),
-lines AS (SELECT doc_id, source, text, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS nr, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT nr, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) >= 3),
+dup AS (SELECT nr, i FROM (SELECT nr, i, count(*) OVER (PARTITION BY nr, g) AS n FROM win) WHERE n > 1),
+covered AS (SELECT nr, count(*) AS n FROM (SELECT DISTINCT nr, unnest([i, i + 1, i + 2]) AS k FROM dup) GROUP BY nr),
+raw AS (SELECT nr, source, text, unnest(string_split(text, chr(10))) AS line FROM w),
+lines AS (SELECT nr, source, text, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dl AS (SELECT nr, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY nr),
 hosts AS (SELECT source, count(DISTINCT text) AS docs FROM lines GROUP BY source),
-often AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY source, norm) JOIN hosts USING (source) WHERE n >= 20 AND n > 0.02 * docs),
-lost AS (SELECT doc_id, sum(len(string_split(norm, ' '))) AS n FROM lines JOIN often USING (source, norm) GROUP BY doc_id),
+often AS (SELECT c.source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY source, norm) AS c JOIN hosts ON c.source IS NOT DISTINCT FROM hosts.source WHERE n >= 20 AND n > 0.02 * docs),
+lost AS (SELECT nr, sum(len(string_split(lines.norm, ' '))) AS n FROM lines JOIN often ON lines.norm = often.norm AND lines.source IS NOT DISTINCT FROM often.source GROUP BY nr),
 base AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS lost
-  FROM w LEFT JOIN dl USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id))
+  FROM w LEFT JOIN dl USING (nr) LEFT JOIN covered USING (nr) LEFT JOIN lost USING (nr))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.7 * n_words) AS kept

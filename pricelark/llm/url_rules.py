@@ -55,13 +55,13 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(tagged)
 
 
-def mine(labelled: DataFrame, support: float = 0.02, confidence: float = 0.6, lift: float = 1.05) -> DataFrame:
-    """(verdict, antecedent, confidence, support) mined from (items, verdict) rows."""
+def mine(labelled: DataFrame, support: float = 0.02, confidence: float = 0.6, lift: float = 1.05, longest: int = 4) -> DataFrame:
+    """(verdict, antecedent, confidence, support) mined from (items, verdict) rows; antecedents have up to ``longest`` tokens."""
     baskets = labelled.select(F.array_append("items", F.concat(F.lit("verdict="), F.col("verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent")[0].startswith("verdict=") & (F.col("lift") >= lift))
     plain = ~F.exists("antecedent", lambda x: x.startswith("verdict="))
-    return found.where(plain & (F.size("antecedent") <= 4)).select(
+    return found.where(plain & (F.size("antecedent") <= longest)).select(
         F.substring_index(F.col("consequent")[0], "=", -1).alias("verdict"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support"
     )
 

@@ -92,6 +92,14 @@ def test_line_rules(which, request):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_line_rules_repeated_rows(spark):
+    """A row that is there three times loses its words once."""
+    line = prose(900, 30)
+    rows = [(k, line + "\n" + prose(k, 60), "a") for k in range(25)] + [(3, line + "\n" + prose(3, 60), "a")] * 2
+    got = {(r["doc_id"], r["removed_words"], r["kept"]) for r in line_rules.judge(make(spark, rows)).collect()}
+    assert got == {(k, 30, True) for k in range(25)}
+
+
 def test_frequent_lines(spark, empty):
     own = [(i, "Shared  banner 12 text\n" + prose(i + 1, 60), "h") for i in range(30)]
     thin = [(100 + i, ("shared banner 7 TEXT\n" * 40) + prose(200 + i, 30), "h") for i in range(3)]
@@ -184,7 +192,8 @@ def test_urls_mine(spark):
 
 
 def test_no_python_in_native_plans(corpus):
-    for df in (license_scan.license_report(corpus), line_rules.judge(corpus), mixing.mix_report(corpus)):
+    pages = corpus.sparkSession.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for df in (license_scan.license_report(corpus), line_rules.judge(corpus), mixing.mix_report(corpus), url_rules.judge(pages)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
