@@ -124,7 +124,7 @@ def siblings(listings: DataFrame, overrides: DataFrame, stores: DataFrame, of: D
     own = listings.select("id", F.col("price").alias("_own"))
     base = keyed.join(of.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("of_id"), "key")
     met = base.join(keyed, "key").where("id <> of_id")
-    return met.join(own, "id").join(price, "id", "left").select("of_id", "id", F.coalesce("_p", "_own").alias("price"))
+    return met.join(own, "id").join(price, "id", "left").select("of_id", "id", F.coalesce("_p", "_own").alias("price")).orderBy("of_id", F.col("price").asc_nulls_last(), "id")
 
 
 def store_counts(stores: DataFrame, listings: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -254,12 +254,12 @@ def price_simulation(spark, d):
     return market.simulate(t.listings(spark, d)).select("id", "discount", money.cents(F.col("simulated")).alias("price_cents"))
 
 
-@query(with_("listing") + ", codes AS (SELECT id, upper(regexp_replace(brand, '[^0-9A-Za-z]', '', 'g')) || id AS code FROM listing WHERE id % 20 = 0), texts AS (SELECT id AS offer_id, upper(regexp_replace(brand || name, '[^0-9A-Za-z]', '', 'g')) || id AS flat FROM listing) SELECT c.id AS query_id, offer_id, code FROM codes c JOIN (SELECT offer_id, right(flat, 30) AS flat FROM texts) x ON contains(flat, code) WHERE length(code) >= 6")
+@query(with_("listing") + ", codes AS (SELECT id, upper(regexp_replace(brand, '[^0-9A-Za-z]', '', 'g')) || id AS code FROM listing WHERE id % 20 = 0), texts AS (SELECT id AS offer_id, upper(regexp_replace(brand || name, '[^0-9A-Za-z]', '', 'g')) || id AS flat FROM listing) SELECT c.id AS query_id, offer_id, code FROM codes c JOIN texts x ON contains(flat, code) WHERE length(code) >= 6")
 def code_inside_title(spark, d):
     lists = t.listings(spark, d)
     code = F.concat(text.norm_code(F.col("brand")), F.col("id").cast("string"))
     q = lists.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.array(code).alias("oem_numbers"))
-    titles = lists.select(F.col("id").alias("offer_id"), F.expr("right(concat(regexp_replace(upper(concat(brand, name)), '[^0-9A-Z]', ''), CAST(id AS STRING)), 30)").alias("title"))
+    titles = lists.select(F.col("id").alias("offer_id"), F.expr("concat(regexp_replace(upper(concat(brand, name)), '[^0-9A-Z]', ''), CAST(id AS STRING))").alias("title"))
     return offers.containing_code(q, titles)
 
 

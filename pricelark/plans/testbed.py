@@ -58,8 +58,9 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").where("s_suppkey < 9")
-    return s.select(F.col("s_suppkey").alias("store_id"), F.when(F.col("s_suppkey") % 5 == 0, "owned").otherwise("competitor").alias("kind"))
+    """Every store that a listing names."""
+    s = table(spark, sf_dir, "part").select((F.col("p_partkey") % 10).alias("store_id")).distinct()
+    return s.select("store_id", F.when(F.col("store_id") % 5 == 0, "owned").otherwise("competitor").alias("kind"))
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +114,7 @@ SQL = {
   CASE WHEN p_partkey % 2 = 0 THEN 'https://shop-cs' || (p_partkey % 10) || '.prom.ua/p' || p_partkey || '-x.html' ELSE 'https://prom.ua/ua/p' || p_partkey || '-x.html' END AS url, p_partkey AS seen FROM part)""",
     "override": """override AS (SELECT id AS listing_id, CASE WHEN id % 14 <> 0 THEN 'Override ' || name END AS name, CASE WHEN id % 28 <> 0 THEN sku END AS sku, CASE WHEN id % 28 <> 0 THEN brand END AS brand,
   CASE WHEN id % 49 <> 0 THEN cents + 1000 END AS cents, id % 2 = 0 AS is_available, id % 21 = 0 AS is_deleted, id + 1000000 AS seen FROM listing WHERE id % 7 = 0)""",
-    "store": "store AS (SELECT s_suppkey AS store_id, CASE WHEN s_suppkey % 5 = 0 THEN 'owned' ELSE 'competitor' END AS kind FROM supplier WHERE s_suppkey < 9)",
+    "store": "store AS (SELECT DISTINCT p_partkey % 10 AS store_id, CASE WHEN p_partkey % 10 % 5 = 0 THEN 'owned' ELSE 'competitor' END AS kind FROM part)",
     "cat": """cat AS (SELECT l.id, l.store_id, s.kind, l.url, CASE WHEN o.listing_id IS NOT NULL THEN o.name ELSE l.name END AS name, CASE WHEN o.listing_id IS NOT NULL THEN o.sku ELSE l.sku END AS sku,
   CASE WHEN o.listing_id IS NOT NULL THEN o.brand ELSE l.brand END AS brand, CASE WHEN o.listing_id IS NOT NULL THEN o.cents ELSE l.cents END AS cents,
   CASE WHEN o.listing_id IS NOT NULL THEN o.is_available ELSE l.is_available END AS is_available, CASE WHEN o.listing_id IS NOT NULL THEN o.seen ELSE l.seen END AS seen
