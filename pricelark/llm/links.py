@@ -157,7 +157,10 @@ def _sketched(pairs: DataFrame, info: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _late(members: DataFrame, t: Fraction, most: int = 1024) -> DataFrame:
-    """(a, b, least) for each bucket and two of its ``members`` of different components whose sizes and sketches allow a link.
+    """(a, b, least) for each bucket and two of its ``members`` of different ``comp`` whose sizes and sketches allow a link.
+
+    If ``members`` has ``all``, the sorted buckets of each node, a pair is given for the first bucket that it shares alone, and
+    only if it shares ``least`` or more.
 
     A bucket is cut in blocks of about ``most`` sets, and every two of its blocks are a group of their own.  Pairs are
     made inside the groups; those that pass alone leave them.
@@ -165,7 +168,7 @@ def _late(members: DataFrame, t: Fraction, most: int = 1024) -> DataFrame:
     p, q = t.numerator, t.denominator
     cut = members.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "size", "shown", "sketch")
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "size", "shown", "sketch", *(["all"] if "all" in members.columns else []))
 
     def run(group: pa.Table) -> pa.Table:
         block, node, comp, size, shown = (group.column(c).to_numpy() for c in ("block", "node", "comp", "size", "shown"))
@@ -173,7 +176,13 @@ def _late(members: DataFrame, t: Fraction, most: int = 1024) -> DataFrame:
         folded = bits[0]
         one, two = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         node2, comp2, size2, folded2 = node[two], comp[two], size[two], folded[two]
-        found = []
+        lists = [np.array(v, np.int64) for v in group.column("all").to_pylist()] if "all" in group.column_names else None
+        bucket, found = group.column("bucket")[0].as_py(), []
+
+        def here(x: int, y: int, least: int) -> bool:
+            both = np.intersect1d(lists[x], lists[y], assume_unique=True)
+            return len(both) >= least and both[0] == bucket
+
         for x in one.tolist():
             allowed = (size[x] + size2) * (q - p) // (q + p)
             near = (comp2 != comp[x]) & (np.bitwise_count(folded2 ^ folded[x]).sum(1, dtype=np.int64) <= allowed)
@@ -182,6 +191,8 @@ def _late(members: DataFrame, t: Fraction, most: int = 1024) -> DataFrame:
                 near &= node2 > node[x]
             at = np.flatnonzero(near)
             at = at[_apart([b[two[at]] for b in bits], [b[x] for b in bits]) <= allowed[at]]
+            if lists:
+                at = at[[here(x, y, min(shown[x], shown[y]) - k) for y, k in zip(two[at].tolist(), allowed[at].tolist())]] if len(at) else at
             if len(at):
                 found.append(np.stack([np.minimum(node[x], node2[at]), np.maximum(node[x], node2[at]), np.maximum(1, np.minimum(shown[x], shown[two[at]]) - allowed[at])]))
         a, b, least = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
@@ -206,18 +217,6 @@ def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("least").alias("least")).where("k >= least").select("a", "b")
 
 
-def _blocks(sized: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Two sides to join on (bucket, i, j): every pair of a bucket once, in groups of about ``most`` sets a side."""
-    cut = sized.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("n")
-    rest = [c for c in sized.columns if c not in ("bucket", "n")]
-    one = cut.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *rest)
-    two = cut.select("bucket", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), *rest)
-    return one, _second(two, "bucket", "i", "j")
-
-
-_ONCE = "(i < j OR node < node_)"
-
-
 def link(members: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], t: Fraction, scope: str, counted: bool = False, most: int = 64) -> tuple[DataFrame | None, DataFrame]:
     """(links, classes): ``classes`` (node, comp) has the component of every node with a link.
 
@@ -234,18 +233,18 @@ def link(members: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], Data
     least = F.greatest(F.lit(1), F.least("shown", "shown_") - _differences(t, "size", "size_")).cast("int").alias("least")
 
     small, hot = sized.where(F.col("n") <= most).drop("n"), sized.where(F.col("n") > most)
+    # A link between buckets of both kinds may be counted in the small ones too rarely: its share of large buckets is allowed for.
+    crowded = hot.groupBy("node").agg(F.count("*").cast("int").alias("large"))
+    crowded = broadcast_if_small(stage(crowded, scope), 500_000)  # a long and an int
+    few = small.join(crowded, "node", "left").withColumn("shown", F.col("shown") - F.coalesce("large", F.lit(0))).drop("large")
+    pairs = few.join(_second(few, "bucket"), "bucket").where((F.col("node") < F.col("node_")) & _able(t, "size", "size_"))
+    pairs = _counted(pairs.select(F.col("node").alias("a"), F.col("node_").alias("b"), least))
     if counted:
-        # A pair may share buckets of both kinds: all are counted together.
-        one, two = _blocks(sized, 256)
-        pairs = one.join(two, ["bucket", "i", "j"]).where(F.expr(_ONCE) & _able(t, "size", "size_"))
-        pairs = _counted(pairs.select(*_ordered("node", "node_"), least))
+        # A link that shares no small bucket shares as many large ones as a link does; it's given in the first.
+        own = hot.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("all"))  # one set's entries
+        full = hot.withColumn("comp", F.col("node")).join(own, "node").join(info.select("node", "sketch"), "node")
+        pairs = pairs.unionByName(_late(full, t).select("a", "b")).distinct()
     else:
-        # A link between buckets of both kinds may be counted in the small ones too rarely: its share of large buckets is allowed for.
-        crowded = hot.groupBy("node").agg(F.count("*").cast("int").alias("large"))
-        crowded = broadcast_if_small(stage(crowded, scope), 500_000)  # a long and an int
-        few = small.join(crowded, "node", "left").withColumn("shown", F.col("shown") - F.coalesce("large", F.lit(0))).drop("large")
-        pairs = few.join(_second(few, "bucket"), "bucket").where((F.col("node") < F.col("node_")) & _able(t, "size", "size_"))
-        pairs = _counted(pairs.select(F.col("node").alias("a"), F.col("node_").alias("b"), least))
         weighed = hot.join(crowded, "node").select("bucket", "node", "large")
         pivot = weighed.groupBy("bucket").agg(F.max(F.struct("large", "node"))["node"].alias("pivot"))
         pairs = pairs.unionByName(hot.join(pivot, "bucket").where("node <> pivot").select(*_ordered("node", "pivot"))).distinct()
