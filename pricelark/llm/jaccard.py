@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stage
-from .links import link, meeting, sketch
+from .links import degrees, link, meeting, sketch
 from .tokens import slices
 
 _U = np.uint64
@@ -231,14 +231,17 @@ def _fetched(docs: DataFrame, rows: DataFrame, n: int, wanted: DataFrame, scope:
     return sets.where("NOT again").drop("again").unionByName(sets.where("again").drop("again").dropDuplicates(["node"]))
 
 
-def _classes(docs: DataFrame, n: int, t: Fraction, scope: str, counted: bool) -> tuple[DataFrame | None, DataFrame]:
-    """(links, rows): rows (doc_id, text_key, n_shingles, node, comp), ``comp`` null where a set has no link."""
+def _classes(docs: DataFrame, n: int, t: Fraction, scope: str, counted: bool = False) -> DataFrame:
+    """Rows (doc_id, text_key, n_shingles, node, comp), with n_links if ``counted``; both null where a set has no link."""
     rows = stage(indexed(docs, n, t), scope)
     members = meeting(rows.select(F.explode("buckets").alias("bucket"), "node"), scope)
     nodes = rows.where("size(buckets) > 0").select("node", "size", "shown", "sketch")
     rows = rows.select("doc_id", "text_key", "n_shingles", "node")
-    links, classes = link(members, nodes, lambda wanted: _fetched(docs, rows, n, wanted, scope), t, scope, counted)
-    return links, rows.join(classes, "node", "left")
+    fetch = lambda wanted: _fetched(docs, rows, n, wanted, scope)
+    classes = link(members, nodes, fetch, t, scope)
+    if counted:
+        classes = classes.join(stage(degrees(classes, fetch, t, scope), scope), "node")
+    return rows.join(classes, "node", "left")
 
 
 def near_components(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0.8, scope: str = "jaccard", counted: bool = True) -> DataFrame:
@@ -252,11 +255,10 @@ def near_components(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0
 
     Unless ``counted``, there's no n_links, and links inside a component are verified only as far as they connect it.
     """
-    links, rows = _classes(docs, n, Fraction(threshold).limit_denominator(1000), scope, counted)
+    rows = _classes(docs, n, Fraction(threshold).limit_denominator(1000), scope, counted)
     named = rows.withColumn("comp", F.coalesce("comp", "node"))
     if counted:
-        degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-        named = named.join(degree, "node", "left").fillna(0, ["n_links"])
+        named = named.fillna(0, ["n_links"])
     names = ["doc_id", "n_shingles", *["n_links"] * counted, "component_id"]
     full = named.where("n_shingles > 0")
     first = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -270,7 +272,7 @@ def keep_first(docs: DataFrame, n: int = 5, threshold: float | Fraction = 0.8, s
 
     Of rows that repeat doc_id and text one stays.  Rows without a word are linked with nothing and stay.
     """
-    _, rows = _classes(docs, n, Fraction(threshold).limit_denominator(1000), scope, counted=False)
+    rows = _classes(docs, n, Fraction(threshold).limit_denominator(1000), scope)
     full = stage(rows.where("n_shingles > 0").select(F.coalesce("comp", "node").alias("comp"), "doc_id", "text_key"), scope)
     order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "text_key")
     groups = full.groupBy("comp").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")

@@ -13,9 +13,9 @@ first, and never wrongly:
 
 Buckets of up to ``most`` sets give all their pairs.  A larger bucket would give a square, so there each set meets
 the bucket's pivot alone, the set that shares most buckets with others, in a group of near copies the one nearest
-all.  Then only sets of different components still matter; they are compared by sketches inside the join, in
-blocks of bounded size, so that no task gets a whole bucket and no pair is written but the few that pass.
-No link between components is lost.
+all, before small buckets are looked at.  Then only sets of different components still matter; they are compared by
+sketches inside the join, in blocks of bounded size, so that no task gets a whole bucket and no pair is written but the
+few that pass.  No link between components is lost.  Links inside components are counted in blocks (`degrees`).
 """
 
 from __future__ import annotations
@@ -159,16 +159,13 @@ def _sketched(pairs: DataFrame, info: DataFrame, t: Fraction) -> DataFrame:
 def _late(members: DataFrame, t: Fraction, most: int = 1024) -> DataFrame:
     """(a, b, least) for each bucket and two of its ``members`` of different ``comp`` whose sizes and sketches allow a link.
 
-    If ``members`` has ``all``, the sorted buckets of each node, a pair is given for the first bucket that it shares alone, and
-    only if it shares ``least`` or more.
-
     A bucket is cut in blocks of about ``most`` sets, and every two of its blocks are a group of their own.  Pairs are
     made inside the groups; those that pass alone leave them.
     """
     p, q = t.numerator, t.denominator
     cut = members.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "size", "shown", "sketch", *(["all"] if "all" in members.columns else []))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "size", "shown", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
         block, node, comp, size, shown = (group.column(c).to_numpy() for c in ("block", "node", "comp", "size", "shown"))
@@ -176,13 +173,7 @@ def _late(members: DataFrame, t: Fraction, most: int = 1024) -> DataFrame:
         folded = bits[0]
         one, two = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         node2, comp2, size2, folded2 = node[two], comp[two], size[two], folded[two]
-        lists = [np.array(v, np.int64) for v in group.column("all").to_pylist()] if "all" in group.column_names else None
-        bucket, found = group.column("bucket")[0].as_py(), []
-
-        def here(x: int, y: int, least: int) -> bool:
-            both = np.intersect1d(lists[x], lists[y], assume_unique=True)
-            return len(both) >= least and both[0] == bucket
-
+        found = []
         for x in one.tolist():
             allowed = (size[x] + size2) * (q - p) // (q + p)
             near = (comp2 != comp[x]) & (np.bitwise_count(folded2 ^ folded[x]).sum(1, dtype=np.int64) <= allowed)
@@ -191,8 +182,6 @@ def _late(members: DataFrame, t: Fraction, most: int = 1024) -> DataFrame:
                 near &= node2 > node[x]
             at = np.flatnonzero(near)
             at = at[_apart([b[two[at]] for b in bits], [b[x] for b in bits]) <= allowed[at]]
-            if lists:
-                at = at[[here(x, y, min(shown[x], shown[y]) - k) for y, k in zip(two[at].tolist(), allowed[at].tolist())]] if len(at) else at
             if len(at):
                 found.append(np.stack([np.minimum(node[x], node2[at]), np.maximum(node[x], node2[at]), np.maximum(1, np.minimum(shown[x], shown[two[at]]) - allowed[at])]))
         a, b, least = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
@@ -217,52 +206,48 @@ def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("least").alias("least")).where("k >= least").select("a", "b")
 
 
-def link(members: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], t: Fraction, scope: str, counted: bool = False, most: int = 64) -> tuple[DataFrame | None, DataFrame]:
-    """(links, classes): ``classes`` (node, comp) has the component of every node with a link.
+def link(members: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], t: Fraction, scope: str, most: int = 64) -> DataFrame:
+    """(node, comp): the component of every node with a link.
 
     ``members``: distinct (bucket, node).  ``nodes``: (node, size, shown, sketch), rows may repeat; of the buckets
     that two linked nodes of a ``shown`` of f and g have, they share min(f, g) - T or more, and one at least.  ``fetch``
     gives (node, elements), arrays of distinct longs, for the nodes of a DataFrame.
-    If ``counted``, ``links`` has all links (a, b), a < b, each once, which grow with the square of a group of near
-    copies; else it is None, and links inside a component are verified only as far as they connect it.
+    Links inside a component are verified only as far as they connect it; `degrees` counts them all.
     """
     facts = nodes.groupBy("node").agg(*[F.min(c).alias(c) for c in ("size", "shown", "sketch")])
     info = stage(facts.join(members.select("node"), "node", "left_semi"), scope)
     counts = members.groupBy("bucket").agg(F.count("*").cast("int").alias("n"))
     sized = stage(members.join(info.select("node", "size", "shown"), "node").join(counts, "bucket"), scope)
-    least = F.greatest(F.lit(1), F.least("shown", "shown_") - _differences(t, "size", "size_")).cast("int").alias("least")
-
     small, hot = sized.where(F.col("n") <= most).drop("n"), sized.where(F.col("n") > most)
-    # A link between buckets of both kinds may be counted in the small ones too rarely: its share of large buckets is allowed for.
     crowded = hot.groupBy("node").agg(F.count("*").cast("int").alias("large"))
     crowded = broadcast_if_small(stage(crowded, scope), 500_000)  # a long and an int
+
+    # Large buckets first: each set with the pivot.  What that joins needs no pairs of small buckets.
+    weighed = hot.join(crowded, "node").select("bucket", "node", "large")
+    pivot = weighed.groupBy("bucket").agg(F.max(F.struct("large", "node"))["node"].alias("pivot"))
+    starred = hot.join(pivot, "bucket").where("node <> pivot").select(*_ordered("node", "pivot")).distinct()
+    starred = stage(_sketched(starred, info, t), scope)
+    links = stage(_verified(starred, fetch(_ends(starred)), t), scope)
+    classes = components(links, scope)
+
+    # A link between buckets of both kinds may be counted in the small ones too rarely: its share of large buckets is allowed for.
     few = small.join(crowded, "node", "left").withColumn("shown", F.col("shown") - F.coalesce("large", F.lit(0))).drop("large")
-    pairs = few.join(_second(few, "bucket"), "bucket").where((F.col("node") < F.col("node_")) & _able(t, "size", "size_"))
-    pairs = _counted(pairs.select(F.col("node").alias("a"), F.col("node_").alias("b"), least))
-    if counted:
-        # A link that shares no small bucket shares as many large ones as a link does; it's given in the first.
-        own = hot.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("all"))  # one set's entries
-        full = hot.withColumn("comp", F.col("node")).join(own, "node").join(info.select("node", "sketch"), "node")
-        pairs = pairs.unionByName(_late(full, t).select("a", "b")).distinct()
-    else:
-        weighed = hot.join(crowded, "node").select("bucket", "node", "large")
-        pivot = weighed.groupBy("bucket").agg(F.max(F.struct("large", "node"))["node"].alias("pivot"))
-        pairs = pairs.unionByName(hot.join(pivot, "bucket").where("node <> pivot").select(*_ordered("node", "pivot"))).distinct()
+    few = few.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = F.greatest(F.lit(1), F.least("shown", "shown_") - _differences(t, "size", "size_")).cast("int").alias("least")
+    met = few.join(_second(few, "bucket"), "bucket").where((F.col("node") < F.col("node_")) & (F.col("comp") != F.col("comp_")) & _able(t, "size", "size_"))
+    pairs = _counted(met.select(F.col("node").alias("a"), F.col("node_").alias("b"), least))
     pairs = stage(_sketched(pairs, info, t), scope)
     sets = fetch(_ends(pairs))
-    if counted:
-        links = stage(_verified(pairs, sets, t), scope)
-        return links, components(links, scope)
 
     forest = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).select(*_ordered("a", "b")).distinct()
-    links = stage(_verified(forest, sets, t), scope)
+    links = links.unionByName(stage(_verified(forest, sets, t), scope))
     classes = components(links, scope)
     more = stage(_verified(_parted(pairs, classes), sets, t), scope)
     if not more.isEmpty():
         links = links.unionByName(more)
         classes = components(links, scope)
     if hot.isEmpty():
-        return None, classes
+        return classes
     named = hot.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     apart = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     # A link that shares a small bucket was a candidate above, so these share as many large ones as a link does.
@@ -271,7 +256,56 @@ def link(members: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], Data
     if not late.isEmpty():
         more = stage(_verified(late, fetch(_ends(late)), t), scope)
         classes = components(links.unionByName(more), scope)
-    return None, classes
+    return classes
+
+
+def _common(row: np.ndarray, element: np.ndarray, one: np.ndarray, two: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many elements the sets ``one`` and ``two`` (row numbers) have in common, as a matrix."""
+    _, at, n = np.unique(element, return_inverse=True, return_counts=True)
+    shared = n[at] > 1
+    row, column = row[shared], (np.cumsum(n > 1) - 1)[at[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(one), len(two)))
+    for start in range(0, int((n > 1).sum()), width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        held = np.zeros((max(one.max(), two.max()) + 1, width), np.float32)
+        held[row[lo:hi], column[lo:hi] - start] = 1
+        both += held[one] @ held[two].T
+    return both
+
+
+def degrees(classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], t: Fraction, scope: str, most: int = 256, room: int = 1_000_000) -> DataFrame:
+    """(node, n_links): how many other nodes each node of ``classes`` (node, comp) is linked with.
+
+    All links are inside components.  Two nodes of their own have one.  A larger component is cut in blocks of about ``most``
+    sets and ``room`` elements, every two of its blocks are a group of their own, and a task counts the links of a group
+    by a product of incidence matrices.  A row leaves for each set of a group, none for a pair.
+    """
+    p, q = t.numerator, t.denominator
+    several = classes.groupBy("comp").agg(F.count("*").alias("n"))
+    wanted = classes.join(several.where("n > 2"), "comp").select("node", "comp")
+    held = fetch(wanted.select("node")).join(wanted, "node")
+    cut = held.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum(F.size("elements").cast("long")) / room)).cast("int").alias("blocks"))
+    dealt = held.join(cut, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "elements")
+
+    def run(group: pa.Table) -> pa.Table:
+        block, node, lists = group.column("block").to_numpy(), group.column("node").to_numpy(), group.column("elements").combine_chunks()
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
+        one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(one) or not len(two):
+            return pa.table({"node": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64())})
+        both = _common(np.repeat(np.arange(len(node)), size), lists.flatten().to_numpy(), one, two)
+        linked = both * (p + q) >= p * (size[one][:, None] + size[two])
+        linked &= node[one][:, None] != node[two]
+        ends = [(one, 1)] if i == j else [(one, 1), (two, 0)]
+        return pa.table({"node": np.concatenate([node[at] for at, _ in ends]), "n_links": np.concatenate([linked.sum(axis) for _, axis in ends])})
+
+    counted = dealt.groupBy("comp", "i", "j").applyInArrow(run, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return counted.unionByName(classes.join(several.where("n = 2"), "comp").select("node", F.lit(1).cast("long").alias("n_links")))
 
 
 def _parted(pairs: DataFrame, classes: DataFrame) -> DataFrame:

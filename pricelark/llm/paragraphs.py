@@ -346,7 +346,7 @@ def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8
     one = one.join(twice, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), "left").select("unit", "id", "key", F.coalesce("again", F.lit(False)).alias("again"))
     sets = _sets(docs, one, least, n, scope)
     nodes = sets.select("node", "size", F.lit(0).alias("shown"), "sketch")
-    _, comp = link(members, nodes, lambda asked: sets.select("node", "elements").join(asked, "node", "left_semi"), t, scope)
+    comp = link(members, nodes, lambda asked: sets.select("node", "elements").join(asked, "node", "left_semi"), t, scope)
     comp = comp.withColumnRenamed("node", "unit")
 
     # Paragraphs of a component were compared; all other units are equal by 128 bits.

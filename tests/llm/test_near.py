@@ -91,19 +91,18 @@ def test_links_counted(spark):
     assert {r["doc_id"]: r["n_links"] for r in jaccard.near_components(make(spark, rows), 3, 0.9).collect()} == want
 
 
-@pytest.mark.parametrize("counted", [True, False])
-def test_links_of_large_buckets(spark, counted):
+def test_links_of_large_buckets(spark):
     """Buckets above the bound, in several blocks, with most sets far from the pivot: no link or component is lost."""
     sets = {k: list(range(k, k + 20)) for k in range(600) if k % 50 < 40}
     elements = spark.createDataFrame(list(sets.items()), "node long, elements array<long>")
     nodes = spark.createDataFrame([(k, 20, 0, bytearray(links.sketch(jaccard.mix(np.array(v, np.uint64))))) for k, v in sets.items()], "node long, size int, shown int, sketch binary")
     members = spark.createDataFrame([(b, k) for b in (1, 2) for k in sets] + [(3, 5), (3, 6)], "bucket long, node long")
     fetch = lambda asked: elements.join(asked, "node", "left_semi")
-    found, classes = links.link(members, nodes, fetch, Fraction(4, 5), "test", counted, most=7)
-    want = sorted((x, y) for x in sets for y in sets if x < y <= x + 2)  # 18 of 22 and more are 4 in 5
-    if counted:
-        assert sorted(map(tuple, found.select("a", "b").collect())) == want
+    classes = links.link(members, nodes, fetch, Fraction(4, 5), "test", most=7)
     assert {r["node"]: r["comp"] for r in classes.collect()} == {k: k - k % 50 for k in sets}
+    want = {x: sum(0 < abs(x - y) <= 2 for y in sets) for x in sets}  # 18 of 22 and more are 4 in 5
+    for most, room in ((256, 1_000_000), (7, 1_000_000), (256, 90)):
+        assert {r["node"]: r["n_links"] for r in links.degrees(classes, fetch, Fraction(4, 5), "test", most, room).collect()} == want
 
 
 def test_sketches_never_exclude_a_link():
