@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from . import vocab
 
 
+def full_host(url: Column) -> Column:
+    """Lower-case host; empty if there is none.  Hosts with an underscore, which the parser knows as an authority alone, count."""
+    part = lambda name: F.try_parse_url(F.trim(url), F.lit(name))
+    return F.lower(F.coalesce(part("HOST"), F.regexp_replace(part("AUTHORITY"), r"^.*@|:\d*$", ""), F.lit("")))
+
+
 def host(url: Column) -> Column:
-    """Lower-case host without ``www.``; empty if there is none."""
-    h = F.lower(F.coalesce(F.try_parse_url(F.trim(url), F.lit("HOST")), F.lit("")))
-    return F.regexp_replace(h, r"^www\.", "")
+    """The host without ``www.``."""
+    return F.regexp_replace(full_host(url), r"^www\.", "")
 
 
 def path(url: Column) -> Column:
@@ -34,12 +39,12 @@ def is_covered(domain: Column) -> Column:
     return in_domain(domain, vocab.COVERED_DOMAINS)
 
 
-_EXPORT_HOST = r"(?i)^([a-z0-9-]+)-cs(\d+)\.prom\.ua$"
+_EXPORT_HOST = r"(?i)^([\w-]+)-cs(\d+)\.prom\.ua$"
 
 
 def export_seller(url: Column) -> tuple[Column, Column]:
     """(slug, id) of a host ``<slug>-cs<id>.prom.ua``, else nulls."""
-    h = F.lower(F.coalesce(F.try_parse_url(F.trim(url), F.lit("HOST")), F.lit("")))
+    h = full_host(url)
     return tuple(F.nullif(F.regexp_extract(h, _EXPORT_HOST, i), F.lit("")) for i in (1, 2))
 
 
@@ -60,7 +65,7 @@ def store_seller(url: Column) -> tuple[Column, Column, Column]:
 
 
 def host_seller_id(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(F.coalesce(F.try_parse_url(F.trim(url), F.lit("HOST")), F.lit(""))), r"-cs(\d+)(?:\.|$)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(full_host(url), r"-cs(\d+)(?:\.|$)", 1), F.lit(""))
 
 
 def product_id(url: Column) -> Column:

@@ -134,7 +134,7 @@ def store_counts(stores: DataFrame, listings: DataFrame, overrides: DataFrame) -
     return stores.join(live, "store_id", "left").select("store_id", F.coalesce("listings", F.lit(0)).alias("listings"), F.coalesce("from_file", F.lit(0)).alias("from_file"))
 
 
-def queries_of(listings: DataFrame, own_sellers: DataFrame | None = None) -> DataFrame:
+def queries_of(listings: DataFrame) -> DataFrame:
     """Search queries of listings: distinct usable numbers (those stored, then the SKU), brand, name, owners."""
     stored = F.col("oem_numbers") if "oem_numbers" in listings.columns else F.array().cast("array<string>")
     numbers = F.array_distinct(F.filter(F.transform(F.concat(F.coalesce(stored, F.array().cast("array<string>")), F.array("sku")), text.normalize_oem), lambda x: x.isNotNull()))

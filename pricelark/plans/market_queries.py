@@ -201,6 +201,41 @@ def own_seller_anti(spark, d):
     return offers.drop_own_sellers(t.offers(spark, d), owned).select("query_id", "source", "offer_ord")
 
 
+_EXCLUDED = """excl AS (SELECT s_suppkey % 3 AS w, CASE WHEN s_suppkey % 5 = 0 THEN CAST(s_suppkey AS VARCHAR) END AS id, CASE WHEN s_suppkey % 7 = 0 THEN 'shop_' || s_suppkey END AS slug FROM supplier WHERE s_suppkey % 2 = 0),
+ids AS (SELECT w, id AS v FROM excl WHERE id IS NOT NULL UNION SELECT w, '4' FROM range(3) g(w)), slugs AS (SELECT w, slug AS v FROM excl WHERE slug IS NOT NULL UNION SELECT w, 'shop_9' FROM range(3) g(w))"""
+
+
+def _owners(spark, d):
+    k = F.col("s_suppkey")
+    entered = t.table(spark, d, "supplier").select(
+        (k % 3).alias("workspace"), F.when(k % 2 == 0, "Prom").otherwise("exist").alias("marketplace"), F.when(k % 5 == 0, F.concat(F.lit(" "), k.cast("string"))).otherwise(F.lit(" ")).alias("external_id"),
+        F.when(k % 7 == 0, F.concat(F.lit("SHOP_"), k.cast("string"))).alias("slug"),
+    )
+    return offers.owner_identity(spark.range(3).withColumnRenamed("id", "workspace"), entered, own=(("4", "shop_9"),))
+
+
+@query("WITH " + _EXCLUDED + " SELECT w AS workspace, (SELECT string_agg(v, ',' ORDER BY v) FROM ids WHERE ids.w = g.w) AS seller_ids, (SELECT string_agg(v, ',' ORDER BY v) FROM slugs WHERE slugs.w = g.w) AS seller_slugs FROM range(3) g(w)")
+def owner_identity(spark, d):
+    return _owners(spark, d).select("workspace", F.array_join("seller_ids", ",").alias("seller_ids"), F.array_join("seller_slugs", ",").alias("seller_slugs"))
+
+
+@query(
+    with_("offer", extra=_EXCLUDED)
+    + """, x AS (SELECT query_id, source, offer_ord, query_id % 3 AS w, seller, offer_ord // 10000000000 % 50 AS product FROM offer)
+SELECT query_id, source, offer_ord FROM x WHERE NOT (seller % 3 = 0 AND EXISTS (SELECT 1 FROM ids WHERE ids.w = x.w AND v = CAST(seller AS VARCHAR))) AND NOT (seller % 3 = 1 AND EXISTS (SELECT 1 FROM slugs WHERE slugs.w = x.w AND v = 'shop_' || seller))
+AND NOT (seller % 4 = 0 AND EXISTS (SELECT 1 FROM ids WHERE ids.w = x.w AND v = CAST(seller AS VARCHAR))) AND product <> query_id % 50"""
+)
+def own_product_anti(spark, d):
+    """Every clause by which an offer may be one's own."""
+    s, product = F.col("seller"), F.expr("offer_ord DIV 10000000000 % 50").cast("string")
+    made = t.offers(spark, d).select(
+        "query_id", "source", "offer_ord", (F.col("query_id") % 3).alias("workspace"), F.when(s % 3 == 0, s.cast("string")).alias("seller_id"), F.when(s % 3 == 1, F.concat(F.lit(" Shop_"), s.cast("string"))).alias("seller_slug"),
+        F.when(s % 4 == 0, F.concat(F.lit("https://my_shop-cs"), s.cast("string"), F.lit(".prom.ua/ua/p"), product, F.lit("-a.html"))).otherwise(F.concat(F.lit("https://prom.ua/p"), product, F.lit("-b.html"))).alias("url"),
+        F.concat(F.lit("https://prom.ua/ua/p"), (F.col("query_id") % 50).cast("string"), F.lit("-c.html")).alias("source_url"),
+    )
+    return offers.drop_own_products(made, _owners(spark, d)).select("query_id", "source", "offer_ord")
+
+
 @query(with_("offer") + f"SELECT {_KEY} FROM offer WHERE seller % 4 NOT IN (0, 1)")
 def domain_suffix_filter(spark, d):
     return offers.drop_own_domains(t.offers(spark, d)).select("query_id", "source", "offer_ord")

@@ -5,6 +5,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from pricelark.functions import vocab
 from pricelark.operators import market, models, offers
 
 SCHEMA = "query_id long, source string, source_ord int, offer_ord long, title string, price decimal(14,2), currency string, seller string, url string, availability string, condition string, image_url string, confidence double, is_analog boolean, stock string"
@@ -118,3 +119,36 @@ def test_models(spark):
 def test_bands(spark, price, band):
     df = spark.range(1).select(market.position_band(F.lit(D(price)), F.lit(D(100)), F.lit(D(200))))
     assert df.first()[0] == band
+
+
+PRODUCT = "query_id long, place long, term string, name string, sku string, brand string, price string, currency string, url string, seller_id string, seller_slug string, seller_name string, presence string, is_available boolean, image string"
+
+
+def test_products_become_offers(spark):
+    """Own products, junk, strangers and what has no price go; then each seller's cheapest stays; a name alone is an analogue."""
+    given = [
+        {"name": "Фара ліва AB123456", "price": "1200", "seller_name": "one"},
+        {"name": "Фара ліва AB123456 нова", "price": "1 000,50", "seller_name": "one", "is_available": False},
+        {"name": "Фара ліва AB123456 б/у", "price": "10", "seller_name": "one"},
+        {"name": "Фара ліва AB123456", "price": "900", "seller_id": "77"},
+        {"name": "Фара ліва AB123456", "price": "900", "seller_slug": "Mine_Shop"},
+        {"name": "Фара ліва AB123456", "price": "900", "url": "https://some_shop-cs77.prom.ua/p8-x.html"},
+        {"name": "Фара ліва AB123456", "price": "900", "url": "https://prom.ua/ua/p5-x.html"},
+        {"name": "Ківі свіжі", "price": "900"},
+        {"name": "Фара ліва AB123456", "price": "договірна"},
+        {"name": "Фара ліва передня", "price": "700", "currency": "USD", "seller_name": "two"},
+        {"name": None, "sku": "AB-123456", "price": "1100", "seller_name": None, "term": "AB123456"},
+    ]
+    rows = []
+    for i, r in enumerate(given):
+        full = {"query_id": 1, "place": i, "url": f"https://prom.ua/p{100 + i}-x.html", "is_available": True} | r
+        rows.append(tuple(full.get(c.split()[0]) for c in PRODUCT.split(", ")))
+    queries = spark.createDataFrame([(1, 3, ["AB123456"], None, "Фара ліва передня", "https://prom.ua/p5-old.html")], "query_id long, workspace long, oem_numbers array<string>, brand string, name string, source_url string")
+    entered = spark.createDataFrame([(3, "PROM", " 77 ", " mine_shop "), (3, "exist", "1", "one")], "workspace long, marketplace string, external_id string, slug string")
+    owners = offers.owner_identity(queries, entered, own=())
+    got = {r["offer_ord"]: r for r in offers.from_products(spark.createDataFrame(rows, PRODUCT), queries, owners).collect()}
+    assert sorted(got) == [1, 9, 10]
+    assert (got[1]["price"], got[1]["stock"], got[1]["condition"], got[1]["is_analog"]) == (D("1000.50"), "out_of_stock", "new", False)
+    assert (got[9]["currency"], got[9]["is_analog"], got[9]["stock"]) == ("USD", True, None)
+    assert got[10]["title"] == "AB-123456"
+    assert offers.owner_identity(queries, entered.limit(0)).first()["seller_ids"] == sorted(i for i, _ in vocab.OWN_SELLERS)

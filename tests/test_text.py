@@ -86,7 +86,7 @@ def test_match_score(spark, numbers, name, brand, title, offer_brand, score):
 def test_urls(spark):
     u = F.col("x")
     slug, seller = urls.export_seller(u)
-    assert values(spark, ["https://kemp-cs2847093.prom.ua/p1-a.html", "https://prom.ua/c1-a.html", "nonsense", None], F.struct(slug, seller)) == [("kemp", "2847093"), (None, None), (None, None), (None, None)]
+    assert values(spark, ["https://kemp-cs2847093.prom.ua/p1-a.html", "https://u@My_shop-cs12.prom.ua:443/p1", "https://prom.ua/c1-a.html", "nonsense", None], F.struct(slug, seller)) == [("kemp", "2847093"), ("my_shop", "12"), (None, None), (None, None), (None, None)]
     sid, sslug, lang = urls.store_seller(u)
     assert values(spark, ["https://prom.ua/ua/c12-some-shop.html", "https://x.ua/c12-a.html"], F.struct(sid, sslug, lang)) == [("12", "some-shop", "ua"), (None, None, None)]
     same = urls.same_product(F.col("x"), F.col("y"))
