@@ -246,7 +246,8 @@ def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
     compared by grouping codes of the window and its k next words, never place by place: first for
     every ``STRIDE``-th k, then for those between where places that were alike so far part.  A side on which
     the next window of the text follows without a gap, kept or removed as well, needs no words: that window goes as
-    far.  Where windows cover the next ``REACH`` words, two of the places that have the same ones stand for all.
+    far.  Where windows cover the next ``REACH`` words, two of the places that have the same ones stand for all;
+    where words do, places with the same ones are compared as one.
     """
     doc = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("text_key").alias("k"))
     turn = Window.partitionBy("doc_id", "text_key").orderBy("at")
@@ -281,34 +282,43 @@ def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
     seeds = stage(seeds.select("doc_id", "text_key", "at", "component", "kept", "first_doc", "back", "on"), scope)
     whole = seeds.where("NOT (back OR on)").select("doc_id", "text_key", "at", F.lit(WINDOW).alias("words"), "component", "kept", "first_doc")
     seeds = seeds.where("back OR on")
-    places = stage(_contexts(docs, seeds, scope).withColumn("place", F.monotonically_increasing_id()).withColumn("doc", doc), scope)
+    places = _contexts(docs, seeds, scope).withColumn("place", F.monotonically_increasing_id()).withColumn("doc", doc)
+    last_code = lambda side: F.get(side, F.size(side) - 1)  # noqa: E731  # null where the text has no word there
+    places = stage(places.withColumn("ctx_b", last_code("before")).withColumn("ctx_a", last_code("after")), scope)
+
+    # Places with the same words on a side are one context there; only contexts are compared.
+    sides = F.explode(F.array(*[F.struct(F.lit(b).alias("back"), F.col(c).alias("ctx")) for b, c in ((True, "ctx_b"), (False, "ctx_a"))]))
+    tops = places.select("place", "doc", sides.alias("s")).select("place", "doc", "s.*").where("ctx IS NOT NULL")
+    tops = tops.groupBy("ctx").agg(F.min(F.struct("doc", "place", "back")).alias("f"), F.max("doc").alias("last"))
+    tops = tops.select("ctx", "last", F.col("f.doc").alias("first"), "f.place", "f.back").join(places.select("place", "component", "before", "after"), "place")
+    contexts = stage(tops.select("ctx", "back", "component", "first", "last", F.when(F.col("back"), F.col("before")).otherwise(F.col("after")).alias("codes")), scope)
 
     def met(coded: DataFrame) -> DataFrame:
-        """Of the codes that several documents have: whether an earlier one does, and whether the places part before the next code."""
-        groups = coded.groupBy("code").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("next").alias("lo"), F.max("next").alias("hi")).where("first <> last")
-        found = coded.join(groups.select("code", "first", (F.col("lo") != F.col("hi")).alias("parts")), "code")
-        return found.select("place", "back", "k", (F.col("first") < F.col("doc")).alias("earlier"), "parts")
+        """Of the codes that several documents have: the first of these, and whether the contexts part before the next code."""
+        groups = coded.groupBy("code").agg(F.min("first").alias("from"), F.max("last").alias("to"), F.min("next").alias("lo"), F.max("next").alias("hi")).where("from <> to")
+        return coded.select("ctx", "k", "code").join(groups.select("code", "from", (F.col("lo") != F.col("hi")).alias("parts")), "code").drop("code")
 
     def coded(rows: DataFrame, levels) -> DataFrame:
-        sides = F.concat(levels("before", True), levels("after", False))
-        return rows.select("place", "doc", F.explode(sides).alias("x")).select("place", "doc", "x.*")
-
-    def rough(name: str, back: bool):
-        at = lambda k: F.coalesce(F.get(name, k - 1), F.lit(0))  # noqa: E731  # 0: the text ends
-        levels = F.filter(F.array(*[F.lit(k) for k in range(0, REACH + 1, STRIDE)]), lambda k: (F.size(name) > 0) & (k <= F.size(name)))
-        first = F.xxhash64("component", F.lit(back))
-        return F.transform(levels, lambda k: F.struct(F.lit(back).alias("back"), k.alias("k"), F.when(k == 0, first).otherwise(at(k)).alias("code"), F.when(k < REACH, at(k + STRIDE)).otherwise(0).alias("next")))
-
-    def fine(name: str, back: bool):
-        here = F.transform(name, lambda c, i: F.struct(F.lit(back).alias("back"), (i + 1).alias("k"), c.alias("code"), F.lit(0).cast("long").alias("next")))
-        return F.filter(here, lambda x: (x["k"] % STRIDE != 0) & F.array_contains("parted", F.struct(F.lit(back).alias("back"), (x["k"] - x["k"] % STRIDE).alias("k"))))
-
-    first = stage(met(coded(places, rough)), scope)
-    parted = first.where("parts").groupBy("place").agg(F.collect_set(F.struct("back", "k")).alias("parted"))  # some for each of two sides
-    second = met(coded(places.join(parted, "place"), fine))
-    most = lambda when, name: F.coalesce(F.max(F.when(F.expr(when), F.col("k"))), F.lit(0)).alias(name)
-    reached = first.unionByName(second).groupBy("place").agg(most("back AND earlier", "rb"), most("back", "sb"), most("NOT back AND earlier", "ra"), most("NOT back", "sa"))
-    done = places.drop("before", "after").join(reached, "place", "left").fillna(0, ["rb", "sb", "ra", "sa"])
+        return rows.select("ctx", "first", "last", F.explode(levels).alias("x")).select("ctx", "first", "last", "x.*")
+
+    code = lambda k: F.coalesce(F.get("codes", k - 1), F.lit(0))  # noqa: E731  # 0: the text ends
+    levels = F.filter(F.array(*[F.lit(k) for k in range(0, REACH + 1, STRIDE)]), lambda k: k <= F.size("codes"))
+    rough = F.transform(levels, lambda k: F.struct(k.alias("k"), F.when(k == 0, F.xxhash64("component", "back")).otherwise(code(k)).alias("code"), F.when(k < REACH, code(k + STRIDE)).otherwise(0).alias("next")))
+    each = F.transform("codes", lambda c, i: F.struct((i + 1).alias("k"), c.alias("code"), F.lit(0).cast("long").alias("next")))
+    fine = F.filter(each, lambda x: (x["k"] % STRIDE != 0) & F.array_contains("parted", x["k"] - x["k"] % STRIDE))
+
+    first = stage(met(coded(contexts, rough)), scope)
+    parted = first.where("parts").groupBy("ctx").agg(F.collect_set("k").alias("parted"))  # some
+    found = first.drop("parts").unionByName(met(coded(contexts.join(parted, "ctx"), fine)).drop("parts"))
+    # How far each document that is the first somewhere goes on alike: some rows of a context, of REACH + 1 at most.
+    reached = found.groupBy("ctx", "from").agg(F.max("k").alias("k")).groupBy("ctx").agg(F.collect_list(F.struct("from", "k")).alias("reach"))
+    reached = stage(reached, scope)
+    far = lambda steps: F.coalesce(F.array_max(F.transform(steps, lambda x: x["k"])), F.lit(0))
+    done = places.drop("before", "after")
+    for c in "ba":
+        # A side without words meets nothing; its key is its own, so that such places spread.
+        done = done.withColumn("ctx", F.coalesce(f"ctx_{c}", F.xxhash64("place"))).join(reached, "ctx", "left")
+        done = done.withColumn(f"r{c}", far(F.filter("reach", lambda x: x["from"] < F.col("doc")))).withColumn(f"s{c}", far(F.col("reach"))).drop("ctx", "reach")
     start, end = F.col("at"), F.col("at") + WINDOW
     span = lambda a, b, kept, first: F.struct(a.cast("int").alias("at"), (b - a).cast("int").alias("words"), kept.alias("kept"), first.alias("first_doc"))
     own, gone = F.col("kept"), ~F.col("kept")
