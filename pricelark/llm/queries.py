@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard, license_scan, line_rules, mixing, packing, paragraphs, quality, rans, url_rules
+from . import chat, fingerprint, jaccard, license_scan, line_rules, mixing, packing, paragraphs, periodic, quality, rans, spelling, url_rules
+from .common import stage
 
 
 def tokenizer_path(name: str) -> str:
@@ -59,7 +62,25 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality, op3_token_files, op4_fingerprints, op5_substring_dedup, op6_url_filters, op7_jaccard_join, op8_packing, op9_line_rules, op10_mixing)}
+#: A conversation whose texts look like the format's own marks.
+_ODD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark, sf_dir):
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", _ODD_TEXT), (-7, 1, "assistant", _ODD_TEXT)], convs.schema)
+    return chat.read_back(stage(chat.format_conversations(convs.unionByName(odd)), f"chat-{uuid.uuid4().hex}"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality, op3_token_files, op4_fingerprints, op5_substring_dedup, op6_url_filters, op7_jaccard_join, op8_packing, op9_line_rules, op10_mixing, op11_chat_format, op12_spelling_variants, op13_periodic_runs)}
 
 
 def _license_sql() -> str:
@@ -125,4 +146,16 @@ SELECT doc_id, size, s AS source_size, target,
 FROM joined JOIN seeded ON joined.source IS NOT DISTINCT FROM seeded.source"""
 
 
-SQL = {"op1_license_scan": _license_sql(), "op9_line_rules": _LINES_SQL, "op10_mixing": _mixing_sql()}
+_CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+t AS (SELECT *, role = 'assistant' AS learned,
+  length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 + coalesce(list_sum(list_transform(regexp_extract_all(text, '#+'), lambda x: greatest(len(x) - 2, 0))), 0) AS shown,
+  length(role) + length(role) - length(replace(role, '\', '')) + (length(role) - length(replace(role, '</turn>', ''))) // 7 + coalesce(list_sum(list_transform(regexp_extract_all(role, '#+'), lambda x: greatest(len(x) - 2, 0))), 0) + (length(role) - length(replace(role, ': ', ''))) // 2 AS named FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (learned), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (learned), '')) AS loss_sha256,
+  sum(shown + named + 6 + 8)::BIGINT AS formatted_chars, (count(*) FILTER (learned AND text <> ''))::BIGINT AS loss_turns
+FROM t GROUP BY conv_id"""
+
+
+SQL = {"op1_license_scan": _license_sql(), "op9_line_rules": _LINES_SQL, "op10_mixing": _mixing_sql(), "op11_chat_format": _CHAT_SQL}
