@@ -49,12 +49,9 @@ def currency_of_symbol(symbol: Column) -> Column:
     return out
 
 
-def median_of(prices: Column) -> Column:
-    """Exact median of an array of DECIMAL(14, 2): the mean of the middle two, to cents; null if empty."""
-    s = F.sort_array(prices)
-    n = F.size(s)
-    low, high = F.get(s, ((n - 1) / 2).cast("int")), F.get(s, (n / 2).cast("int"))
-    return F.when(n > 0, F.bround((low.cast("decimal(16,3)") + high) * F.lit("0.5").cast("decimal(2,1)"), 2).cast(MONEY))
+def middle(low: Column, high: Column) -> Column:
+    """The mean of the middle two prices, to cents; null without them."""
+    return F.bround((low.cast("decimal(16,3)") + high) * F.lit("0.5").cast("decimal(2,1)"), 2).cast(MONEY)
 
 
 def recommended(lowest: Column, count: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, vocab
@@ -12,42 +12,83 @@ def strong() -> Column:
     return F.col("confidence") >= vocab.STRONG
 
 
-def strong_prices() -> Column:
-    """Prices that count, as an aggregate."""
-    return F.collect_list(F.when(strong(), F.col("price")))
+def _median(counts: DataFrame, keys: list[str], price: str, n: Column, name: str) -> DataFrame:
+    """``counts`` (rows of a key, each ``n`` times a price) with the key's ``<name>_total`` and, on the rows that hold them, its middle two prices.
 
-
-def stats(offers: DataFrame, *keys: str) -> DataFrame:
-    """offers_total, strong_total, min, median, max, thin market flag and recommendation for each key.
-
-    One hash aggregate.  The only list is of a key's strong prices, which the source caps
-    bound (60, 40, 20 and 20 offers); min and max are partial aggregates.
+    A running count by price finds the places; all windows share one exchange and one
+    sort, and nothing is gathered in a list.  Null prices don't count.
     """
-    price = F.when(strong(), F.col("price"))
-    out = offers.groupBy(*keys).agg(
-        F.count("*").alias("offers_total"), F.count(price).alias("strong_total"), F.countDistinct("source").alias("sources_total"),
-        F.min(price).alias("min_price"), strong_prices().alias("_prices"), F.max(price).alias("max_price"),
+    w, counted = Window.partitionBy(*keys), F.when(F.col(price).isNotNull(), n).otherwise(0)
+    upto = F.sum(counted).over(w.orderBy(F.col(price).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumn("_upto", upto).withColumn(f"{name}_total", F.sum(counted).over(w)).withColumn("_own", counted)
+    total = F.col(f"{name}_total")
+    holds = lambda at: (F.col("_upto") >= at) & (F.col("_upto") - F.col("_own") < at)
+    return placed.withColumn(f"{name}_low", F.when(holds(F.expr(f"({name}_total + 1) DIV 2")), F.col(price))).withColumn(f"{name}_high", F.when(holds(F.expr(f"{name}_total DIV 2") + 1), F.col(price))).withColumn(f"{name}_total", total).drop("_upto", "_own")
+
+
+def _summed(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of each key from rows of key, source, ``_strong``, price and ``_n``."""
+    price = F.col("_price")
+    rows = _median(counts.withColumn("_price", F.when(F.col("_strong"), F.col("price"))), keys, "_price", F.col("_n"), "_s")
+    out = rows.groupBy(*keys).agg(
+        F.sum("_n").alias("offers_total"), F.max("_s_total").alias("strong_total"), F.countDistinct("source").alias("sources_total"),
+        F.min(price).alias("min_price"), money.middle(F.max("_s_low"), F.max("_s_high")).alias("median_price"), F.max(price).alias("max_price"),
     )
     return out.select(
-        *keys, "offers_total", "sources_total", "strong_total", "min_price", money.median_of(F.col("_prices")).alias("median_price"), "max_price",
+        *keys, "offers_total", "sources_total", "strong_total", "min_price", "median_price", "max_price",
         (F.col("strong_total") < vocab.MIN_SAMPLE).alias("thin_market"), money.recommended(F.col("min_price"), F.col("strong_total")).alias("recommended_price"),
     )
 
 
+def _counts(offers: DataFrame, *keys: str) -> DataFrame:
+    return offers.groupBy(*dict.fromkeys((*keys, "source")), "price", F.coalesce(strong(), F.lit(False)).alias("_strong")).agg(F.count("*").alias("_n"))
+
+
+def stats(offers: DataFrame, *keys: str) -> DataFrame:
+    """offers_total, sources_total, strong_total, min, median, max, thin market flag and recommendation for each key.
+
+    Offers become counts by key, source and price before anything is sorted, by partial
+    aggregates; a key with very many offers sends as many rows as it has prices.
+    """
+    return _summed(_counts(offers, *keys), list(keys))
+
+
+def levels(offers: DataFrame) -> DataFrame:
+    """`stats` of each query and of each of its sources in one pass: query_id, ``of_source`` (false: the whole query, source null), source, statistics."""
+    twice = _counts(offers, "query_id").withColumn("of_source", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("_at", F.when(F.col("of_source"), F.col("source")))
+    return _summed(twice, ["query_id", "of_source", "_at"]).withColumnRenamed("_at", "source")
+
+
+def with_anchor(offers: DataFrame, least: int = vocab.MIN_SAMPLE, key: str = "query_id") -> DataFrame:
+    """``offers`` with ``anchor``, the median strong price of the query where it has at least ``least`` of them (else null), and ``n_offers``.
+
+    Windows over one exchange by query; offers are not joined with themselves.
+    """
+    rows = _median(offers.withColumn("_price", F.when(strong(), F.col("price"))), [key], "_price", F.lit(1), "_s")
+    w = Window.partitionBy(key)
+    middle = money.middle(F.max("_s_low").over(w), F.max("_s_high").over(w))
+    out = rows.withColumn("anchor", F.when(F.col("_s_total") >= least, middle)).withColumn("n_offers", F.count(F.lit(1)).over(w))
+    return out.drop("_price", "_s_low", "_s_high", "_s_total")
+
+
 def anchors(offers: DataFrame, key: str = "query_id", least: int = vocab.MIN_SAMPLE) -> DataFrame:
-    """(key, anchor): median strong price of each query with at least ``least`` of them, else null."""
-    lists = offers.groupBy(key).agg(strong_prices().alias("_p"), F.count("*").alias("_n"))
-    return lists.select(key, F.when(F.size("_p") >= least, money.median_of(F.col("_p"))).alias("anchor"), F.col("_n").alias("n_offers"))
+    """(key, anchor, n_offers) of each query, from counts by price."""
+    s = stats(offers, key)
+    return s.select(key, F.when(F.col("strong_total") >= least, F.col("median_price")).alias("anchor"), F.col("offers_total").alias("n_offers"))
 
 
 def legacy_stats(offers: DataFrame, *keys: str) -> DataFrame:
     """Statistics by the earlier rule, for audits: all prices where fewer than three are strong."""
-    lists = offers.groupBy(*keys).agg(strong_prices().alias("_s"), F.collect_list("price").alias("_all"))
-    used = F.when(F.size("_s") >= vocab.MIN_SAMPLE, F.col("_s")).otherwise(F.col("_all"))
-    lists = lists.withColumn("_u", used)
-    low = F.array_min("_u")
-    cut = F.greatest(F.bround(low * F.lit(vocab.DISCOUNT).cast("decimal(3,2)"), 0), F.lit(1).cast("decimal(14,0)"))
-    return lists.select(*keys, F.size("_s").cast("long").alias("strong_total"), low.alias("min_price"), money.median_of(F.col("_u")).alias("median_price"), F.array_max("_u").alias("max_price"), cut.alias("recommended_price"))
+    keys = list(keys)
+    counts = _counts(offers, *keys).withColumn("_price", F.when(F.col("_strong"), F.col("price")))
+    rows = _median(_median(counts, keys, "_price", F.col("_n"), "_s"), keys, "price", F.col("_n"), "_a")
+    each = rows.groupBy(*keys).agg(
+        F.max("_s_total").alias("strong_total"), F.min("_price").alias("s_min"), F.max("_price").alias("s_max"), money.middle(F.max("_s_low"), F.max("_s_high")).alias("s_median"),
+        F.min("price").alias("a_min"), F.max("price").alias("a_max"), money.middle(F.max("_a_low"), F.max("_a_high")).alias("a_median"),
+    )
+    used = lambda c: F.when(F.col("strong_total") >= vocab.MIN_SAMPLE, F.col(f"s_{c}")).otherwise(F.col(f"a_{c}"))
+    cut = F.greatest(F.bround(used("min") * F.lit(vocab.DISCOUNT).cast("decimal(3,2)"), 0), F.lit(1).cast("decimal(14,0)"))
+    return each.select(*keys, "strong_total", used("min").alias("min_price"), used("median").alias("median_price"), used("max").alias("max_price"), cut.alias("recommended_price"))
 
 
 def report(offers: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
@@ -56,13 +97,14 @@ def report(offers: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
     Sources stand in their order, offers by price, then position.  Amounts are strings.
     """
     order = F.struct("price", "offer_ord", *[c for c in ("title", "currency", "seller", "url", "confidence", "is_analog", "availability") if c in offers.columns])
-    per = stats(offers, "query_id", "source")
+    both = levels(offers)
+    per = both.where("of_source").drop("of_source")
     listed = offers.groupBy("query_id", "source").agg(F.min("source_ord").alias("source_ord"), F.sort_array(F.collect_list(order)).alias("offers"))
     shown = F.transform("offers", lambda o: F.struct(o["price"].cast("string").alias("price"), *[o[c].alias(c) for c in ("title", "currency", "seller", "url", "confidence", "is_analog", "availability") if c in offers.columns]))
-    joined = per.join(listed, ["query_id", "source"])
+    joined = per.alias("p").join(listed.withColumnRenamed("query_id", "_q").withColumnRenamed("source", "_s"), F.col("query_id").eqNullSafe(F.col("_q")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_q", "_s")
     source = F.struct("source_ord", "source", F.col("offers_total"), F.col("min_price").cast("string").alias("min_price"), F.col("median_price").cast("string").alias("median_price"), F.col("max_price").cast("string").alias("max_price"), shown.alias("offers"))
     sources = joined.groupBy("query_id").agg(F.sort_array(F.collect_list(source)).alias("sources"))
-    out = stats(offers, "query_id").join(sources, "query_id")
+    out = both.where("NOT of_source").drop("of_source", "source").join(sources, "query_id")
     return out.select("*", F.to_json(F.struct("sources")).alias("report")).drop("sources")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text, urls, vocab
 from . import market
+from .matching import containing_code, similar_names  # noqa: F401  (they are looked for here too)
 
 
 def drop_junk(offers: DataFrame) -> DataFrame:
@@ -115,83 +116,108 @@ def to_uah(offers: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def single_currency(offers: DataFrame) -> DataFrame:
-    """Each query in one currency: UAH if any offer has it, else the most frequent, the first seen of equals."""
-    place = F.struct("source_ord", "offer_ord")
-    counts = offers.groupBy("query_id", "currency").agg(F.count("*").alias("n"), F.min(place).alias("seen"))
-    order = F.struct((F.col("currency") != "UAH").alias("a"), (-F.col("n")).alias("b"), F.col("seen").alias("c"), F.col("currency").alias("_main"))
-    main = counts.groupBy("query_id").agg(F.min(order)["_main"].alias("_main"))
-    return offers.join(main, "query_id").where(F.col("currency").eqNullSafe(F.col("_main"))).drop("_main").select(*offers.columns)
+    """Each query in one currency: UAH if any offer has it, else the most frequent, the first seen of equals.
+
+    Offers of a currency are peers in their query's order, so one exchange and one sort serve all of it.
+    """
+    by_query = Window.partitionBy("query_id")
+    peers = by_query.orderBy("currency").rangeBetween(Window.currentRow, Window.currentRow)
+    counted = offers.withColumn("_n", F.count(F.lit(1)).over(peers)).withColumn("_seen", F.min(F.struct("source_ord", "offer_ord")).over(peers))
+    order = F.struct((F.col("currency") != "UAH").alias("a"), (-F.col("_n")).alias("b"), F.col("_seen").alias("c"), F.col("currency").alias("main"))
+    return counted.withColumn("_main", F.min(order).over(by_query)).where(F.col("currency").eqNullSafe(F.col("_main.main"))).select(*offers.columns)
 
 
 def drop_implausible(offers: DataFrame) -> DataFrame:
     """Without prices of 0 and, in queries of four offers or more, those eight times off the median strong price."""
-    fine = offers.where("price > 0")
-    a = market.anchors(fine, least=1)
-    joined = fine.join(a, "query_id")
+    both = market.with_anchor(offers.where("price > 0"), least=1)
     checked = (F.col("n_offers") >= vocab.OUTLIER_MIN_OFFERS) & F.col("anchor").isNotNull() & (F.col("anchor") > 0)
     inside = (F.col("price") * vocab.OUTLIER_FACTOR >= F.col("anchor")) & (F.col("price") <= F.col("anchor") * vocab.OUTLIER_FACTOR)
-    return joined.where(~checked | inside).select(*offers.columns)
+    return both.where(~checked | inside).select(*offers.columns)
 
 
 def availability_gate(offers: DataFrame, enabled: bool = True) -> DataFrame:
     """Offers out of stock stay visible and fall below the confidence that counts; a source's own signal goes before the text."""
     if not enabled:
         return offers
-    said = text.stock_of(F.col("availability"))
-    out = F.coalesce(F.coalesce(F.col("stock"), said) == "out_of_stock", F.lit(False))
-    label = out & F.coalesce(F.col("stock") == "out_of_stock", F.lit(False)) & F.coalesce(said != "out_of_stock", F.lit(True))
-    return offers.withColumn("confidence", F.when(out, F.least(F.col("confidence"), F.lit(vocab.UNVERIFIED))).otherwise(F.col("confidence"))).withColumn("availability", F.when(label, F.lit(vocab.OUT_OF_STOCK_LABEL)).otherwise(F.col("availability")))
+    read = offers.withColumn("_said", text.stock_of(F.col("availability")))
+    said, own = F.col("_said"), F.col("stock")
+    out = F.coalesce(F.coalesce(own, said) == "out_of_stock", F.lit(False))
+    label = out & F.coalesce(own == "out_of_stock", F.lit(False)) & F.coalesce(said != "out_of_stock", F.lit(True))
+    confidence = F.when(out, F.least(F.col("confidence"), F.lit(vocab.UNVERIFIED))).otherwise(F.col("confidence"))
+    shown = F.when(label, F.lit(vocab.OUT_OF_STOCK_LABEL)).otherwise(F.col("availability"))
+    return read.select(*[{"confidence": confidence, "availability": shown}.get(c, F.col(c)).alias(c) for c in offers.columns])
 
 
 def suspicious() -> Column:
-    """Cheaper than the anchor by the factor, without a division."""
-    return F.col("price") * F.lit(vocab.SUSPICIOUS).cast("decimal(3,1)") < F.col("anchor")
+    """Cheaper than the anchor by the factor, without a division; false without an anchor."""
+    return F.coalesce(F.col("price") * F.lit(vocab.SUSPICIOUS).cast("decimal(3,1)") < F.col("anchor"), F.lit(False))
+
+
+_PLACE = ("price", "source_ord", "offer_ord")
+
+
+def _verify_marked(offers: DataFrame) -> DataFrame:
+    """All offers with ``anchor`` and, of those for the second model pass, their ``position`` in the query."""
+    both = market.with_anchor(offers).withColumn("_for", F.col("anchor").isNotNull() & (market.strong() | suspicious()))
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("_for").desc(), *_PLACE)) - 1
+    return both.withColumn("position", turn).withColumn("position", F.when(F.col("_for") & (F.col("position") < vocab.VERIFY_MOST), F.col("position"))).drop("_for", "n_offers")
 
 
 def verify_pick(offers: DataFrame) -> DataFrame:
     """Offers for the second model pass, with ``anchor`` and ``position``: strong or suspiciously cheap ones, the 40 cheapest of a query."""
-    a = market.anchors(offers).where("anchor IS NOT NULL").select("query_id", "anchor")
-    w = Window.partitionBy("query_id").orderBy("price", "source_ord", "offer_ord")
-    picked = offers.join(a, "query_id").where(market.strong() | suspicious())
-    return picked.withColumn("position", F.row_number().over(w) - 1).where(F.col("position") < vocab.VERIFY_MOST)
+    return _verify_marked(offers).where("position IS NOT NULL")
 
 
-_ADDRESS = ["query_id", "source_ord", "offer_ord"]
+def _said_by(marked: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """``marked`` with the verdict (``_v``) on its ``key``; ``verdicts`` (query_id, key, verdict) become one small map for each query, so offers stay where they are."""
+    one = verdicts.where(F.col(key).isNotNull()).groupBy("query_id", key).agg(F.max("verdict").alias("v"))
+    maps = one.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "v"))).alias("_said"))
+    return marked.join(maps, "query_id", "left").withColumn("_v", F.col("_said")[F.col(key)]).drop("_said")
 
 
 def verify_apply(offers: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Second pass: ``drop`` removes; anything but ``ok`` demotes what is suspiciously cheap.  ``verdicts``: query_id, position, verdict."""
-    said = verify_pick(offers).join(verdicts.select("query_id", "position", F.col("verdict").alias("_v")), ["query_id", "position"], "left")
-    acts = said.select(*_ADDRESS, F.when(F.col("_v") == "drop", F.lit("drop")).when(F.coalesce(F.col("_v") != "ok", F.lit(True)) & suspicious(), F.lit("demote")).alias("_act")).where("_act IS NOT NULL")
-    return _act(offers, acts)
+    """Second pass: ``drop`` removes; anything but ``ok`` demotes what is suspiciously cheap.  ``verdicts``: query_id, position (below 40), verdict."""
+    asked = verdicts.where(F.col("position").between(0, vocab.VERIFY_MOST - 1)).select("query_id", "position", "verdict")
+    said = _said_by(_verify_marked(offers), asked, "position")
+    mine = F.col("position").isNotNull()
+    act = F.when(mine & F.coalesce(F.col("_v") == "drop", F.lit(False)), F.lit("drop")).when(mine & F.coalesce(F.col("_v") != "ok", F.lit(True)) & suspicious(), F.lit("demote"))
+    return _act(said.withColumn("_act", act), offers.columns)
 
 
-def _act(offers: DataFrame, acts: DataFrame) -> DataFrame:
-    joined = offers.join(acts, _ADDRESS, "left").where(F.coalesce(F.col("_act") != "drop", F.lit(True)))
+def _act(marked: DataFrame, columns: list[str]) -> DataFrame:
     low = F.when(F.col("_act").isin("demote", "used"), F.least(F.col("confidence"), F.lit(vocab.UNVERIFIED))).otherwise(F.col("confidence"))
-    out = joined.withColumn("confidence", low)
-    if "condition" in offers.columns:
-        out = out.withColumn("condition", F.when(F.col("_act") == "used", F.lit("used")).otherwise(F.col("condition")))
-    return out.select(*offers.columns)
+    condition = F.when(F.col("_act") == "used", F.lit("used")).otherwise(F.col("condition")) if "condition" in columns else None
+    new = {"confidence": low, "condition": condition}
+    return marked.where(F.coalesce(F.col("_act") != "drop", F.lit(True))).select(*[(new[c] if new.get(c) is not None else F.col(c)).alias(c) for c in columns])
+
+
+def _photo_marked(offers: DataFrame) -> DataFrame:
+    """All offers with ``anchor``, and ``photo``: the url, where its photo is looked at."""
+    both = market.with_anchor(offers).drop("n_offers")
+    seen = F.col("anchor").isNotNull() & (F.coalesce(F.col("image_url"), F.lit("")) != "")
+    both = both.withColumn("_cheap", seen & market.strong() & F.col("condition").isNull())
+    by_query = Window.partitionBy("query_id")
+    both = both.withColumn("_rn", F.row_number().over(by_query.orderBy(F.col("_cheap").desc(), *_PLACE)))
+    both = both.withColumn("_chosen", (F.col("_cheap") & (F.col("_rn") <= vocab.PHOTO_CHEAPEST)) | (seen & suspicious()))
+    own = F.min(F.when(F.col("_chosen"), F.struct(*_PLACE))).over(Window.partitionBy("query_id", "url"))
+    placed = both.withColumn("_first", F.when(F.col("_chosen"), own))
+    turn = F.dense_rank().over(by_query.orderBy(F.col("_first").asc_nulls_last()))
+    return placed.withColumn("photo", F.when(F.col("_chosen") & (turn <= vocab.PHOTO_MOST), F.col("url"))).drop("_cheap", "_rn", "_chosen", "_first")
 
 
 def photo_pick(offers: DataFrame) -> DataFrame:
     """Offers whose photo is looked at: the three cheapest strong ones of unknown condition and all suspicious ones, four urls at most."""
-    a = market.anchors(offers).where("anchor IS NOT NULL").select("query_id", "anchor")
-    with_photo = offers.join(a, "query_id").where("image_url IS NOT NULL AND image_url <> ''")
-    eligible = market.strong() & F.col("condition").isNull()
-    by_price = Window.partitionBy("query_id", eligible).orderBy("price", "source_ord", "offer_ord")
-    chosen = with_photo.withColumn("_rn", F.row_number().over(by_price)).where((eligible & (F.col("_rn") <= vocab.PHOTO_CHEAPEST)) | suspicious())
-    first = F.min(F.struct("price", "source_ord", "offer_ord")).over(Window.partitionBy("query_id", "url"))
-    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy("_first"))
-    return chosen.withColumn("_first", first).withColumn("_place", place).where(F.col("_place") <= vocab.PHOTO_MOST).drop("_rn", "_first", "_place")
+    return _photo_marked(offers).where("photo IS NOT NULL").drop("photo")
 
 
 def photo_apply(offers: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``used`` removes a suspicious offer and demotes another; ``unsure`` demotes a suspicious one.  ``verdicts``: url, verdict."""
-    said = photo_pick(offers).join(verdicts.select("url", F.col("verdict").alias("_v")), "url")
-    act = F.when((F.col("_v") == "used") & suspicious(), F.lit("drop")).when(F.col("_v") == "used", F.lit("used")).when((F.col("_v") == "unsure") & suspicious(), F.lit("demote"))
-    return _act(offers, said.select(*_ADDRESS, act.alias("_act")).where("_act IS NOT NULL"))
+    marked = _photo_marked(offers)
+    asked = marked.where("photo IS NOT NULL").select("query_id", "photo").distinct().join(verdicts.select(F.col("url").alias("photo"), "verdict"), "photo")
+    said = _said_by(marked, asked, "photo")
+    v = F.col("_v")
+    act = F.when((v == "used") & suspicious(), F.lit("drop")).when(v == "used", F.lit("used")).when((v == "unsure") & suspicious(), F.lit("demote"))
+    return _act(said.withColumn("_act", act), offers.columns)
 
 
 def collect(offers: DataFrame, rates: DataFrame, verdicts: DataFrame | None = None, checked: DataFrame | None = None, photos: DataFrame | None = None, gate: bool = True) -> DataFrame:
@@ -212,39 +238,6 @@ def status(offers: DataFrame, sources: DataFrame) -> DataFrame:
 # --- joins of listings and offers -----------------------------------------------------------
 
 
-def containing_code(queries: DataFrame, offers: DataFrame, gram: int = vocab.MIN_OEM) -> DataFrame:
-    """(query_id, offer_id, code) where a code occurs inside an offer's normalised text.
-
-    A code's first ``gram`` characters meet all pieces of that length of the text by an
-    equal join; the whole code is then looked for.  So no product of the two sides is made.
-    """
-    codes = queries.select("query_id", F.explode(text.matchable(F.col("oem_numbers"))).alias("code")).distinct()
-    codes = codes.withColumn("gram", F.substring("code", 1, gram))
-    flat = offers.select("offer_id", text.norm_code(F.col("title")).alias("flat"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("flat") - gram + 1), lambda i: F.substring(F.col("flat"), i, F.lit(gram)))
-    pieces = flat.where(F.length("flat") >= gram).select("offer_id", "flat", F.explode(F.array_distinct(grams)).alias("gram"))
-    return codes.join(pieces, "gram").where(F.contains("flat", "code")).select("query_id", "offer_id", "code").distinct()
-
-
-def similar_names(left: DataFrame, right: DataFrame, least: float = vocab.NAME_KEEP) -> DataFrame:
-    """(left_id, right_id, similarity) of names (id, name) that are alike enough.
-
-    Names that share no word have similarity 0, so pairs come from an equal join on words.
-    Shared words are counted there, and the score follows from the counts; names are
-    reduced to distinct word sets first, so repeated names are compared once.
-    """
-
-    def sets(df, side):
-        t = F.array_sort(F.array_distinct(text.name_tokens(F.col("name"))))
-        return df.select(F.col("id").alias(f"{side}_id"), t.alias("t")).where(F.size("t") > 0)
-
-    a, b = sets(left, "left"), sets(right, "right")
-    words = lambda df: df.select("t").distinct().select(F.col("t"), F.explode("t").alias("word"))
-    met = words(a).withColumnRenamed("t", "ta").join(words(b).withColumnRenamed("t", "tb"), "word").select("ta", "tb").distinct()
-    scored = met.withColumn("similarity", text.token_similarity(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least)
-    return a.withColumnRenamed("t", "ta").join(scored, "ta").join(b.withColumnRenamed("t", "tb"), "tb").select("left_id", "right_id", "similarity")
-
-
 def cross_source_duplicates(offers: DataFrame) -> DataFrame:
     """(query_id, title, price, sources, offers) of equal titles and prices in more than one source."""
     key = F.regexp_replace(F.lower(F.trim("title")), r"\s+", " ")

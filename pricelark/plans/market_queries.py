@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import money, text, vocab
-from ..operators import audit, jobs, market, models, offers
+from ..operators import audit, jobs, market, matching, models, offers
 from . import testbed as t
 from .testbed import with_
 
@@ -298,6 +298,37 @@ def code_inside_title(spark, d):
     return offers.containing_code(q, titles)
 
 
+_NAMED = "named AS (SELECT min(p_partkey) AS id, lower(p_name || ' ' || p_type || ' ' || replace(p_brand, '#', '') || ' s' || p_size) AS name FROM part GROUP BY 2)"
+
+
+@query(
+    f"""WITH {_NAMED}, w AS (SELECT id, unnest(list_distinct(list_filter(string_split(name, ' '), lambda x: length(x) >= 2))) AS word FROM named), n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+met AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS i FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY ALL),
+s AS (SELECT left_id, right_id, round_even(CAST(0.5 AS DOUBLE) * i / (x.n + y.n - i) + CAST(0.5 AS DOUBLE) * i / least(x.n, y.n), 3) AS similarity FROM met JOIN n x ON x.id = left_id JOIN n y ON y.id = right_id)
+SELECT left_id, right_id, CAST(similarity AS DOUBLE) AS similarity FROM s WHERE similarity >= 0.7"""
+)
+def similar_part_names(spark, d):
+    """The names of all parts that are alike enough, each two once."""
+    name = F.concat_ws(" ", "p_name", "p_type", F.replace("p_brand", F.lit("#"), F.lit("")), F.concat(F.lit("s"), F.col("p_size").cast("string")))
+    names = t.table(spark, d, "part").select(F.lower(name).alias("name"), F.col("p_partkey").alias("id")).groupBy("name").agg(F.min("id").alias("id"))
+    return matching.similar_names(names, names).where("left_id < right_id")
+
+
+@query(
+    with_("listing")
+    + ", codes AS (SELECT id, upper(regexp_replace(brand, '[^0-9A-Za-z]', '', 'g')) || id || 'X' || id % 7 AS code FROM listing), texts AS (SELECT id AS offer_id, 'PARTS' || upper(regexp_replace(brand, '[^0-9A-Za-z]', '', 'g')) || id || 'X' || id % 5 || 'NEW' AS flat FROM listing)"
+    " SELECT c.id AS query_id, offer_id, code FROM codes c JOIN texts x ON contains(flat, code) WHERE length(code) >= 6"
+)
+def code_by_rarest_gram(spark, d):
+    """All listings' codes, which share their brands' prefixes, among all titles."""
+    k = F.col("id").cast("string")
+    lists = t.listings(spark, d)
+    brand = text.norm_code(F.col("brand"))
+    q = lists.select(F.col("id").alias("query_id"), F.array(F.concat(brand, k, F.lit("X"), (F.col("id") % 7).cast("string"))).alias("oem_numbers"))
+    titles = lists.select(F.col("id").alias("offer_id"), F.concat(F.lit("Parts "), F.col("brand"), k, F.lit(" x-"), (F.col("id") % 5).cast("string"), F.lit(" new")).alias("title"))
+    return matching.containing_code(q, titles)
+
+
 _VOCAB = " ".join(f"WHEN title = '{x}' THEN {s}" for x, s in (("Фара ліва передня BMW", 0.7), ("Радіатор охолодження 77 00 308 222 Kangoo", 0.9)))
 
 

@@ -152,3 +152,27 @@ def test_products_become_offers(spark):
     assert (got[9]["currency"], got[9]["is_analog"], got[9]["stock"]) == ("USD", True, None)
     assert got[10]["title"] == "AB-123456"
     assert offers.owner_identity(queries, entered.limit(0)).first()["seller_ids"] == sorted(i for i, _ in vocab.OWN_SELLERS)
+
+
+def test_stages_move_offers_once(spark):
+    """Anchors, currencies and ranks are windows over one exchange by query; offers are neither joined with themselves nor gathered in lists."""
+    o = t.offers(spark, "/root/testdata/sf0.001")
+    said = spark.createDataFrame([(1, 0, "ok")], "query_id long, position int, verdict string")
+    photos = spark.createDataFrame([("u", "used")], "url string, verdict string")
+    for name, df, most in (
+        ("single_currency", offers.single_currency(o), 1), ("drop_implausible", offers.drop_implausible(o), 1), ("verify_apply", offers.verify_apply(o, said), 1), ("stats", market.stats(o, "query_id"), 2),
+        ("photo_apply", offers.photo_apply(o, photos), 2), ("levels", market.levels(o), 2),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and ("query_id" in line)]
+        of_offers = [line for line in moved if "_n" not in line]
+        assert len(of_offers) <= most + 2, (name, plan)  # the verdicts' own exchanges are among them
+        assert "collect_list(price" not in plan, name
+
+
+def test_levels_are_the_two_statistics(spark):
+    o = t.fine_offers(spark, "/root/testdata/sf0.001").cache()
+    both = market.levels(o)
+    columns = ["offers_total", "strong_total", "min_price", "median_price", "max_price", "recommended_price"]
+    assert sorted(map(str, both.where("NOT of_source").select("query_id", *columns).collect())) == sorted(map(str, market.stats(o, "query_id").select("query_id", *columns).collect()))
+    assert sorted(map(str, both.where("of_source").select("query_id", "source", *columns).collect())) == sorted(map(str, market.stats(o, "query_id", "source").select("query_id", "source", *columns).collect()))

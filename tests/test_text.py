@@ -5,6 +5,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from pricelark.operators import market
 from pricelark.functions import money, text, urls
 
 
@@ -45,8 +46,9 @@ def test_prices(spark):
 
 @pytest.mark.parametrize(("prices", "median"), [(["100", "200", "300"], "200.00"), (["3926.51", "3926.52"], "3926.52"), (["180", "240"], "210.00"), ([], None)])
 def test_median(spark, prices, median):
-    df = spark.createDataFrame([([D(p) for p in prices],)], "x array<decimal(14,2)>")
-    assert df.select(money.median_of(F.col("x"))).first()[0] == (median and D(median))
+    rows = [(1, "prom", D(p), 0.9) for p in prices] + [(1, "prom", D("5"), 0.5), (1, "web", D("7"), 0.5)]
+    got = market.stats(spark.createDataFrame(rows, "query_id long, source string, price decimal(14,2), confidence double"), "query_id").first()
+    assert (got.median_price, got.strong_total, got.offers_total, got.sources_total) == (median and D(median), len(prices), len(prices) + 2, 2)
 
 
 def test_recommended(spark):
