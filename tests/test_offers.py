@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelark.functions import vocab
 from pricelark.operators import market, models, offers
+from pricelark.plans import testbed as t
 
 SCHEMA = "query_id long, source string, source_ord int, offer_ord long, title string, price decimal(14,2), currency string, seller string, url string, availability string, condition string, image_url string, confidence double, is_analog boolean, stock string"
 

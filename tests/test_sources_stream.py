@@ -7,10 +7,12 @@ import json
 import zipfile
 from decimal import Decimal as D
 
+import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pricelark.operators import merge
-from pricelark.sources import archive, pages, sinks, xlsx
+from pricelark.sources import archive, crawl, pages, sinks, xlsx
 from pricelark.streaming import observations
 
 
@@ -133,3 +135,42 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_windows(spark, tmp_path):
     df = spark.createDataFrame([(1, 5, 0), (1, 7, 1800), (1, 9, 4000)], "listing_id long, price_cents long, t long").withColumn("observed_at", F.timestamp_seconds("t"))
     assert sorted((r["n"], r["low"], r["high"]) for r in observations.windowed(df).collect()) == [(1, 9, 9), (2, 5, 7)]
+
+
+def _crawl(spark, rows):
+    """rows: series, page, attempt, ids (None: no catalogue on the page), total."""
+    made = []
+    for series, page, attempt, ids, total in rows:
+        state = {"CompanyListingQuery(x)": {"result": {"listing": {"page": {"products": [{"product": {**RAW, "id": i}} for i in ids], "total": total}}}}} if ids is not None else {}
+        made.append((series, page, attempt, _state(**state)))
+    return crawl.listing_pages(spark.createDataFrame(made, "series string, page int, attempt int, html string"))
+
+
+def test_catalogues_end_at_an_empty_or_repeated_page(spark):
+    read = _crawl(spark, [("a", 1, 0, [1, 2], None), ("a", 2, 0, [3, 4], None), ("a", 3, 0, [1, 2], None), ("a", 4, 0, [5], None), ("b", 1, 0, [1, 2], None), ("b", 2, 0, [2, 1], None), ("b", 3, 0, [], 0), ("b", 4, 0, [9], None), ("c", 1, 0, [], 0), ("c", 2, 0, [7], None), ("c", 3, 0, [7], None)])
+    got = sorted((r["series"], r["page"]) for r in crawl.until_end(read, "series").collect())
+    assert got == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("c", 2)]  # the order of ids counts; a first page is never an end
+
+
+def test_a_page_without_a_catalogue_is_loud(spark):
+    read = _crawl(spark, [("a", 1, 0, [1], 9), ("a", 2, 0, None, None), ("a", 2, 1, [2], 9), ("a", 3, 0, None, None), ("a", 3, 1, None, None)])
+    pages_ = crawl.settled(read, "series")
+    with pytest.raises(Exception, match="no catalogue on page 3 of a"):
+        crawl.strict(pages_, "series").select("page").collect()
+    assert crawl.strict(pages_.where("page < 3"), "series").count() == 2
+    seen = Observation()
+    good, bad = crawl.parted(pages_, seen)
+    assert sorted(r["page"] for r in good.select("page").collect()) == [1, 2]
+    assert seen.get == {"pages": 3, "unreadable": 1}
+    assert [(r["page"], r["error"]) for r in bad.select("page", "error").collect()] == [(3, "neither a total nor products")]
+
+
+def test_feeds_are_followed_by_pointers(spark):
+    tok = lambda i: json.dumps({"n": i, "a": 1})
+    start = spark.createDataFrame([("x", tok(1)), ("y", tok(50)), ("z", None), ("w", "no json"), ("loop", tok(90)), ("gone", tok(404))], "q string, token string")
+    links = [(json.dumps({"a": 1, "n": i}, separators=(",", ":")), tok(i + 1), None) for i in range(1, 20)] + [(tok(50), tok(51), None), (tok(51), tok(52), "401"), (tok(52), None, None), (tok(90), tok(90), None)]
+    more = spark.createDataFrame(links, "token string, next string, error string")
+    for most, want in ((1, {}), (2, {"x": 1, "y": 1, "loop": 1}), (4, {"x": 3, "y": 1, "loop": 3}), (7, {"x": 6, "y": 1, "loop": 6}), (40, {"x": 19, "y": 1, "loop": 39})):
+        got = crawl.follow(start, more, most).collect()
+        assert {q: max(r["page"] for r in got if r["q"] == q) for q in {r["q"] for r in got}} == want
+        assert len(got) == sum(want.values())  # every page once, in a row
