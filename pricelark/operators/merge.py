@@ -49,6 +49,42 @@ def upsert(stored: DataFrame, products: DataFrame, now: Column) -> DataFrame:
     )
 
 
+# --- a stored table whose untouched files stay ----------------------------------------------
+
+BUCKETS = 64
+
+
+def bucket_of(buckets: int, keys: list[str] = KEY) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
+    """By bucket; the rebalance parts a bucket that is too large for one file."""
+    return rows.withColumn("bucket", bucket_of(buckets)).hint("rebalance", "bucket")
+
+
+def create(path: str, listings: DataFrame, buckets: int = BUCKETS) -> None:
+    """Write a table of listings, parted by a hash of its key.  More buckets mean less to rewrite for a small import."""
+    _in_buckets(listings, buckets).write.mode("errorifexists").partitionBy("bucket").parquet(path)
+
+
+def merge_into(path: str, products: DataFrame, now: Column, buckets: int = BUCKETS) -> list[int]:
+    """`upsert` into the table at ``path``, rewriting only buckets that an incoming key falls into; their numbers.
+
+    ``buckets`` is what the table was created with.  Files of other buckets are neither read nor written.
+    New files are staged and take their buckets' place when all are written; products are read once more for that.
+    """
+    spark = products.sparkSession
+    new = valid_products(products).withColumn("bucket", bucket_of(buckets))
+    touched = sorted(r[0] for r in new.select("bucket").distinct().collect())  # ``buckets`` numbers at most
+    if not touched:
+        return []
+    stored = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    merged = upsert(stored.drop("bucket"), products, now).select(*[c for c in stored.columns if c != "bucket"])
+    _in_buckets(merged, buckets).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
+
+
 def observed(stored: DataFrame, products: DataFrame, now: Column) -> DataFrame:
     """Price observations an import adds: new listings, and those whose price, currency or availability differs.
 

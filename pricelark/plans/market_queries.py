@@ -385,13 +385,9 @@ def report_json(spark, d):
 @query(None)
 def stream_changes(spark, d):
     """Price changes by a streaming run over all events, read to its end."""
-    import tempfile
-    import uuid
+    from ..streaming import folders, observations
 
-    from ..streaming import observations
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{shared}/stream-{uuid.uuid4().hex}"
+    path = folders.shared(spark, "stream")
     t.observations(spark, d).write.parquet(f"{path}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
     done = observations.changes(source).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
