@@ -18,6 +18,11 @@ def present(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
+def fold(text: Column) -> Column:
+    """Lower case, with ß as ss and a final sigma as a sigma."""
+    return F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+
+
 # --- words and similarity ---------------------------------------------------------------
 
 

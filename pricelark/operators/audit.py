@@ -79,3 +79,45 @@ def signals(offers: DataFrame) -> DataFrame:
 def summary(stats: DataFrame) -> DataFrame:
     """Reports by thin market: how many, their offers and strong prices, and how many have a recommendation."""
     return stats.groupBy("thin_market").agg(F.count("*").alias("reports"), F.sum("offers_total").alias("offers"), F.sum("strong_total").alias("strong"), F.count("recommended_price").alias("recommended"))
+
+
+# --- samples and probes ---------------------------------------------------------------------
+
+SETS = r"комплект|пара|2\s*шт"
+SIDES = "лів|прав|лев|перед|задн|внутр|зовніш|внешн"
+SYNONYMS = "маточин|ступиц|кришк|крышк"
+
+
+def name_pathologies(listings: DataFrame) -> DataFrame:
+    """How many names speak of sets, of sides, of a gearbox (whose word begins like a side), and of parts with names in two languages."""
+    has = lambda p: F.col("name").rlike(f"(?iu)(?:{p})")
+    return listings.agg(
+        F.count_if(has(SETS)).alias("sets"), F.count_if(has(SIDES)).alias("sides"), F.count_if(has("передач")).alias("gearbox"), F.count_if(has("передач") & has("задн")).alias("gearbox_rear"),
+        F.count_if(has("кпп")).alias("gearbox_short"), F.count_if(has(SYNONYMS)).alias("synonyms"), F.count_if(has("внутр")).alias("inner_side"), F.count_if(has("зовніш|внешн")).alias("outer_side"),
+    )
+
+
+def sample(rows: DataFrame, *order: str, most: int = 60) -> DataFrame:
+    """The first ``most`` rows in an order: a report to read, a top-k of its kind."""
+    return rows.orderBy(*order).limit(most)
+
+
+def odd_numbers(numbers: DataFrame) -> DataFrame:
+    """Part numbers (origin, number, id) without a digit, with Cyrillic letters, or longer than 20."""
+    n = F.col("number")
+    return numbers.where(~n.rlike("[0-9]") | n.rlike("[А-Яа-яІіЇїЄєЁё]") | (F.length(n) > 20))
+
+
+def unmatched_photo_keys(cache: DataFrame, offers: DataFrame) -> DataFrame:
+    """Cached verdicts (key, verdict) that belong to no offer."""
+    return cache.join(offers.select(F.concat(F.lit("photo-used:v1:"), F.sha1("url")).alias("key")), "key", "left_anti")
+
+
+def weak_by_name(offers: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, source, offer_ord, similarity) of offers that count by their number alone: their names are not alike enough."""
+    from ..functions import text, vocab
+
+    asked = queries.select("query_id", text.name_tokens(F.col("name")).alias("_ours"))
+    alike = text.token_similarity(F.col("_ours"), text.name_tokens(F.col("title")))
+    found = offers.where(F.col("confidence") >= vocab.OEM_HIT).join(asked, "query_id").withColumn("similarity", alike)
+    return found.where(F.col("similarity") < vocab.NAME_KEEP).select("query_id", "source", "offer_ord", "similarity")

@@ -134,9 +134,39 @@ def store_counts(stores: DataFrame, listings: DataFrame, overrides: DataFrame) -
     return stores.join(live, "store_id", "left").select("store_id", F.coalesce("listings", F.lit(0)).alias("listings"), F.coalesce("from_file", F.lit(0)).alias("from_file"))
 
 
+def owned(catalog: DataFrame) -> DataFrame:
+    """Rows of the stores that are one's own."""
+    return catalog.where(F.col("kind") == "owned")
+
+
+def listing_view(listings: DataFrame, overrides: DataFrame, stores: DataFrame) -> DataFrame:
+    """What is shown of a single listing: the catalogue's row, the image and part numbers of its raw data (image, oem_numbers), and what its source says beside an override.
+
+    Rows of ``listings`` that ``overrides`` marks as deleted are not shown; choose a listing by its id.
+    """
+    raw = listings.select("id", F.col("name").alias("source_name"), F.col("price").alias("source_price"), urls.image_url(F.col("image")).alias("image"), F.coalesce("oem_numbers", F.array().cast("array<string>")).alias("oem_numbers"))
+    edited = overrides.select(F.col("listing_id").alias("id"), F.lit(True).alias("_edited"))
+    shown = items(effective(listings.drop("image", "oem_numbers"), overrides, stores)).join(raw, "id").join(edited, "id", "left")
+    return shown.withColumn("is_edited", F.coalesce("_edited", F.lit(False))).drop("_edited")
+
+
+def manual_queries(requests: DataFrame) -> DataFrame:
+    """Search queries from a form (workspace, oem, brand, name): the number if it is one, a name that falls back to what was typed.
+
+    ``query_id`` is of the number's characters, so equal questions share a cached report.
+    """
+    number = text.normalize_oem(F.col("oem"))
+    none = F.array().cast("array<string>")
+    return requests.select(
+        F.concat(F.lit("manual:"), text.norm_code(F.col("oem"))).alias("query_id"), "workspace", F.when(number.isNotNull(), F.array(number)).otherwise(none).alias("oem_numbers"),
+        text.present(F.col("brand")).alias("brand"), F.coalesce(text.present(F.col("name")), F.trim("oem")).alias("name"), F.lit("").alias("source_url"), F.lit(True).alias("manual"),
+    )
+
+
 def queries_of(listings: DataFrame) -> DataFrame:
     """Search queries of listings: distinct usable numbers (those stored, then the SKU), brand, name, owners."""
     stored = F.col("oem_numbers") if "oem_numbers" in listings.columns else F.array().cast("array<string>")
     numbers = F.array_distinct(F.filter(F.transform(F.concat(F.coalesce(stored, F.array().cast("array<string>")), F.array("sku")), text.normalize_oem), lambda x: x.isNotNull()))
     slug, seller = urls.export_seller(F.col("url"))
-    return listings.select(F.col("id").alias("query_id"), numbers.alias("oem_numbers"), "brand", "name", F.col("url").alias("source_url"), seller.alias("owner_seller_id"), slug.alias("owner_seller_slug"))
+    more = [c for c in ("workspace", "seller_id", "seller_slug") if c in listings.columns]
+    return listings.select(F.col("id").alias("query_id"), numbers.alias("oem_numbers"), "brand", "name", F.col("url").alias("source_url"), seller.alias("owner_seller_id"), slug.alias("owner_seller_slug"), *more)

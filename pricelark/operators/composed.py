@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text, vocab
 from ..sources import crawl, pages
+from . import offers
 
 FEED = "https://avto.pro"
 #: Part numbers of a query that a feed is asked for, in order.
@@ -82,3 +83,26 @@ def feed_status(queries: DataFrame, offers: DataFrame) -> DataFrame:
     some = offers.select("query_id").distinct().withColumn("_some", F.lit(True))
     status = F.when(F.coalesce(F.size("oem_numbers"), F.lit(0)) <= 0, F.lit("skipped")).when(F.col("_some"), F.lit("ok")).otherwise(F.lit("empty"))
     return queries.join(some, "query_id", "left").select("query_id", F.lit("avtopro").alias("source"), status.alias("status"))
+
+
+def market_source(queries: DataFrame, found: DataFrame, owners: DataFrame) -> DataFrame:
+    """Offers of the marketplace's search for each query, from its result pages.
+
+    ``found``: query_id, term, term_ord, page, html.  A page that can't be read adds nothing.  Products
+    keep their place by term, page and position; what comes after is `offers.from_products`.
+    """
+    read = crawl.listing_pages(found.select("query_id", "term", "term_ord", "page", "html"), pages.SEARCH)
+    each = read.select("query_id", "term", "term_ord", "page", F.posexplode("products").alias("position", "p"))
+    products = each.select("query_id", "term", "term_ord", "page", "position", *pages.product(F.col("p")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("term_ord", "page", "position")) - 1
+    return offers.from_products(products.withColumn("place", place.cast("long")), queries, owners)
+
+
+def web_source(queries: DataFrame, results: DataFrame, fetched: DataFrame, source: str = "google", only_domains: tuple = ()) -> DataFrame:
+    """Offers of a web search: candidates, the price their page states or their snippet names, and the source's best.
+
+    With ``only_domains`` it is a search of those sites alone.  ``results`` and ``fetched`` as `pages.web_candidates` and `pages.web_offers` read them.
+    """
+    ordinal = list(vocab.SOURCE_MOST).index(source)
+    made = pages.web_offers(pages.web_candidates(results, queries, only_domains), fetched)
+    return offers.top_per_source(made.withColumn("source", F.lit(source)).withColumn("source_ord", F.lit(ordinal)))

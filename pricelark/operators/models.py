@@ -42,3 +42,34 @@ def verdicts(candidates: DataFrame, answers: DataFrame, missing: str = "no", siz
     judged = each.select("query_id", "source", "chunk").distinct()
     out = placed.join(judged, ["query_id", "source", "chunk"]).join(one, ["query_id", "source", "chunk", "i"], "left")
     return out.select("query_id", "source", "position", F.coalesce("verdict", F.lit(missing)).alias("verdict"))
+
+
+def market_line(low: Column, median: Column, high: Column) -> Column:
+    """What a verification prompt says of the market."""
+    return F.concat(F.lit("Ринок: мін "), low.cast("string"), F.lit(", медіана "), median.cast("string"), F.lit(", макс "), high.cast("string"))
+
+
+def verify_prompt(name: Column, brand: Column, numbers: Column, market: Column, candidates: Column) -> Column:
+    """The text that asks to check offers: ``candidates`` is an array of structs of title, price, seller, availability and condition.
+
+    A missing brand, seller or stock note leaves its line out; an unknown condition says so.
+    """
+    maker = F.when(F.coalesce(brand, F.lit("")) != "", F.concat(F.lit("Виробник: "), brand))
+    listed = F.when(F.size(numbers) > 0, F.concat(F.lit("Каталожні номери: "), F.array_join(numbers, ", ")))
+    line = lambda label, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"   {label}: "), value))
+    each = lambda o, i: F.concat_ws("\n", F.concat(i.cast("string"), F.lit(". "), o["title"]), F.concat(F.lit("   ціна: "), o["price"].cast("string")), line("продавець", o["seller"]), line("наявність", o["availability"]), F.concat(F.lit("   стан: "), F.coalesce(F.nullif(o["condition"], F.lit("")), F.lit("невідомо"))))
+    head = F.filter(F.array(F.concat(F.lit("Наша деталь: "), name), maker, listed, market), lambda x: x.isNotNull())
+    return F.array_join(F.concat(head, F.array(F.lit(""), F.lit("Кандидати:")), F.transform(candidates, each)), "\n")
+
+
+def verify_batches(picked: DataFrame, size: int = VERIFY_CHUNK) -> DataFrame:
+    """(query_id, chunk, candidates): the offers of the second pass (query_id, position, ...) in batches of ``size``, in their order."""
+    facts = F.struct("position", "title", F.col("price").cast("string").alias("price"), F.col("seller").cast("string").alias("seller"), "availability", "condition")
+    placed = picked.withColumn("chunk", F.floor(F.col("position") / size).cast("int"))
+    return placed.groupBy("query_id", "chunk").agg(F.sort_array(F.collect_list(facts)).alias("candidates"))  # ``size`` at most
+
+
+def verify_verdicts(picked: DataFrame, answers: DataFrame, size: int = VERIFY_CHUNK) -> DataFrame:
+    """(query_id, position, verdict) from answers (query_id, chunk, response): in a batch that was judged, offers left out are ``unsure``."""
+    at = F.lit("all").alias("source")
+    return verdicts(picked.select("query_id", at, "position"), answers.select("query_id", at, "chunk", "response"), "unsure", size).drop("source")

@@ -32,38 +32,53 @@ def owner_identity(workspaces: DataFrame, exclusions: DataFrame, own=vocab.OWN_S
     ``exclusions``: workspace, marketplace, external_id, slug, a row for each shop that somebody entered (some dozens a workspace).
     """
     mine = exclusions.where(F.lower("marketplace") == "prom")
-    found = mine.groupBy("workspace").agg(F.collect_set(text.present(F.col("external_id"))).alias("_ids"), F.collect_set(F.lower(text.present(F.col("slug")))).alias("_slugs"))
+    found = mine.groupBy("workspace").agg(F.collect_set(text.present(F.col("external_id"))).alias("_ids"), F.collect_set(text.fold(text.present(F.col("slug")))).alias("_slugs"))
     none = F.array().cast("array<string>")
     merged = lambda name, at: F.array_sort(F.array_distinct(F.concat(F.coalesce(F.col(name), none), F.array(*[F.lit(o[at]) for o in own]).cast("array<string>"))))
     joined = workspaces.select("workspace").distinct().join(found, "workspace", "left")
     return joined.select("workspace", merged("_ids", 0).alias("seller_ids"), merged("_slugs", 1).alias("seller_slugs"))
 
 
-def drop_own_products(offers: DataFrame, owners: DataFrame) -> DataFrame:
+def query_owners(queries: DataFrame, owners: DataFrame) -> DataFrame:
+    """(query_id, seller_ids, seller_slugs): the workspace's own shops (`owner_identity`) united with the listing's own seller.
+
+    ``queries`` has query_id, workspace and, as far as they are known, seller_id and seller_slug (of the listing's
+    raw data), owner_seller_id and owner_seller_slug (of its export host).
+    """
+    none = F.array().cast("array<string>")
+    own = lambda *names: F.array_compact(F.array(*[text.present(F.col(c).cast("string")) for c in names if c in queries.columns]).cast("array<string>"))
+    ids = own("seller_id", "owner_seller_id")
+    slugs = F.transform(own("seller_slug", "owner_seller_slug"), text.fold)
+    both = lambda name, more: F.array_sort(F.array_distinct(F.concat(F.coalesce(F.col(name), none), more))).alias(name)
+    return queries.join(owners, "workspace", "left").select("query_id", both("seller_ids", ids), both("seller_slugs", slugs))
+
+
+def drop_own_products(offers: DataFrame, owners: DataFrame, key: str = "workspace") -> DataFrame:
     """Without a workspace's own products: by the seller's id, the seller's slug, the id in the url's host, or the listing itself.
 
-    ``offers`` has workspace, seller_id, seller_slug, url and source_url (the listing that is asked for); ``owners`` as `owner_identity`
-    gives it.  Titles are not looked at, since they change.
+    ``offers`` has ``key``, seller_id, seller_slug, url and source_url (the listing that is asked for); ``owners`` as `owner_identity`
+    or `query_owners` (with key query_id) gives it.  Titles are not looked at, since they change.
     """
     has = lambda name, value: F.coalesce(F.array_contains(name, value), F.lit(False))
-    own = has("seller_ids", text.present(F.col("seller_id"))) | has("seller_slugs", F.lower(text.present(F.col("seller_slug")))) | has("seller_ids", urls.host_seller_id(F.col("url")))
-    joined = offers.join(owners, "workspace", "left")
+    own = has("seller_ids", text.present(F.col("seller_id").cast("string"))) | has("seller_slugs", text.fold(text.present(F.col("seller_slug")))) | has("seller_ids", urls.host_seller_id(F.col("url")))
+    joined = offers.join(owners, key, "left")
     return joined.where(~(own | urls.same_product(F.col("source_url"), F.col("url")))).select(*offers.columns)
 
 
 def from_products(products: DataFrame, queries: DataFrame, owners: DataFrame) -> DataFrame:
     """Marketplace products found for queries as offers: scored, without own products and junk, the cheapest of each seller, the best 60 of a query.
 
-    ``products``: query_id, place (of the product among all pages and terms of its query), term, name, sku, brand, price (as text), currency,
-    url, seller_id, seller_slug, seller_name, presence, is_available, image.  ``queries``: query_id, workspace, oem_numbers, brand, name,
-    source_url.  Products that match nothing, or without price or url, go.  Junk goes before the dedupe, or a seller's cheapest would be junk.
+    ``products``: query_id, place (of the product among all pages and terms of its query), term, name, sku, brand, ``effective_price`` (as product pages
+    give it; else price, as text), currency, url, seller_id, seller_slug, seller_name, presence, is_available, image.  ``queries``: query_id, workspace, oem_numbers, brand, name,
+    source_url, and the listing's own seller as `query_owners` reads it.  Products that match nothing, or without price or url, go.  Junk goes before the dedupe, or a seller's cheapest would be junk.
     """
-    asked = queries.select("query_id", "workspace", "source_url", "oem_numbers", F.col("brand").alias("_brand"), F.col("name").alias("_name"))
+    asked = queries.select("query_id", "source_url", F.col("oem_numbers").alias("_numbers"), F.col("brand").alias("_brand"), F.col("name").alias("_name"))
     joined = products.join(asked, "query_id")
     said = F.concat_ws(" ", F.nullif("name", F.lit("")), F.nullif("sku", F.lit("")))
-    score = text.match_score(F.col("oem_numbers"), F.col("_name"), F.col("_brand"), said, F.col("name"), F.col("brand"))
-    scored = joined.withColumn("confidence", score).withColumn("_price", money.parse_price(F.col("price"))).where((F.col("confidence") > 0) & F.col("_price").isNotNull() & (F.col("url") != ""))
-    fine = drop_own_products(scored, owners).where(~text.is_junk(F.col("name"), F.col("presence")))
+    score = text.match_score(F.col("_numbers"), F.col("_name"), F.col("_brand"), said, F.col("name"), F.col("brand"))
+    price = F.col("effective_price") if "effective_price" in products.columns else money.parse_price(F.col("price"))
+    scored = joined.withColumn("confidence", score).withColumn("_price", price).where((F.col("confidence") > 0) & F.col("_price").isNotNull() & (F.col("url") != ""))
+    fine = drop_own_products(scored, query_owners(queries, owners), "query_id").where(~text.is_junk(F.col("name"), F.col("presence")))
     none = F.lit(None).cast("string")
     made = fine.select(
         "query_id", F.lit("prom").alias("source"), F.lit(0).alias("source_ord"), F.col("place").alias("offer_ord"), F.coalesce(F.nullif("name", F.lit("")), F.nullif("sku", F.lit("")), "term").alias("title"),
