@@ -143,7 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 10_000) -> Model | Non
             rows = [features(t).tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("good"), pa.array(rows, pa.list_(pa.float64()))], names=["id", "good", "x"])
 
-    met = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id")).select("doc_id", "good", "text")
+    met = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id"))
+    # Of rows that share an id the one whose text's hash is smallest: the sample bounds rows, not ids alone.
+    met = met.groupBy("doc_id", "good").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
     got = met.mapInArrow(run, "id long, good boolean, x array<double>").toArrow().sort_by("id")  # bounded by `most`
     good = got.column("good").to_numpy(zero_copy_only=False).astype(bool)
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(len(good), FEATURES)
