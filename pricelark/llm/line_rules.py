@@ -80,8 +80,8 @@ def text_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     return rows.select("row", "doc_id", "host", "content", F.explode(F.expr(coded)).alias("l")).select("row", "doc_id", "host", "content", "l.line", "l.words")
 
 
-def frequent_lines(lines: DataFrame, least: int = 20, share: float = 0.02) -> DataFrame:
-    """(host, line) of lines in at least ``least`` distinct documents of a host and over ``share`` of them."""
+def frequent_lines(lines: DataFrame, least: int = 3, share: float = 0.05) -> DataFrame:
+    """(host, line) of lines in over ``share`` of a host's distinct documents, and in at least ``least`` of them: in two, a line is shared, not frequent."""
     each = lines.select("host", "content", "line").distinct()
     docs = lines.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     count = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -89,7 +89,7 @@ def frequent_lines(lines: DataFrame, least: int = 20, share: float = 0.02) -> Da
     return both.where(F.col("n") > share * F.col("docs")).select("host", "line")
 
 
-def judge(docs: DataFrame, host: str = "source", least: int = 20, share: float = 0.02, most_lost: float = 0.7, scope: str = "lines") -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", least: int = 3, share: float = 0.05, most_lost: float = 0.7, scope: str = "lines") -> DataFrame:
     """The columns of `text_rules`, words in removed lines (``removed_words``), and ``kept``.
 
     ``kept`` is false if ``base_failed``, or if more than ``most_lost`` of the words stand
@@ -108,19 +108,22 @@ def judge(docs: DataFrame, host: str = "source", least: int = 20, share: float =
     return out.withColumn("removed_words", removed).withColumn("kept", ~F.col("base_failed") & (removed <= most_lost * F.col("n_words")))
 
 
-def clean(docs: DataFrame, host: str = "source", least: int = 20, share: float = 0.02) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", least: int = 3, share: float = 0.05, scope: str = "lines") -> DataFrame:
     """``docs`` with the frequent lines taken out of each text; its columns stay.
 
-    The lines travel with their row number, so texts are put together again in order.
+    Lines are looked up one by one, and each row's frequent ones come back to it as a list that
+    its own text bounds; no list of a host's lines is made.  Rows that repeat are cleaned one by one.
     """
-    often = frequent_lines(text_lines(docs, host), least, share)
-    flat = often.groupBy("host").agg(F.collect_set("line").alias("gone")).withColumnRenamed("host", "of")
+    names = docs.columns
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("__nr"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")), scope)
+    lines = rows.select("__nr", F.col(f"__row.`{host}`").alias("host"), F.xxhash64("__row.text").alias("content"), F.explode(F.expr(f"array_distinct(transform({_normal_lines('__row.text')}, x -> xxhash64(x)))")).alias("line"))
+    often = frequent_lines(text_lines(docs, host), least, share).withColumnRenamed("host", "of").withColumnRenamed("line", "is")
+    met = lines.join(often, (F.col("line") == F.col("is")) & F.col("host").eqNullSafe(F.col("of")), "left_semi")
+    gone = met.groupBy("__nr").agg(F.collect_list("line").alias("__gone"))
     kept = F.expr(
         rf"array_join(transform(filter(arrays_zip(split(`__row`.text, '\n'), {_normal_lines('`__row`.text')}), "
-        "x -> NOT array_contains(gone, xxhash64(x.`1`))), x -> x.`0`), '\n')"
+        "x -> NOT array_contains(__gone, xxhash64(x.`1`))), x -> x.`0`), '\n')"
     )
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
-    both = rows.join(flat, F.col("__row")[host].eqNullSafe(F.col("of")), "left")
-    text = F.when(F.col("gone").isNull(), F.col("__row.text")).otherwise(kept)
+    both = rows.join(gone, "__nr", "left")
+    text = F.when(F.col("__gone").isNull(), F.col("__row.text")).otherwise(kept)
     return both.select(*[(text if c == "text" else F.col("__row")[c]).alias(c) for c in names])

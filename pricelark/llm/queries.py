@@ -113,7 +113,7 @@ raw AS (SELECT nr, source, text, unnest(string_split(text, chr(10))) AS line FRO
 lines AS (SELECT nr, source, text, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dl AS (SELECT nr, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY nr),
 hosts AS (SELECT source, count(DISTINCT text) AS docs FROM lines GROUP BY source),
-often AS (SELECT c.source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY source, norm) AS c JOIN hosts ON c.source IS NOT DISTINCT FROM hosts.source WHERE n >= 20 AND n > 0.02 * docs),
+often AS (SELECT c.source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY source, norm) AS c JOIN hosts ON c.source IS NOT DISTINCT FROM hosts.source WHERE n >= 3 AND n > 0.05 * docs),
 lost AS (SELECT nr, sum(len(string_split(lines.norm, ' '))) AS n FROM lines JOIN often ON lines.norm = often.norm AND lines.source IS NOT DISTINCT FROM often.source GROUP BY nr),
 base AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS lost
