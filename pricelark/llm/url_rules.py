@@ -15,7 +15,7 @@ support (at most 1/support single tokens, and so on); it is counted before a bro
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, lower_ascii, stage
@@ -55,39 +55,63 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(tagged)
 
 
-def mine(labelled: DataFrame, support: float = 0.02, confidence: float = 0.6, lift: float = 1.05, longest: int = 4) -> DataFrame:
-    """(verdict, antecedent, confidence, support) mined from (items, verdict) rows; antecedents have up to ``longest`` tokens."""
+def folded(labelled: DataFrame, support: float, rows: int) -> DataFrame:
+    """(token, item) of the tokens in at least ``support`` of the ``rows``; tokens that stand in the same rows are one item, the first of them by name.
+
+    Rows of such tokens have equal count, sum and exclusive or of their hashes.  Without
+    folding, k tokens that always come together make 2^k frequent sets.
+    """
+    h = F.xxhash64(F.lit(7), "row")
+    each = labelled.select("row", F.explode("items").alias("token"))
+    sets = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(h.cast("decimal(20,0)")).alias("s"), F.bit_xor(h).alias("x")).where(F.col("n") >= support * rows)
+    return sets.select("token", F.min("token").over(Window.partitionBy("n", "s", "x")).alias("item"))
+
+
+def mine(labelled: DataFrame, support: float = 0.02, confidence: float = 0.6, longest: int = 4) -> DataFrame:
+    """(verdict, antecedent, confidence, support) mined from (items, verdict) rows: rules with at least that support and confidence, of up to ``longest`` items."""
     baskets = labelled.select(F.array_append("items", F.concat(F.lit("verdict="), F.col("verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent")[0].startswith("verdict=") & (F.col("lift") >= lift))
+    found = model.associationRules.where(F.col("consequent")[0].startswith("verdict="))
     plain = ~F.exists("antecedent", lambda x: x.startswith("verdict="))
     return found.where(plain & (F.size("antecedent") <= longest)).select(
         F.substring_index(F.col("consequent")[0], "=", -1).alias("verdict"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support"
     )
 
 
-def judge(pages: DataFrame, rules=RULES, support: float = 0.02, confidence: float = 0.6, default: str = "allow", scope: str = "urls") -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, support: float = 0.02, confidence: float = 0.6, longest: int = 4, default: str | None = None, scope: str = "urls") -> DataFrame:
     """Per row: page_id, host, path, rule, verdict, and the mined rule that decided (``mined``).
 
     Of the mined rules that match, the most confident one decides, then the one with more
-    support, more tokens, and the first by its text; where none matches, ``default``.
-    A null url or one without ``://`` has an empty host and path and gets ``default``.
-    Where the fixed rules judge nothing (an empty table too), nothing is mined.
+    support, more items, and the first by its text; where none matches, ``default``, or if that isn't given the
+    verdict that most labelled urls have (allow, of equals).
+    A null url or one without ``://`` has an empty host and path and gets the default.
+    Where the fixed rules judge nothing (an empty table too), nothing is mined.  Rows that repeat
+    are judged one by one; other columns, also those named as the ones made here, are not looked at.
+
+    Tokens of the labelled urls are folded (`folded`): an item stands for tokens that always
+    come together there, and a url has it if it has one of them.
     """
     url = F.coalesce("url", F.lit(""))
     rule, verdict = rule_of(host_of(url), path_of(url), rules)
     cut = pages.select("page_id", F.monotonically_increasing_id().alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), tokens(host_of(url), path_of(url), url).alias("items"), rule.alias("rule"), verdict.alias("verdict"))
     cut = stage(cut, scope)
     labelled = cut.where("verdict IS NOT NULL")
-    if labelled.isEmpty():
+    votes = {r[0]: r[1] for r in labelled.groupBy("verdict").count().collect()}
+    default = default or ("block" if votes.get("block", 0) > votes.get("allow", 0) else "allow")
+    if not votes:
         return cut.select("page_id", "host", "path", "rule", F.lit(default).alias("verdict"), F.lit(None).cast("string").alias("mined"))
-    mined = stage(mine(labelled, support, confidence), scope)
-    frequency = labelled.select(F.explode("items").alias("key")).groupBy("key").agg(F.count("*").alias("df"))
+    items = broadcast_if_small(stage(folded(labelled, support, sum(votes.values())), scope))
+    had = cut.where("host <> ''").select("row", "verdict", F.explode("items").alias("token")).join(items, "token")
+    made = stage(had.groupBy("row", "verdict").agg(F.array_sort(F.collect_set("item")).alias("items")), scope)
+    # Labelled urls without any frequent token count in the support too.
+    baskets = labelled.select("row", "verdict").join(made.where("verdict IS NOT NULL").select("row", F.col("items").alias("_items")), "row", "left").select("verdict", F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
+    mined = stage(mine(baskets, support, confidence, longest), scope)
+    frequency = made.where("verdict IS NOT NULL").select(F.explode("items").alias("key")).groupBy("key").agg(F.count("*").alias("df"))
     ranked = mined.select("*", F.explode("antecedent").alias("key")).join(frequency, "key")
     filed = ranked.groupBy("verdict", "antecedent", "confidence", "support").agg(F.min(F.struct("df", "key"))["key"].alias("key"))
     filed = broadcast_if_small(stage(filed.withColumnRenamed("verdict", "says"), scope))
 
-    open_ = cut.where("verdict IS NULL AND host <> ''").select("row", "items", F.explode("items").alias("key"))
+    open_ = made.where("verdict IS NULL").select("row", "items", F.explode("items").alias("key"))
     hits = open_.join(filed, "key").where(F.size(F.array_except("antecedent", "items")) == 0)
     order = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), (-F.size("antecedent")).alias("n"), F.array_join("antecedent", " ").alias("a"), F.col("says").alias("v"))
     best = hits.groupBy("row").agg(F.min(order).alias("b"))
