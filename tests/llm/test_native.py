@@ -163,6 +163,18 @@ def test_mix_emits(hard, empty):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 10, 19, 20, 21, 40])
+def test_a_host_is_judged_alike_at_every_size(spark, n):
+    """Documents that are mostly one banner go from three on, whether a host has 3 of them or 40."""
+    banner = "\n".join(prose(k, 30) for k in range(4))
+    docs = make(spark, [(i, banner + "\n" + prose(100 + i, 40), "h") for i in range(n)] + [(1000 + i, prose(500 + i, 80), "other") for i in range(5)])
+    got = {r["doc_id"]: (r["kept"], r["removed_words"]) for r in line_rules.judge(docs).collect()}
+    assert all(got[i] == ((False, 120) if n >= 3 else (True, 0)) for i in range(n))
+    assert all(got[1000 + i] == (True, 0) for i in range(5))
+    cleaned = {r["doc_id"]: r["text"] for r in line_rules.clean(docs).collect()}
+    assert all(cleaned[i] == (prose(100 + i, 40) if n >= 3 else banner + "\n" + prose(100 + i, 40)) for i in range(n))
+
+
 URLS = ["http://A.org/x", "https://www.example.org/es/1", "http://example.org/en/12", "http://example.org/en/2", "http://x.com/fr/?q", "http://com/de/", "http://notexample.net/", None, "no scheme", "x://h#a", "a://b://c/d", "http://sub.com/de/x"]
 
 
@@ -191,6 +203,29 @@ def test_urls_mine(spark):
     assert got[200][0] == "allow" and got[201][0] == "block" and got[201][1]
 
 
+def test_urls_with_one_sided_labels(spark):
+    """Where 97 of 100 labels say block, urls alike are blocked and so are those that nothing speaks for."""
+    rows = [(i, f"http://a{i}.com/de/bad/{i}") for i in range(970)] + [(2000 + i, f"http://b{i}.org/fine/{i}") for i in range(30)] + [(5000, "http://c.net/de/bad/1"), (5001, "http://d.net/other"), (5002, None)]
+    got = {r["page_id"]: (r["verdict"], r["mined"]) for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[5000][0] == "block" and got[5000][1] and got[5001][0] == "block" and got[5002] == ("block", None)
+    strict = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), confidence=0.999, support=0.5, longest=1, default="allow")
+    assert {r["page_id"]: r["verdict"] for r in strict.collect()}[5002] == "allow"
+
+
+def test_urls_that_share_a_deep_path(spark):
+    """Twenty parts that always come together are one item: mining doesn't see their 2^20 subsets."""
+    import time
+
+    deep = "/".join(f"part{chr(97 + k)}" for k in range(20))
+    rows = [(i, f"http://a{i}.com/de/{deep}/{i}") for i in range(200)] + [(1000 + i, f"http://b{i}.org/x/{i}") for i in range(200)] + [(5000, f"http://c.net/{deep}"), (5001, "http://c.net/partc"), (None, f"http://c.net/{deep}"), (5002, "http://c.net/" + "long/" * 20_000)]
+    rows += [(5000, f"http://c.net/{deep}")] * 2
+    began = time.monotonic()
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert time.monotonic() - began < 60
+    said = {r["page_id"]: r["verdict"] for r in got}
+    assert len(got) == len(rows) and said[5000] == said[5001] == said[None] == "block"
+
+
 def test_no_python_in_native_plans(corpus):
     pages = corpus.sparkSession.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for df in (license_scan.license_report(corpus), line_rules.judge(corpus), mixing.mix_report(corpus), url_rules.judge(pages)):

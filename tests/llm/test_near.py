@@ -322,6 +322,21 @@ def test_classifier_edges(spark, hard, empty):
     assert quality.score(empty, model).count() == 0 and quality.keep(hard, model).columns == hard.columns
 
 
+def test_quality_sample_bounds_rows(spark, monkeypatch):
+    """An id with a third of the rows adds one row to what is fitted; which one doesn't depend on their order."""
+    from tests.llm.conftest import make, prose
+
+    rows = [(i, prose(i, 40), "a") for i in range(200)] + [(7, prose(1000 + i, 20), "a") for i in range(100)]
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_pu", lambda p, u, prior: seen.append((len(p), len(u), p.sum())))
+    for order in (rows, rows[::-1]):
+        quality.train(make(spark, order).repartition(3), labels)
+    held = {r.id for r in spark.range(200).where(quality.held_out(F.col("id"))).collect()}
+    assert [s[:2] for s in seen] == [(len(set(range(100)) - held), len(set(range(100, 200)) - held))] * 2
+    assert seen[0][2] == pytest.approx(seen[1][2])
+
+
 def test_risk_is_not_negative():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 1, (400, quality.FEATURES)), rng.normal(-1, 1, (400, quality.FEATURES))
