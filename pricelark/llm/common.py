@@ -63,6 +63,21 @@ def stage(df: DataFrame, scope: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Shuffle files of a finished query are deleted.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage_freed(df: DataFrame, scope: str) -> DataFrame:
+    """`stage`, and the shuffle files that writing needed are deleted at once, not when the driver next collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_FREED, None)
+    conf.set(_FREED, "true")
+    try:
+        return stage(df, scope)
+    finally:
+        conf.unset(_FREED) if before is None else conf.set(_FREED, before)
+
+
 def release(spark: SparkSession, scope: str) -> None:
     """Delete what `stage` wrote under ``scope``.  Call it once the results built on it are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(staging(spark, scope))

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stage
+from .common import broadcast_if_small
+from .common import stage_freed as stage
 
 #: Bits of a sketch; of a set of ``LARGE`` elements or more, four times as many.
 BITS, LARGE = 512, 800

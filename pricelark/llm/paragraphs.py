@@ -17,6 +17,7 @@ near copies go through `links.link`, which makes no pairs inside what is already
 
 from __future__ import annotations
 
+import uuid
 from fractions import Fraction
 from functools import lru_cache
 
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stage
+from .common import broadcast_if_small, release
+from .common import stage_freed as stage
 from .jaccard import _lists, _signed, _words, mix, text_key
 from .links import link, meeting, sketch
 from .tokens import slices
@@ -266,8 +268,9 @@ def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
         return flags[0], F.when(done, code)
 
     (backed, prev), (followed, next_) = ahead(F.lag), ahead(F.lead)
+    own = f"{scope}/{uuid.uuid4().hex}"
     seeds = seeds.distinct().select("*", backed.alias("backed"), prev.alias("prev"), followed.alias("followed"), next_.alias("next"), doc.alias("doc"))
-    seeds = stage(seeds, scope)
+    seeds = stage(seeds, own)
     seeds = seeds.withColumn("back", ~F.col("backed")).withColumn("on", ~F.col("followed"))
     open_ = seeds.where("back OR on").groupBy("component").agg(F.max("back").alias("b"), F.max("on").alias("o"))
     # Of the places that go on with the same windows, the first and the last document stand for all.
@@ -276,22 +279,26 @@ def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
     edge = lambda f: f(F.struct("doc", "at"))
     stand = lambda side, when, other: closed.where(when).groupBy("component", other).agg(edge(F.min).alias("lo"), edge(F.max).alias("hi")).select(F.explode(F.array("lo", "hi")).alias("e"), F.lit(side).alias("side"))
     marks = stand("back", "b AND backed AND prev IS NOT NULL", "prev").unionByName(stand("on", "o AND followed AND next IS NOT NULL", "next"))
-    marks = stage(marks.groupBy("e.doc", "e.at").agg(F.bool_or(F.col("side") == "back").alias("mb"), F.bool_or(F.col("side") == "on").alias("mo")), scope)
+    marks = stage(marks.groupBy("e.doc", "e.at").agg(F.bool_or(F.col("side") == "back").alias("mb"), F.bool_or(F.col("side") == "on").alias("mo")), own)
     none = F.lit(False)
     seeds = seeds.join(marks, ["doc", "at"], "left").withColumn("back", F.col("back") | F.coalesce("mb", none)).withColumn("on", F.col("on") | F.coalesce("mo", none))
     seeds = stage(seeds.select("doc_id", "text_key", "at", "component", "kept", "first_doc", "back", "on"), scope)
+    release(docs.sparkSession, own)
     whole = seeds.where("NOT (back OR on)").select("doc_id", "text_key", "at", F.lit(WINDOW).alias("words"), "component", "kept", "first_doc")
     seeds = seeds.where("back OR on")
-    places = _contexts(docs, seeds, scope).withColumn("place", F.monotonically_increasing_id()).withColumn("doc", doc)
+    places = _contexts(docs, seeds, own).withColumn("place", F.monotonically_increasing_id()).withColumn("doc", doc)
     last_code = lambda side: F.get(side, F.size(side) - 1)  # noqa: E731  # null where the text has no word there
-    places = stage(places.withColumn("ctx_b", last_code("before")).withColumn("ctx_a", last_code("after")), scope)
+    coded_places = f"{scope}/{uuid.uuid4().hex}"
+    full = stage(places.withColumn("ctx_b", last_code("before")).withColumn("ctx_a", last_code("after")), coded_places)
+    places = stage(full.drop("before", "after"), scope)
 
     # Places with the same words on a side are one context there; only contexts are compared.
     sides = F.explode(F.array(*[F.struct(F.lit(b).alias("back"), F.col(c).alias("ctx")) for b, c in ((True, "ctx_b"), (False, "ctx_a"))]))
     tops = places.select("place", "doc", sides.alias("s")).select("place", "doc", "s.*").where("ctx IS NOT NULL")
     tops = tops.groupBy("ctx").agg(F.min(F.struct("doc", "place", "back")).alias("f"), F.max("doc").alias("last"))
-    tops = tops.select("ctx", "last", F.col("f.doc").alias("first"), "f.place", "f.back").join(places.select("place", "component", "before", "after"), "place")
-    contexts = stage(tops.select("ctx", "back", "component", "first", "last", F.when(F.col("back"), F.col("before")).otherwise(F.col("after")).alias("codes")), scope)
+    tops = tops.select("ctx", "last", F.col("f.doc").alias("first"), "f.place", "f.back").join(full.select("place", "component", "before", "after"), "place")
+    contexts = stage(tops.select("ctx", "back", "component", "first", "last", F.when(F.col("back"), F.col("before")).otherwise(F.col("after")).alias("codes")), own)
+    release(docs.sparkSession, coded_places)
 
     def met(coded: DataFrame) -> DataFrame:
         """Of the codes that several documents have: the first of these, and whether the contexts part before the next code."""
@@ -307,14 +314,15 @@ def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
     each = F.transform("codes", lambda c, i: F.struct((i + 1).alias("k"), c.alias("code"), F.lit(0).cast("long").alias("next")))
     fine = F.filter(each, lambda x: (x["k"] % STRIDE != 0) & F.array_contains("parted", x["k"] - x["k"] % STRIDE))
 
-    first = stage(met(coded(contexts, rough)), scope)
+    first = stage(met(coded(contexts, rough)), own)
     parted = first.where("parts").groupBy("ctx").agg(F.collect_set("k").alias("parted"))  # some
     found = first.drop("parts").unionByName(met(coded(contexts.join(parted, "ctx"), fine)).drop("parts"))
     # How far each document that is the first somewhere goes on alike: some rows of a context, of REACH + 1 at most.
     reached = found.groupBy("ctx", "from").agg(F.max("k").alias("k")).groupBy("ctx").agg(F.collect_list(F.struct("from", "k")).alias("reach"))
     reached = stage(reached, scope)
+    release(docs.sparkSession, own)
     far = lambda steps: F.coalesce(F.array_max(F.transform(steps, lambda x: x["k"])), F.lit(0))
-    done = places.drop("before", "after")
+    done = places
     for c in "ba":
         # A side without words meets nothing; its key is its own, so that such places spread.
         done = done.withColumn("ctx", F.coalesce(f"ctx_{c}", F.xxhash64("place"))).join(reached, "ctx", "left")
@@ -337,6 +345,8 @@ def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8
     ``at`` counts words of the text from 0.  The first unit of a component, by doc_id (nulls
     last), then text, then place, is ``kept``; so are those of the component in that document.
     """
+    own, last = f"{scope}/{uuid.uuid4().hex}", scope
+    scope = own  # what the places of units are made from; it goes once they are written
     bands, rows = tune_bands(threshold, recall)
     t = Fraction(threshold).limit_denominator(1000)
     cut = stage(units(docs, least, n, bands, rows), scope)
@@ -366,8 +376,9 @@ def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8
     groups = groups.where("lo <> hi OR a <> b OR null AND a IS NOT NULL").select("component", "check", F.col("f.doc").alias("first_doc"), F.col("f.key").alias("first_key"))
     out = placed.join(groups, ["component", "check"])
     kept = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key"))
-    out = stage(out.select("doc_id", "text_key", "at", "words", F.xxhash64("component", "check").alias("component"), kept.alias("kept"), "first_doc"), scope)
-    return out.where("words > 0").unionByName(_extended(docs, out.where("words = 0"), scope))
+    out = stage(out.select("doc_id", "text_key", "at", "words", F.xxhash64("component", "check").alias("component"), kept.alias("kept"), "first_doc"), last)
+    release(docs.sparkSession, own)
+    return out.where("words > 0").unionByName(_extended(docs, out.where("words = 0"), last))
 
 
 def _merged(spans) -> str:
