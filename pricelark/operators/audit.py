@@ -29,6 +29,27 @@ def key_histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(F.explode(F.map_keys(F.from_json(column, "map<string,string>"))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
+def key_paths(rows: DataFrame, column: str, deepest: int = 12) -> DataFrame:
+    """(path, n): how often each key occurs at each place of a JSON column, nested ones too; items of arrays stand as ``[]``.
+
+    Values are parsed once as VARIANT and opened level by level in the JVM.  Text that is no JSON
+    counts nothing; a column that goes on below ``deepest`` levels is an error, not cut off.
+    """
+    spark = rows.sparkSession
+    level = rows.select(F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v IS NOT NULL")
+    found = None
+    for _ in range(deepest):
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        path = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
+        level = opened.select(path.alias("path"), F.col("key").isNotNull().alias("named"), F.col("value").alias("v"))
+        counted = level.where("named").groupBy("path").agg(F.count("*").alias("n"))
+        found = counted if found is None else found.unionByName(counted)
+        level = level.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)<")).select("path", "v")
+        if level.isEmpty():
+            return found.groupBy("path").agg(F.sum("n").alias("n"))
+    raise ValueError(f"{column} is nested deeper than {deepest} levels")
+
+
 def drift(verdicts: DataFrame) -> DataFrame:
     """Per item of repeated runs (item, run, verdict): number of verdicts and whether they differ."""
     return verdicts.groupBy("item").agg(F.countDistinct("verdict").alias("verdicts")).withColumn("drift", F.col("verdicts") > 1)

@@ -114,9 +114,10 @@ def items(catalog: DataFrame) -> DataFrame:
 
 
 def siblings(listings: DataFrame, overrides: DataFrame, stores: DataFrame, of: DataFrame) -> DataFrame:
-    """(of_id, id, price) of the other listings in the group of each id in ``of``, by price.
+    """(of_id, id, price, place) of the other listings in the group of each id in ``of``; ``place`` is their order by price.
 
-    Prices here are the override's if it has one, else the listing's.
+    Prices here are the override's if it has one, else the listing's.  ``of`` is what is asked for, a page or a set of queries: the
+    answer has as many rows as their groups.
     """
     catalog = effective(listings, overrides, stores)
     keyed = catalog.select("id", text.group_key(F.col("sku"), F.col("id")).alias("key"))
@@ -124,7 +125,8 @@ def siblings(listings: DataFrame, overrides: DataFrame, stores: DataFrame, of: D
     own = listings.select("id", F.col("price").alias("_own"))
     base = keyed.join(of.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("of_id"), "key")
     met = base.join(keyed, "key").where("id <> of_id")
-    return met.join(own, "id").join(price, "id", "left").select("of_id", "id", F.coalesce("_p", "_own").alias("price")).orderBy("of_id", F.col("price").asc_nulls_last(), "id")
+    found = met.join(own, "id").join(price, "id", "left").select("of_id", "id", F.coalesce("_p", "_own").alias("price"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("of_id").orderBy(F.col("price").asc_nulls_last(), "id")))
 
 
 def store_counts(stores: DataFrame, listings: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -84,11 +84,12 @@ def catalog_items(spark, d):
 
 @query(
     with_("listing", "override", "store", "cat", "keyed")
-    + "SELECT a.id AS of_id, b.id, coalesce(o.cents, l.cents) AS price_cents FROM keyed a JOIN keyed b ON a.group_key = b.group_key AND a.id <> b.id JOIN listing l ON l.id = b.id LEFT JOIN override o ON o.listing_id = b.id"
+    + "SELECT a.id AS of_id, b.id, coalesce(o.cents, l.cents) AS price_cents, CAST(row_number() OVER (PARTITION BY a.id ORDER BY coalesce(o.cents, l.cents) NULLS LAST, b.id) AS INT) AS place FROM keyed a JOIN keyed b ON a.group_key = b.group_key AND a.id <> b.id JOIN listing l ON l.id = b.id LEFT JOIN override o ON o.listing_id = b.id WHERE a.id % 20 = 0"
 )
 def siblings(spark, d):
     lists = t.listings(spark, d)
-    return catalog.siblings(lists, t.overrides(spark, d), t.stores(spark, d), lists).select("of_id", "id", _price())
+    """The siblings of every listing whose id is divisible by 20, among all listings."""
+    return catalog.siblings(lists, t.overrides(spark, d), t.stores(spark, d), lists.where("id % 20 = 0")).select("of_id", "id", _price(), "place")
 
 
 @query(
@@ -249,11 +250,26 @@ def snapshot_probe(spark, d):
     return audit.snapshot(t.listings(spark, d))
 
 
-@query("SELECT 'k' AS key, count(*) AS n FROM events WHERE props LIKE '%\"k\"%'")
+@query("SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")
 def key_histogram(spark, d):
     return audit.key_histogram(t.table(spark, d, "events"), "props")
 
 
+@query(
+    """WITH x AS (SELECT p_partkey AS k, p_partkey % 3 AS n FROM part), p AS (SELECT 'id' AS path, 1 AS n FROM x UNION ALL SELECT unnest(['props', 'props.size', 'props.deep', 'props.deep.more']), 1 FROM x WHERE k % 2 = 0
+UNION ALL SELECT 'offers', 1 FROM x UNION ALL SELECT unnest(['offers[].price', 'offers[].tags']), n FROM x UNION ALL SELECT 'offers[].tags[].name', 2 * n FROM x)
+SELECT path, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY path HAVING sum(n) > 0"""
+)
+def key_paths(spark, d):
+    """Every key of nested JSON by its path; a seventh of the rows is no JSON beside."""
+    k = F.col("p_partkey")
+    offer = F.struct(F.lit(1).alias("price"), F.array(F.struct(F.lit("a").alias("name")), F.struct(F.lit("b").alias("name"))).alias("tags"))
+    props = F.when(k % 2 == 0, F.struct(F.col("p_size").alias("size"), F.struct(F.lit(True).alias("more")).alias("deep")))
+    body = F.struct(k.alias("id"), props.alias("props"), F.slice(F.array(offer, offer), F.lit(1), (k % 3).cast("int")).alias("offers"))
+    part = t.table(spark, d, "part")
+    return audit.key_paths(part.select(F.to_json(body).alias("raw")).unionByName(part.where(k % 7 == 0).select(F.lit("{broken").alias("raw"))), "raw")
+
+
 @query(f"WITH raw AS (SELECT {t.pick_sql(t.PRICES, 'p_partkey')} AS p FROM part) SELECT count(*) FILTER (p LIKE '%,%') AS comma, count(*) FILTER (p LIKE '%.%') AS dot, count(*) FILTER (p LIKE '%,%' AND p LIKE '%.%') AS both, count(*) FILTER (p LIKE '% %') AS space FROM raw")
 def shape_probe(spark, d):
     return audit.price_shapes(t.table(spark, d, "part").select(t.pick(t.PRICES, F.col("p_partkey")).alias("raw_price")))
@@ -421,10 +437,10 @@ def search_terms(spark, d):
     return q.select(F.col("query_id").alias("id"), F.array_join(text.search_terms(F.col("oem_numbers"), F.col("name")), ";").alias("terms"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'A' || p_partkey || ';' || p_partkey || ';' || p_size ELSE 'B' || p_size || ';' || p_partkey END AS numbers FROM part WHERE p_partkey <> p_size")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'A' || p_partkey || ';' || p_partkey || ';0' || p_size ELSE 'B0' || p_size || ';' || p_partkey END AS numbers FROM part")
 def order_numbers(spark, d):
-    p = t.table(spark, d, "part").where("p_partkey <> p_size")
-    k, s = F.col(_K).cast("string"), F.col("p_size").cast("string")
+    p = t.table(spark, d, "part")
+    k, s = F.col(_K).cast("string"), F.concat(F.lit("0"), F.col("p_size").cast("string"))
     raw = F.when(F.col(_K) % 2 == 0, F.array(k, F.concat(F.lit("A"), k), s, k)).otherwise(F.array(k, F.concat(F.lit("B"), s), k))
     return p.select("p_partkey", F.array_join(text.order_numbers(raw), ";").alias("numbers"))
 
@@ -495,3 +511,24 @@ def topic_overlap(spark, d):
     a = names.select(F.col("title").alias("a"), F.col("ts").alias("ta"), F.explode("ts").alias("w"))
     b = names.select(F.col("title").alias("b"), F.col("ts").alias("tb"), F.explode("ts").alias("w"))
     return a.join(b, "w").select("a", "b", "ta", "tb").distinct().select("a", "b", text.topic_overlap(F.col("ta"), F.col("tb")).alias("topic"))
+
+
+_OURS = "Фара ліва передня BMW"
+_HIT_SQL = f"""WITH x AS (SELECT p_partkey, {t.pick_sql(t.TITLES, 'p_partkey')} AS name, (['', ' 77-00-308-222', ' 1300115', ' KX 12'])[CAST(p_partkey // 16 % 4 AS INT) + 1] AS code, (['Bosch', ' kemp ', '', NULL])[CAST(p_partkey // 64 % 4 AS INT) + 1] AS theirs, (['BOSCH', 'KEMP', 'Valeo', NULL])[CAST(p_partkey % 4 AS INT) + 1] AS ours FROM part),
+tok AS (SELECT *, list_distinct({_tokens(f"'{_OURS}'")}) AS ta, list_distinct({_tokens("name || code")}) AS tb, list_distinct({_tokens("name")}) AS tn, regexp_replace(upper(name || code), '[^0-9A-ZА-ЯІЇЄЁҐ]', '', 'g') AS flat FROM x),
+s AS (SELECT *, ({_conflict_sql()}) AS conflict, contains(flat, '7700308222') AS clear, contains(flat, '1300115') AS unclear,
+  len(list_intersect(list_transform(list_filter(ta, lambda w: length(w) >= 4), lambda w: substr(w, 1, 4)), list_transform(list_filter(tb, lambda w: length(w) >= 4), lambda w: substr(w, 1, 4)))) > 0 AS topic,
+  lower(trim(coalesce(CASE WHEN lower(trim(ours)) = 'kemp' THEN NULL ELSE ours END, ''))) AS bo, lower(trim(coalesce(theirs, ''))) AS bt,
+  round_even(CAST(0.5 AS DOUBLE) * len(list_intersect(ta, tn)) / len(list_distinct(list_concat(ta, tn))) + CAST(0.5 AS DOUBLE) * len(list_intersect(ta, tn)) / least(len(ta), len(tn)), 3) AS alike FROM tok)
+SELECT p_partkey, CASE WHEN conflict THEN 0 WHEN (bo = '' OR bt = '' OR bo = bt) AND (clear OR (unclear AND topic)) THEN 0.9 WHEN alike >= 0.8 THEN 0.7 WHEN alike >= 0.7 THEN 0.55 ELSE 0 END::DOUBLE AS score FROM s"""
+
+
+@query(_HIT_SQL)
+def match_scores(spark, d):
+    """Scores where brands agree or differ and codes are clear, ambiguous or too short."""
+    k = F.col(_K)
+    at = lambda values, key: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (key % 4 + 1).cast("int"))
+    name = t.pick(t.TITLES, k)
+    said = F.concat(name, at(("", " 77-00-308-222", " 1300115", " KX 12"), F.floor(k / 16)))
+    score = text.match_score(F.array(F.lit("77 00 308 222"), F.lit("1300115"), F.lit("KX12")), F.lit(_OURS), at(("BOSCH", "KEMP", "Valeo", None), k), said, name, at(("Bosch", " kemp ", "", None), F.floor(k / 64)))
+    return t.table(spark, d, "part").select("p_partkey", score.alias("score"))

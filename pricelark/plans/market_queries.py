@@ -106,9 +106,14 @@ _MAIN = """counts AS (SELECT query_id, currency, count(*) AS n, min(source_ord *
 main AS (SELECT query_id, currency AS main FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY currency <> 'UAH', n DESC, seen) AS rn FROM counts) WHERE rn = 1)"""
 
 
-@query(with_("offer", "fine", extra=_on(_MAIN, "(SELECT * FROM fine WHERE query_id % 3 <> 0 OR currency <> 'UAH')")) + f"SELECT {_KEY}, currency FROM fine JOIN main USING (query_id) WHERE currency = main")
+_MIXED = "mixed AS (SELECT * REPLACE (CASE WHEN query_id % 3 = 0 AND currency = 'UAH' THEN CASE WHEN seller % 4 < 2 THEN 'PLN' ELSE 'GBP' END ELSE currency END AS currency) FROM fine)"
+
+
+@query(with_("offer", "fine", extra=_MIXED + ", " + _on(_MAIN, "mixed")) + f"SELECT {_KEY}, currency FROM mixed JOIN main USING (query_id) WHERE currency = main")
 def single_currency(spark, d):
-    o = t.fine_offers(spark, d).where("query_id % 3 <> 0 OR currency <> 'UAH'")
+    """A third of the queries has no hryvnia at all."""
+    other = F.when(F.col("seller") % 4 < 2, "PLN").otherwise("GBP")
+    o = t.fine_offers(spark, d).withColumn("currency", F.when((F.col("query_id") % 3 == 0) & (F.col("currency") == "UAH"), other).otherwise(F.col("currency")))
     return offers.single_currency(o).select("query_id", "source", "offer_ord", "currency")
 
 
