@@ -325,3 +325,76 @@ def weak_by_name(spark, d):
     """Offers that count by their number alone: Ukrainian titles and English part names, but for the words both have."""
     asked = t.table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("name"))
     return audit.weak_by_name(t.offers(spark, d), asked).where("similarity = 0")
+
+
+#: The JSON report itself, by the SQL of its digest.
+SQL["report_json"] = SQL["report_digest"].replace("md5('{\"sources\"", "('{\"sources\"")
+
+
+@query(with_("offer") + "SELECT query_id, source, offer_ord FROM offer WHERE availability = 'Немає в наявності' AND seller % 2 = 1 AND conf >= 70")
+def gate_failures(spark, d):
+    """Offers out of stock that still count where the gate was left out for half of the sellers."""
+    o = t.offers(spark, d)
+    after = offers.availability_gate(o.where("seller % 2 = 0")).unionByName(o.where("seller % 2 = 1"))
+    return audit.demoted(o, after).select("query_id", "source", "offer_ord")
+
+
+@query(
+    """WITH x AS (SELECT p_partkey AS k, p_partkey % 5 AS m FROM part)
+SELECT k, CASE m WHEN 0 THEN 'C' || k || 'ZZ' || ';' || 'M' || k || 'YY' || ';7' || k || '000000' WHEN 1 THEN 'C' || k || 'ZZ' || ';7' || k || '000000' WHEN 2 THEN 'C' || k || 'ZZ' || ';AB' || k || '1212' || ';7' || k || '000000' ELSE 'C' || k || 'ZZ' END AS numbers FROM x"""
+)
+def file_numbers(spark, d):
+    """Part numbers of an export row: its own fields, then those among its search phrases; those with a letter first."""
+    k = F.col("p_partkey").cast("string")
+    m = F.col("p_partkey") % 5
+    seven = F.concat(F.lit("7"), k, F.lit("000000"))
+    code, mpn = F.concat(F.lit(" c"), k, F.lit(" zz")), F.when(m == 0, F.concat(F.lit("M"), k, F.lit("YY"))).otherwise(F.lit("AUDI 100"))
+    first = F.when(m == 1, seven).otherwise(F.lit("--"))
+    phrases = F.when(m == 0, F.concat(F.lit("фара, "), seven, F.lit(", 1.6-1.8"))).when(m == 2, F.concat(seven, F.lit(",ab"), k, F.lit("-1212, "), seven)).otherwise(F.lit("peugeot206, кузов"))
+    return t.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.array_join(text.file_numbers(code, mpn, first, F.lit(None).cast("string"), phrases), ";").alias("numbers"))
+
+
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 < 2 THEN CAST(s_suppkey + 1000 AS VARCHAR) END AS id, CASE WHEN s_suppkey % 4 < 2 THEN 'shop-' || s_suppkey END AS slug, CASE WHEN s_suppkey % 4 = 0 THEN 'ua' END AS lang FROM supplier")
+def store_urls(spark, d):
+    """The shop that a marketplace address names."""
+    from ..functions import urls
+
+    k = F.col("s_suppkey").cast("string")
+    tail = F.concat(F.lit("c"), (F.col("s_suppkey") + 1000).cast("string"), F.lit("-shop-"), k)
+    url = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("https://prom.ua/ua/"), tail, F.lit(".html?x=1"))).when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("https://www.prom.ua/"), tail, F.lit(".html"))).when(F.col("s_suppkey") % 4 == 2, F.concat(F.lit("https://other.ua/"), tail, F.lit(".html"))).otherwise(F.concat(F.lit("https://prom.ua/"), tail))
+    i, slug, lang = urls.store_seller(url)
+    return t.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), i.alias("id"), slug.alias("slug"), lang.alias("lang"))
+
+
+@query("SELECT p_partkey AS k, p_partkey || ',' || (p_size + 1000000) AS groups FROM part")
+def page_groups(spark, d):
+    """Product groups that a page links, each once."""
+    from ..functions import urls
+
+    k, s_ = F.col("p_partkey").cast("string"), (F.col("p_size") + 1_000_000).cast("string")
+    html = F.concat(F.lit('<a href="/c1?product_group='), k, F.lit('">a</a><a href="/c1?page=2&amp;product_group='), s_, F.lit('">b</a><a href="?x=1&product_group='), k, F.lit('">c</a>product_group=5'))
+    return t.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.array_join(urls.group_ids(html), ",").alias("groups"))
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'new' || p_partkey ELSE 'old' END AS a, 'old' AS b, CASE WHEN p_partkey % 2 = 0 THEN 'more' END AS c FROM part")
+def raw_data_merge(spark, d):
+    """A listing's raw data overlaid by what an import carries; empty values leave the stored ones."""
+    from ..operators import merge
+
+    k = F.col("p_partkey")
+    stored = F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("old"))
+    came = F.create_map(F.lit("a"), F.when(k % 3 == 0, F.concat(F.lit("new"), k.cast("string"))).otherwise(F.lit("")), F.lit("b"), F.lit(None).cast("string"), F.lit("c"), F.when(k % 2 == 0, F.lit("more")))
+    merged = merge.merge_maps(stored, came)
+    return t.table(spark, d, "part").select(k.alias("k"), *[merged[c].alias(c) for c in "abc"])
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_partkey % 6 <> 5 THEN p_name END AS name, CASE WHEN p_partkey % 6 <> 5 AND p_partkey % 2 = 0 THEN p_size END AS seller_count, CASE WHEN p_partkey % 6 <> 5 AND p_partkey % 2 = 0 THEN p_size * 100 + 50 END::BIGINT AS min_cents, p_partkey % 6 = 5 AS failed FROM part")
+def product_page_fields(spark, d):
+    """Product pages with and without a buy box, and pages without a product."""
+    k = F.col("p_partkey")
+    box = F.when(k % 2 == 0, F.struct(F.col("p_size").alias("companyCount"), F.concat(F.col("p_size").cast("string"), F.lit(",5 грн")).alias("minPrice"), F.lit("9 999").alias("maxPrice")))
+    card = F.struct(F.struct(F.when(k % 6 != 5, s._product()["product"]).alias("product"), box.alias("buyBox")).alias("result"))
+    html = F.concat(F.lit("<script>window.ApolloCacheState = "), F.to_json(F.struct(F.create_map(F.lit("ProductCardPageQuery(1)"), card).alias("_FAST_CACHE"))), F.lit(";</script>"))
+    got = pages.product_pages(t.table(spark, d, "part").select(k.cast("string").alias("url"), html.alias("html")))
+    keep = F.col("error").isNull()
+    return got.select(F.col("page_url").cast("long").alias("k"), "name", F.when(keep, F.col("seller_count")).alias("seller_count"), F.when(keep, money.cents(F.col("min_price"))).alias("min_cents"), F.col("error").isNotNull().alias("failed"))
