@@ -150,7 +150,8 @@ def edit_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text (its last quarter taken from its successor's start).
 
     Rows follow each other by doc_id, nulls first, those with equal ids by their text; the
-    last is followed by the first.  A single row follows itself.
+    last is followed by the first.  A single row follows itself.  Null texts are empty; an empty
+    table gives an empty table; other columns, whatever their names, are not looked at.
     """
     import hashlib
 

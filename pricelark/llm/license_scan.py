@@ -118,7 +118,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, scope: str = "license") -> tuple[
 
 
 def license_report(docs: DataFrame, templates=TEMPLATES, scope: str = "license") -> DataFrame:
-    """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    Null and empty texts have no words, empty labels and score 0.  Rows that repeat, or share a doc_id, a null one too, are scanned
+    one by one.  Empty tables give empty tables; other columns, whatever their names, are not looked at.
+    """
     files, finds = scan(docs, templates, scope)
     start = F.when(F.col("base"), F.col("start")).cast("long")
     names = lambda c: F.concat_ws(",", F.array_sort(F.collect_set(c)))  # noqa: E731  # as many as there are labels

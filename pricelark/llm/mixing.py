@@ -108,7 +108,11 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, and the words the mix takes of it."""
+    """Per row: doc_id, size, source_size, target, and the words the mix takes of it.
+
+    A null text has size 0, a null source is a source of its own, a null doc_id draws as an empty one.  Rows that
+    repeat draw alike.  An empty table gives an empty table; other columns are not looked at.
+    """
     sizes, rates = plan_mix(docs, **how)
     rates = broadcast_if_small(rates)
     return sizes.join(rates, sizes["source"].eqNullSafe(rates["source"])).select(

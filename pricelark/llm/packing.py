@@ -5,7 +5,7 @@ partitions; each packs its own by best-fit decreasing and computes a lower bound
 number of sequences from dual-feasible functions.  Where count and bound agree the
 partition is certified and keeps its sequences; a partition with a gap keeps only the full
 ones.  The documents of the others, and of each partition's few loose ends, are dealt anew
-over fewer partitions, and packed again, until nothing is gained.
+over fewer partitions, and packed again, in six rounds.
 
 Shape at scale: texts are encoded once, and only lengths and ids of pieces are staged and
 moved (tens of bytes a piece).  A partition has a bounded number of pieces, so no task

@@ -172,7 +172,10 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
 
 
 def keep(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns, whatever their names.
+
+    Null and empty texts are scored as empty ones; rows that repeat are scored one by one; without a model all stay, and an empty table stays empty.
+    """
     if model is None:
         return docs
 
