@@ -24,28 +24,28 @@ def _begin(spark: SparkSession, scope: str) -> str:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.3 go."""
+    """Documents that score below 0.3 go; null and empty texts are scored as empty ones.  Without labels all stay."""
     _begin(spark, _SCOPES[0])
     return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that link at Jaccard 0.8 on word 5-grams, the first by doc_id stays."""
+    """Of texts that link at Jaccard 0.8 on word 5-grams, the first by doc_id (nulls last) stays, and one of rows that repeat; texts without a word stay."""
     return jaccard.keep_first(docs, 5, 0.8, scope=_begin(spark, _SCOPES[1]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand in an earlier document are cut out."""
+    """Passages that stand in an earlier document are cut out; a text left without a word goes, others are untouched."""
     return paragraphs.remove(docs, scope=_begin(spark, _SCOPES[2]))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated to meet their source's target weight."""
+    """Documents are repeated to meet their source's target weight; a null source is a source of its own."""
     return mixing.mix(docs, scope=_begin(spark, _SCOPES[3]))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in sequences of 2048."""
+    """Token pieces with their place in sequences of 2048; a null or empty text is a piece of the end id alone."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), scope=_begin(spark, _SCOPES[4]))
 
 
