@@ -21,9 +21,8 @@ def _median(counts: DataFrame, keys: list[str], price: str, n: Column, name: str
     w, counted = Window.partitionBy(*keys), F.when(F.col(price).isNotNull(), n).otherwise(0)
     upto = F.sum(counted).over(w.orderBy(F.col(price).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = counts.withColumn("_upto", upto).withColumn(f"{name}_total", F.sum(counted).over(w)).withColumn("_own", counted)
-    total = F.col(f"{name}_total")
     holds = lambda at: (F.col("_upto") >= at) & (F.col("_upto") - F.col("_own") < at)
-    return placed.withColumn(f"{name}_low", F.when(holds(F.expr(f"({name}_total + 1) DIV 2")), F.col(price))).withColumn(f"{name}_high", F.when(holds(F.expr(f"{name}_total DIV 2") + 1), F.col(price))).withColumn(f"{name}_total", total).drop("_upto", "_own")
+    return placed.withColumn(f"{name}_low", F.when(holds(F.expr(f"({name}_total + 1) DIV 2")), F.col(price))).withColumn(f"{name}_high", F.when(holds(F.expr(f"{name}_total DIV 2") + 1), F.col(price))).drop("_upto", "_own")
 
 
 def _summed(counts: DataFrame, keys: list[str]) -> DataFrame:
