@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard, tokens
 from .tokens import slices
 
 #: Byte classes, one column each: upper, lower, digit, white space, sentence marks, brackets and quotes, other symbols, beyond ASCII.
@@ -120,6 +121,12 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
+def _make_room() -> None:
+    """Drop what operators before this one keep in the same Python worker: token pieces and word hashes, some hundred MB."""
+    tokens._encoders.clear()
+    jaccard._words.clear()
+
+
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(id, good): at most ``most`` trusted positives and as many documents without a label, the first by hash.  No held-out rows."""
     order = F.xxhash64("id"), F.col("id")
@@ -139,6 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 10_000) -> Model | Non
     chosen = F.broadcast(_sample(docs, labels, most))  # 2 * most rows of an id and a flag
 
     def run(batches):
+        _make_room()
         for b in (s for x in batches for s in slices(x)):
             rows = [features(t).tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("good"), pa.array(rows, pa.list_(pa.float64()))], names=["id", "good", "x"])
@@ -162,6 +170,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
     """
 
     def run(batches):
+        _make_room()
         for b in (s for x in batches for s in slices(x)):
             x = np.array([features(t) for t in b.column("text").to_pylist()]).reshape(-1, FEATURES)
             s = np.full(len(x), 0.5) if model is None else model.score(x)
@@ -180,6 +189,7 @@ def keep(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFr
         return docs
 
     def run(batches):
+        _make_room()
         for b in (s for x in batches for s in slices(x)):
             x = np.array([features(t) for t in b.column("text").to_pylist()]).reshape(-1, FEATURES)
             yield b.filter(pa.array(model.score(x) >= threshold))
