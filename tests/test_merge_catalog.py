@@ -6,6 +6,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from pricelark import catalogue
 from pricelark.operators import catalog, jobs, merge
 from pricelark.operators.catalog import CatalogFilter
 
@@ -81,3 +82,13 @@ def test_jobs(spark):
     assert jobs.quota(checks).where("NOT allowed").count() == 2
     runs = spark.createDataFrame([(1, 1, "queued", None, 5), (1, 2, "queued", None, 3), (2, 3, "running", "t", 1), (2, 4, "queued", None, 2)], "workspace_id int, run_id int, status string, task_id string, created_at int")
     assert [(r["workspace_id"], r["run_id"]) for r in jobs.queue_head(runs).collect()] == [(1, 2)]
+
+
+def test_siblings_of_all_listings(spark):
+    """Every listing is asked for, and each gets its siblings' order by price without itself."""
+    rows = [(r["of_id"], r["id"], r["place"]) for r in catalogue.queries()["siblings"](spark, "/root/testdata/sf0.001").collect()]
+    assert {(b, a) for a, b, _ in rows} == {(a, b) for a, b, _ in rows}
+    assert any(a % 20 for a, _, _ in rows)
+    for of in {a for a, _, _ in rows}:
+        places = sorted(p for a, _, p in rows if a == of)
+        assert places == list(range(1, len(places) + 1))
