@@ -39,30 +39,44 @@ def owner_identity(workspaces: DataFrame, exclusions: DataFrame, own=vocab.OWN_S
     return joined.select("workspace", merged("_ids", 0).alias("seller_ids"), merged("_slugs", 1).alias("seller_slugs"))
 
 
+def _own_seller(queries: DataFrame) -> tuple[Column, Column]:
+    """(ids, slugs) of the seller of a query's own listing, as far as ``queries`` has them."""
+    own = lambda *names: F.array_compact(F.array(*[text.present(F.col(c).cast("string")) for c in names if c in queries.columns]).cast("array<string>"))
+    return own("seller_id", "owner_seller_id"), F.transform(own("seller_slug", "owner_seller_slug"), text.fold)
+
+
 def query_owners(queries: DataFrame, owners: DataFrame) -> DataFrame:
     """(query_id, seller_ids, seller_slugs): the workspace's own shops (`owner_identity`) united with the listing's own seller.
 
     ``queries`` has query_id, workspace and, as far as they are known, seller_id and seller_slug (of the listing's
-    raw data), owner_seller_id and owner_seller_slug (of its export host).
+    raw data), owner_seller_id and owner_seller_slug (of its export host).  A workspace's shops are sorted once, not for each
+    query; queries are dealt out before their rows grow by them.
     """
     none = F.array().cast("array<string>")
-    own = lambda *names: F.array_compact(F.array(*[text.present(F.col(c).cast("string")) for c in names if c in queries.columns]).cast("array<string>"))
-    ids = own("seller_id", "owner_seller_id")
-    slugs = F.transform(own("seller_slug", "owner_seller_slug"), text.fold)
-    both = lambda name, more: F.array_sort(F.array_distinct(F.concat(F.coalesce(F.col(name), none), more))).alias(name)
-    return queries.join(owners, "workspace", "left").select("query_id", both("seller_ids", ids), both("seller_slugs", slugs))
+    ids, slugs = _own_seller(queries)
+    asked = queries.select("query_id", "workspace", F.array_distinct(ids).alias("_ids"), F.array_distinct(slugs).alias("_slugs")).repartition("query_id")
+    listed = owners.select("workspace", *[F.sort_array(F.array_distinct(F.array_compact(F.coalesce(c, none)))).alias(c) for c in ("seller_ids", "seller_slugs")])
+
+    def both(name, more):
+        had = F.coalesce(F.col(name), none)
+        new = F.filter(more, lambda x: ~F.array_contains(had, x))
+        return F.when(F.size(new) == 0, had).otherwise(F.sort_array(F.concat(had, new))).alias(name)
+
+    return asked.join(listed, "workspace", "left").select("query_id", both("seller_ids", "_ids"), both("seller_slugs", "_slugs"))
 
 
 def drop_own_products(offers: DataFrame, owners: DataFrame, key: str = "workspace") -> DataFrame:
     """Without a workspace's own products: by the seller's id, the seller's slug, the id in the url's host, or the listing itself.
 
     ``offers`` has ``key``, seller_id, seller_slug, url and source_url (the listing that is asked for); ``owners`` as `owner_identity`
-    or `query_owners` (with key query_id) gives it.  Titles are not looked at, since they change.
+    or `query_owners` (with key query_id) gives it.  Titles are not looked at, since they change.  Shops are looked up as rows, so
+    that the work doesn't grow with the length of a workspace's list.
     """
-    has = lambda name, value: F.coalesce(F.array_contains(name, value), F.lit(False))
-    own = has("seller_ids", text.present(F.col("seller_id").cast("string"))) | has("seller_slugs", text.fold(text.present(F.col("seller_slug")))) | has("seller_ids", urls.host_seller_id(F.col("url")))
-    joined = offers.join(owners, key, "left")
-    return joined.where(~(own | urls.same_product(F.col("source_url"), F.col("url")))).select(*offers.columns)
+    said = {"_id": text.present(F.col("seller_id").cast("string")), "_slug": text.fold(text.present(F.col("seller_slug"))), "_host": urls.host_seller_id(F.col("url"))}
+    kept = offers.where(~urls.same_product(F.col("source_url"), F.col("url"))).withColumns(said)
+    for at, name in (("_id", "seller_ids"), ("_slug", "seller_slugs"), ("_host", "seller_ids")):
+        kept = kept.join(owners.select(key, F.explode(name).alias(at)).distinct(), [key, at], "left_anti")
+    return kept.select(*offers.columns)
 
 
 def from_products(products: DataFrame, queries: DataFrame, owners: DataFrame) -> DataFrame:
@@ -72,13 +86,18 @@ def from_products(products: DataFrame, queries: DataFrame, owners: DataFrame) ->
     give it; else price, as text), currency, url, seller_id, seller_slug, seller_name, presence, is_available, image.  ``queries``: query_id, workspace, oem_numbers, brand, name,
     source_url, and the listing's own seller as `query_owners` reads it.  Products that match nothing, or without price or url, go.  Junk goes before the dedupe, or a seller's cheapest would be junk.
     """
-    asked = queries.select("query_id", "source_url", F.col("oem_numbers").alias("_numbers"), F.col("brand").alias("_brand"), F.col("name").alias("_name"))
-    joined = products.join(asked, "query_id")
+    ids, slugs = _own_seller(queries)
+    asked = queries.select("query_id", F.col("workspace").alias("_workspace"), ids.alias("_ids"), slugs.alias("_slugs"), "source_url", F.col("oem_numbers").alias("_numbers"), F.col("brand").alias("_brand"), F.col("name").alias("_name"))
+    joined = products.join(asked.hint("merge"), "query_id")  # as many rows as queries, however small they look
     said = F.concat_ws(" ", F.nullif("name", F.lit("")), F.nullif("sku", F.lit("")))
     score = text.match_score(F.col("_numbers"), F.col("_name"), F.col("_brand"), said, F.col("name"), F.col("brand"))
     price = F.col("effective_price") if "effective_price" in products.columns else money.parse_price(F.col("price"))
     scored = joined.withColumn("confidence", score).withColumn("_price", price).where((F.col("confidence") > 0) & F.col("_price").isNotNull() & (F.col("url") != ""))
-    fine = drop_own_products(scored, query_owners(queries, owners), "query_id").where(~text.is_junk(F.col("name"), F.col("presence")))
+    # A query's own sellers are in its row, its workspace's are looked up: no list is made for each query.
+    has = lambda name, value: F.coalesce(F.array_contains(name, value), F.lit(False))
+    own = has("_ids", text.present(F.col("seller_id").cast("string"))) | has("_slugs", text.fold(text.present(F.col("seller_slug")))) | has("_ids", urls.host_seller_id(F.col("url")))
+    foreign = scored.where(~own & ~text.is_junk(F.col("name"), F.col("presence")))
+    fine = drop_own_products(foreign, owners.withColumnRenamed("workspace", "_workspace"), "_workspace")
     none = F.lit(None).cast("string")
     made = fine.select(
         "query_id", F.lit("prom").alias("source"), F.lit(0).alias("source_ord"), F.col("place").alias("offer_ord"), F.coalesce(F.nullif("name", F.lit("")), F.nullif("sku", F.lit("")), "term").alias("title"),

@@ -146,7 +146,7 @@ def _found(spark, d):
     listed = rows.groupBy("series", F.floor(F.col("place") / s._ON_PAGE).cast("int").alias("page")).agg(F.array_sort(F.collect_list(s._product())).alias("products"))  # 5 products
     html = listed.select("series", "page", F.replace(s._page_html(F.col("products"), F.lit(None).cast("int")), F.lit("CompanyListingQuery"), F.lit("SearchListingQuery")).alias("html"))
     asked = rows.select(F.col("p_partkey").alias("query_id"), "series", F.floor(F.col("place") / s._ON_PAGE).cast("int").alias("own"), F.col("place").alias("p"), F.explode(F.array(F.lit(0), F.lit(1))).alias("page_ord"))
-    got = asked.join(html, (asked["series"] == html["series"]) & (html["page"] == asked["own"] + asked["page_ord"])).select("query_id", F.lit("term").alias("term"), F.lit(0).alias("term_ord"), F.col("page_ord").alias("page"), F.when((F.col("p") == 8) & (F.col("page_ord") == 1), F.lit("<html>")).otherwise(F.col("html")).alias("html"))
+    got = asked.join(html.hint("merge"), (asked["series"] == html["series"]) & (html["page"] == asked["own"] + asked["page_ord"])).select("query_id", F.lit("term").alias("term"), F.lit(0).alias("term_ord"), F.col("page_ord").alias("page"), F.when((F.col("p") == 8) & (F.col("page_ord") == 1), F.lit("<html>")).otherwise(F.col("html")).alias("html"))
     return got
 
 

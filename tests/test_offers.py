@@ -177,3 +177,33 @@ def test_levels_are_the_two_statistics(spark):
     columns = ["offers_total", "strong_total", "min_price", "median_price", "max_price", "recommended_price"]
     assert sorted(map(str, both.where("NOT of_source").select("query_id", *columns).collect())) == sorted(map(str, market.stats(o, "query_id").select("query_id", *columns).collect()))
     assert sorted(map(str, both.where("of_source").select("query_id", "source", *columns).collect())) == sorted(map(str, market.stats(o, "query_id", "source").select("query_id", "source", *columns).collect()))
+
+
+def test_own_shops_are_looked_up_as_rows(spark):
+    """No list of a workspace's shops is searched for each offer, or made for each query."""
+    cols = "query_id long, workspace long, seller_id string, seller_slug string, url string, source_url string"
+    rows = [(1, 0, "7", None, "https://a.ua/p1-x", ""), (2, 0, " 8 ", " SHOP ", "https://a.ua/p2-x", ""), (3, 0, None, None, "https://s-cs7.prom.ua/p3-x", ""), (4, 0, "8", None, "https://a.ua/p4-x", "https://b.ua/p4-y"), (5, 0, "8", None, None, None), (6, 9, "7", None, "https://a.ua/p6-x", ""), (7, None, "7", None, "https://a.ua/p7-x", "")]
+    owners = spark.createDataFrame([(0, ["4", "7"], ["shop"]), (1, ["8"], [])], "workspace long, seller_ids array<string>, seller_slugs array<string>")
+    got = offers.drop_own_products(spark.createDataFrame(rows, cols), owners)
+    assert got.columns == [c.split()[0] for c in cols.split(", ")]
+    assert sorted(r["query_id"] for r in got.collect()) == [5, 6, 7]
+    assert "array_contains" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_owners_of_queries(spark):
+    q = spark.createDataFrame([(1, 0, " 5", "Z", "4", None), (2, 0, "4", None, None, "a"), (3, 9, "b", None, "a", None), (4, None, None, None, None, None)], "query_id long, workspace long, seller_id string, seller_slug string, owner_seller_id string, owner_seller_slug string")
+    owners = spark.createDataFrame([(0, ["9", "4"], ["a", "c"])], "workspace long, seller_ids array<string>, seller_slugs array<string>")
+    got = offers.query_owners(q, owners)
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == {1: (["4", "5", "9"], ["a", "c", "z"]), 2: (["4", "9"], ["a", "c"]), 3: (["a", "b"], []), 4: ([], [])}
+    assert "array_sort(" not in got._jdf.queryExecution().optimizedPlan().toString(), "a sort by a compared lambda for each query"
+
+
+@pytest.mark.parametrize("name", ["code_by_rarest_gram", "code_inside_title", "market_source"])
+def test_nothing_that_grows_is_broadcast(spark, name):
+    """Tables made of few columns look small; as many rows as queries, texts or grams don't go through the driver."""
+    from pricelark import catalogue
+
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    kept = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "[workspace#" not in line and "LeftAnti" not in line]  # shops of a workspace may be
+    assert not kept
