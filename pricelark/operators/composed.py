@@ -33,16 +33,18 @@ def feed_rows(found: DataFrame, first_pages: DataFrame, continuations: DataFrame
     ``first_pages``: url (``part_uri``), html; ``continuations``: token, html, error.  Rows
     have found's columns, ``page``, and those of `pages.feed_offers`.
     """
-    start = found.join(pages.feed_pages(first_pages).where("error IS NULL").select(F.col("url").alias("part_uri"), "token"), "part_uri")
-    links = pages.feed_pages(continuations.select(F.col("token").alias("url"), "html")).select(F.col("url").alias("token"), F.col("token").alias("next"), F.col("error").alias("_unread"))
-    failed = continuations.select("token", "error").where("error IS NOT NULL").select("token").distinct()
-    fine = links.join(failed, "token", "left_anti").withColumnRenamed("_unread", "error")
+    start = found.join(pages.feed_pages(first_pages).where("error IS NULL").select(F.col("url").alias("part_uri"), "token").hint("merge"), "part_uri")
+    read = pages.feed_pages(continuations.select(F.col("token").alias("url"), "html", F.col("error").alias("_failed")))
+    # A token that failed once ends the chain, whatever other rows of it show.
+    good = F.col("error").isNull()
+    told = read.groupBy("url").agg(F.bool_or(F.col("_failed").isNotNull()).alias("_failed"), F.bool_or(good).alias("_read"), F.min(F.when(good, crawl.token_key(F.col("token")))).alias("next"))
+    fine = told.where("_read AND NOT _failed").select(F.col("url").alias("token"), "next", F.lit(None).cast("string").alias("error"))
     further = crawl.follow(start, fine, most)
-    rows = lambda df, url: pages.feed_offers(df).withColumnRenamed("part_uri", "own_uri").withColumnRenamed("url", url)
-    first = start.withColumn("page", F.lit(0)).join(rows(first_pages, "part_uri"), "part_uri")
+    first = start.withColumn("page", F.lit(0)).join(pages.feed_lists(first_pages).select(F.col("url").alias("part_uri"), "rows").hint("merge"), "part_uri")
     later_pages = continuations.where("error IS NULL").select(crawl.token_key(F.col("token")).alias("url"), "html").where("url IS NOT NULL")
-    later = further.join(rows(later_pages, "at"), "at").drop("at")
-    return first.unionByName(later).drop("token")
+    later = further.join(pages.feed_lists(later_pages).select(F.col("url").alias("at"), "rows").hint("merge"), "at").drop("at")
+    whole = first.unionByName(later).drop("token")
+    return pages.offers_of(whole, "own_uri")
 
 
 def feed_source(queries: DataFrame, suggested: DataFrame, first_pages: DataFrame, continuations: DataFrame, most_pages: int = crawl.FEED_PAGES) -> DataFrame:
@@ -55,7 +57,7 @@ def feed_source(queries: DataFrame, suggested: DataFrame, first_pages: DataFrame
     """
     asked = queries.select("query_id", "brand", "name", "oem_numbers", F.coalesce(F.col("manual"), F.lit(False)).alias("manual"))
     ranked = suggested.where(F.col("rank") < FEED_NUMBERS).select(F.struct("query_id", "rank").alias("query_id"), "payload")
-    each = asked.join(suggested.where(F.col("rank") < FEED_NUMBERS).select("query_id", "rank").distinct(), "query_id").where(F.col("rank") < F.size("oem_numbers"))
+    each = asked.join(suggested.where(F.col("rank") < FEED_NUMBERS).select("query_id", "rank").distinct().hint("merge"), "query_id").where(F.col("rank") < F.size("oem_numbers"))
     keyed = each.select(F.struct("query_id", "rank").alias("query_id"), "brand", "name", "manual")
     listed = pages.suggestions(ranked)
     picked = pages.pick_suggestion(listed, keyed.where("NOT manual")).unionByName(pages.pick_suggestion(listed, keyed.where("manual"), fallback=True))
@@ -65,7 +67,7 @@ def feed_source(queries: DataFrame, suggested: DataFrame, first_pages: DataFrame
     fine = rows.withColumn("_line", line).where(~F.col("used") & ~text.is_junk(F.col("_line"), F.col("availability")))
     code = text.norm_code(F.col("code"))
     cheapest = F.row_number().over(Window.partitionBy("query_id", "rank", F.coalesce("maker", F.lit("")), code).orderBy("price", "page", "offer_ord"))
-    unique = fine.withColumn("_rn", cheapest).where("_rn = 1").drop("_rn").join(asked.select("query_id", F.transform("oem_numbers", text.norm_code).alias("_exact")), "query_id")
+    unique = fine.withColumn("_rn", cheapest).where("_rn = 1").drop("_rn").join(asked.select("query_id", F.transform("oem_numbers", text.norm_code).alias("_exact")).hint("merge"), "query_id")
     exact = F.array_contains("_exact", code)
     made = unique.withColumn("confidence", F.when(exact, F.lit(FEED_HIT)).otherwise(F.lit(vocab.ANALOG))).withColumn("is_analog", ~exact)
     top = F.row_number().over(Window.partitionBy("query_id", "rank").orderBy(F.col("confidence").desc(), "price", "page", "offer_ord"))
@@ -82,7 +84,7 @@ def feed_status(queries: DataFrame, offers: DataFrame) -> DataFrame:
     """(query_id, source, status) of the feed: skipped without a part number, empty without offers, else ok."""
     some = offers.select("query_id").distinct().withColumn("_some", F.lit(True))
     status = F.when(F.coalesce(F.size("oem_numbers"), F.lit(0)) <= 0, F.lit("skipped")).when(F.col("_some"), F.lit("ok")).otherwise(F.lit("empty"))
-    return queries.join(some, "query_id", "left").select("query_id", F.lit("avtopro").alias("source"), status.alias("status"))
+    return queries.join(some.hint("merge"), "query_id", "left").select("query_id", F.lit("avtopro").alias("source"), status.alias("status"))
 
 
 def market_source(queries: DataFrame, found: DataFrame, owners: DataFrame) -> DataFrame:

@@ -80,20 +80,23 @@ def follow(starts: DataFrame, continuations: DataFrame, most: int = FEED_PAGES)
 
     ``starts`` has ``token``, that of its first page (page 0).  ``continuations``: token, next (its page's own
     token), error.  A link that is missing or has an error ends the chain, and what came before stays.
-    Pointers are doubled, so ``most`` pages take log2(most) joins, and a chain that leads back to itself ends at ``most``.
+    Feeds move on page by page, each in one row, and every step reads the same shuffled links, so the plan
+    grows with ``most`` and pages are parsed once; a chain that leads back to itself ends at ``most``.
     """
-    fine = continuations.where("error IS NULL").groupBy(token_key(F.col("token")).alias("_from")).agg(F.min(token_key(F.col("next"))).alias("_to"))
-    known = fine.where("_from IS NOT NULL")
-    jump = known.join(known.select(F.col("_from").alias("_to")), "_to", "left_semi").select("_from", "_to")  # to pages that are there
-    chain = starts.withColumn("_from", token_key(F.col("token"))).join(known.select("_from"), "_from").withColumn("page", F.lit(1))
-    reach = 1
-    while reach < most - 1:
-        further = chain.join(jump, "_from").withColumn("page", F.col("page") + reach).drop("_from").withColumnRenamed("_to", "_from")
-        chain = chain.unionByName(further).where(F.col("page") < most)
-        reach *= 2
-        if reach < most - 1:
-            jump = jump.join(jump.select(F.col("_from").alias("_to"), F.col("_to").alias("_next")), "_to").select("_from", F.col("_next").alias("_to"))
-    return chain.where(F.col("page") < most).withColumnRenamed("_from", "at").select(*starts.columns, "page", "at")
+    fine = continuations.where("error IS NULL").groupBy(token_key(F.col("token")).alias("_next")).agg(F.min(token_key(F.col("next"))).alias("_to"))
+    # Both columns are needed at each step, the last one too, or its links would be another exchange.
+    known = fine.where("_next IS NOT NULL").select("_next", F.struct("_to").alias("_page")).hint("merge")
+    chain = starts.withColumn("_next", token_key(F.col("token"))).withColumn("_ats", F.array().cast("array<string>"))
+    if most < 2:
+        chain = chain.where(F.lit(False))
+    for page in range(1, most):
+        met = chain.join(known, "_next", "left" if page > 1 else "inner")
+        ats = F.when(F.col("_page").isNull(), F.col("_ats")).otherwise(F.concat("_ats", F.array("_next")))
+        # What ended keeps a key that is no JSON, each its own, so that ends don't gather in one task.
+        after = F.coalesce(F.col("_page")["_to"], F.concat(F.lit("\0"), "_next"))
+        chain = met.select(*starts.columns, after.alias("_next"), ats.alias("_ats"))
+    each = chain.select(*starts.columns, F.posexplode("_ats").alias("page", "at"))
+    return each.withColumn("page", F.col("page") + 1)
 
 
 def interleaved(plan: DataFrame) -> DataFrame:

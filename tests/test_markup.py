@@ -1,5 +1,7 @@
 """Tags and feed rows of pages, also of broken ones."""
 
+import random
+
 import pytest
 
 from pricelark.sources import markup
@@ -55,3 +57,19 @@ def test_pages_that_are_no_feed():
     assert markup.feed(None) == markup.feed("<html>robot check</html>") == ([], None, False)
     assert markup.feed('<div class="ap-feed">nothing found</div>') == ([], None, True)
     assert markup.feed(_row()[:-5])[0] == []  # a row that isn't closed isn't whole
+
+
+def test_plain_pages_read_as_parsed_ones(monkeypatch):
+    """Pages of plain markup are read without the parser, rows and token alike; the parser reads all others."""
+    parts = [
+        f'<tr {markup.ROW_MARK}="true" data-wh-id="3">', f'<tr {markup.ROW_MARK}="true" data-bu="1">', "</tr>", '<td data-type="maker" title="a &amp; b">', "</td>", "<b>", "Bosch", "&lt;x&gt; &amp", "a&notit b", "б/ у", "были  в\nупотреблении",
+        '<a data-type="code" title="q" href="/p/">', '<span data-type="currency">', "</span>", " грн ", '<i x="были &#1074; употреблении" y="1" x="2">', '<a data-token="{&quot;n&quot;: 1}">', '<a data-token="">', '<b title=" data-token=">',
+        '<div class="ap-feed">', '<span class="ap-feed__table__descr">', '<a data-token="x" data-token="y">', "<!-- <tr> -->", "<br/>", "<script>", "<TD>", "<td title=x>", "<", ">", '<a href="x>y">',
+    ]
+    draw = random.Random(3)
+    made = ["".join(draw.choices(parts[:22] if n % 3 else parts, k=draw.randint(0, 25))) for n in range(3000)]
+    got = [(markup.feed(h), markup.feed_token(h)) for h in made]
+    assert 1000 < sum(map(markup._is_plain, made)) < 2500
+    monkeypatch.setattr(markup, "_is_plain", lambda html: False)
+    for h, (whole, token) in zip(made, got):
+        assert (whole, token) == (markup.feed(h), markup.feed(h)[1:]), h

@@ -174,3 +174,13 @@ def test_feeds_are_followed_by_pointers(spark):
         got = crawl.follow(start, more, most).collect()
         assert {q: max(r["page"] for r in got if r["q"] == q) for q in {r["q"] for r in got}} == want
         assert len(got) == sum(want.values())  # every page once, in a row
+
+
+def test_feeds_read_each_table_of_links_once(spark):
+    """Every step joins the same links: pages aren't parsed again for each."""
+    start = spark.createDataFrame([("x", "1")], "q string, token string")
+    more = spark.createDataFrame([(str(i), str(i + 1), None) for i in range(1, 9)], "token string, next string, error string")
+    got = crawl.follow(start, more.mapInArrow(lambda batches: batches, more.schema), 4)
+    assert sorted(r["page"] for r in got.collect()) == [1, 2, 3]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1 and plan.count("ReusedExchange") == 2
