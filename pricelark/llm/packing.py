@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import jaccard, tokens
 from .common import partitions, stage
 
 MOST = 20_000  # pieces in a partition
 FEW = 250  # and at least so many, where there are fewer
+KEPT, TEXTS = 300_000, 1024  # token pieces that a worker keeps between texts, and texts that it encodes at once
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -87,8 +88,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: in
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
     def cut(batches):
-        enc = tokens.encoder(tokenizer)
-        for batch in (s for b in batches for s in tokens.slices(b, 4096)):
+        jaccard._words.clear()  # word hashes of operators before this one, in the same Python worker
+        enc = tokens.encoder(tokenizer, KEPT)
+        for batch in (s for b in batches for s in tokens.slices(b, TEXTS)):
             every, counts = enc.encode_with_end(batch.column("text"), end_id)
             every, out, first = every.astype("<u4"), [], 0
             for row, doc, n in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), counts.tolist()):

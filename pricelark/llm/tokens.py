@@ -24,7 +24,8 @@ class Encoder:
     #: Marks that may follow a word of letters; both are then encoded apart.
     MARKS = ",.!?;:*$%&#"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -107,7 +108,7 @@ class Encoder:
         Pieces begin with the space or line feed before them, bar a text's first.  Arrow
         cuts and numbers them; each distinct piece is looked up once.
         """
-        if len(self.pieces) > self.MOST:
+        if len(self.pieces) > self.most:
             self.pieces.clear()
         texts = texts.cast(pa.string()).fill_null("")
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
@@ -159,9 +160,10 @@ class Encoder:
         return ids, each
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = Encoder.MOST) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].most = most
     return _encoders[path]
 
 

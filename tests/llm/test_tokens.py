@@ -177,3 +177,27 @@ def test_place(spark):
     ends = [3, 7, 8, 20, 21, 40, 90]
     got = spark.range(100).select("id", fingerprint._place(F.col("id"), ends).alias("p")).collect()
     assert all(r["p"] == sum(e < r["id"] for e in ends) for r in got)
+
+
+def test_packing_holds_few_pieces(spark, monkeypatch):
+    """A worker drops other operators' word hashes, encodes few texts at once and keeps a bounded number of pieces; the ids stay."""
+    from pricelark.llm import jaccard
+
+    class Rows:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, cut, _: cut
+
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = [" ".join(f"w{i * 7 + k}" for k in range(7)) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(range(60)), pa.array(texts)], names=["row", "doc_id", "text"])
+    monkeypatch.setattr(packing, "KEPT", 50)
+    monkeypatch.setattr(packing, "TEXTS", 4)
+    monkeypatch.setattr(tokens, "_encoders", {})
+    jaccard._words[b"left over"]
+    cut = packing.token_pieces(Rows(), path, keep_ids=True)
+    found, most = [], 0
+    for out in cut(iter([batch])):
+        found += out.column("ids").to_pylist()
+        most = max(most, len(tokens._encoders[path].pieces))
+    assert not jaccard._words and most <= 50 + 4 * 7
+    assert found == [np.array([*ids, 0], "<u4").tobytes() for ids in direct(path, texts)]
