@@ -93,18 +93,28 @@ def legacy_stats(offers: DataFrame, *keys: str) -> DataFrame:
 def report(offers: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
     """One row for each query: its statistics and its sources with their offers, as JSON text.
 
-    Sources stand in their order, offers by price, then position.  Amounts are strings.
+    Sources stand in their order, offers by price, then position.  Amounts are strings.  Offers move once, by query; since a
+    query's row holds them all anyway, its statistics are read off the sorted lists.
     """
-    order = F.struct("price", "offer_ord", *[c for c in ("title", "currency", "seller", "url", "confidence", "is_analog", "availability") if c in offers.columns])
-    both = levels(offers)
-    per = both.where("of_source").drop("of_source")
-    listed = offers.groupBy("query_id", "source").agg(F.min("source_ord").alias("source_ord"), F.sort_array(F.collect_list(order)).alias("offers"))
-    shown = F.transform("offers", lambda o: F.struct(o["price"].cast("string").alias("price"), *[o[c].alias(c) for c in ("title", "currency", "seller", "url", "confidence", "is_analog", "availability") if c in offers.columns]))
-    joined = per.alias("p").join(listed.withColumnRenamed("query_id", "_q").withColumnRenamed("source", "_s"), F.col("query_id").eqNullSafe(F.col("_q")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_q", "_s")
-    source = F.struct("source_ord", "source", F.col("offers_total"), F.col("min_price").cast("string").alias("min_price"), F.col("median_price").cast("string").alias("median_price"), F.col("max_price").cast("string").alias("max_price"), shown.alias("offers"))
-    sources = joined.groupBy("query_id").agg(F.sort_array(F.collect_list(source)).alias("sources"))
-    out = both.where("NOT of_source").drop("of_source", "source").join(sources, "query_id")
-    return out.select("*", F.to_json(F.struct("sources")).alias("report")).drop("sources")
+    facts = [c for c in ("title", "currency", "seller", "url", "confidence", "is_analog", "availability") if c in offers.columns]
+    order = F.struct("price", "offer_ord", *facts, F.coalesce(strong(), F.lit(False)).alias("_strong"))
+    keyed = offers.where(F.col("query_id").isNotNull()).select("query_id", "source", "source_ord", "price", "offer_ord", *dict.fromkeys((*facts, "confidence"))).repartition("query_id")
+    per = keyed.groupBy("query_id", "source").agg(F.min("source_ord").alias("source_ord"), F.sort_array(F.collect_list(order)).alias("offers"))
+    per = per.withColumn("_prices", F.transform(F.filter("offers", lambda o: o["_strong"] & o["price"].isNotNull()), lambda o: o["price"]))
+    at = lambda place: F.get("_prices", place.cast("int"))
+    n = F.size("_prices")
+    low, median, high = at(F.lit(0)), money.middle(at(F.floor((n + 1) / 2) - 1), at(F.floor(n / 2))), at(n - 1)
+    shown = F.transform("offers", lambda o: F.struct(o["price"].cast("string").alias("price"), *[o[c].alias(c) for c in facts]))
+    total = F.size("offers").cast("long")
+    source = F.struct("source_ord", "source", total.alias("offers_total"), low.cast("string").alias("min_price"), median.cast("string").alias("median_price"), high.cast("string").alias("max_price"), shown.alias("offers"))
+    out = per.groupBy("query_id").agg(
+        F.sum(total).alias("offers_total"), F.count("source").alias("sources_total"), F.sum(n.cast("long")).alias("strong_total"), F.array_sort(F.flatten(F.collect_list("_prices"))).alias("_prices"), F.sort_array(F.collect_list(source)).alias("sources"),
+    )
+    out = out.select("query_id", "offers_total", "sources_total", "strong_total", low.alias("min_price"), median.alias("median_price"), high.alias("max_price"), F.to_json(F.struct("sources")).alias("report"))
+    return out.select(
+        "query_id", "offers_total", "sources_total", "strong_total", "min_price", "median_price", "max_price",
+        (F.col("strong_total") < vocab.MIN_SAMPLE).alias("thin_market"), money.recommended(F.col("min_price"), F.col("strong_total")).alias("recommended_price"), "report",
+    )
 
 
 # --- a price's place in its market --------------------------------------------------------

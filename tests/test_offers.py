@@ -1,5 +1,6 @@
 """The offer pipeline on small cases."""
 
+import json
 from decimal import Decimal as D
 
 import pytest
@@ -179,6 +180,22 @@ def test_levels_are_the_two_statistics(spark):
     assert sorted(map(str, both.where("of_source").select("query_id", "source", *columns).collect())) == sorted(map(str, market.stats(o, "query_id", "source").select("query_id", "source", *columns).collect()))
 
 
+def test_report_moves_offers_once(spark):
+    """A report's statistics are those of `stats`, null sources and prices included, and nothing but the offers is shuffled."""
+    odd = make(spark, {"price": 1}, {"price": 5, "source": None, "confidence": None}, {"price": 7, "query_id": 2, "confidence": 0.5}).withColumn("price", F.when(F.col("price") != 1, F.col("price")))
+    o = t.fine_offers(spark, "/root/testdata/sf0.001").withColumn("seller", F.col("seller").cast("string")).select(*odd.columns).unionByName(odd)
+    got = market.report(o)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    columns = market.stats(o, "query_id").columns
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, market.stats(o, "query_id").collect()))
+    of_source = {(r["query_id"], r["source"]): r for r in market.stats(o, "query_id", "source").collect()}
+    for r in got.collect():
+        for s in json.loads(r["report"])["sources"]:
+            one = of_source[r["query_id"], s.get("source")]
+            assert (s["offers_total"], len(s["offers"])) == (one["offers_total"],) * 2
+            assert [s.get(f"{c}_price") for c in ("min", "median", "max")] == [None if one[f"{c}_price"] is None else str(one[f"{c}_price"]) for c in ("min", "median", "max")]
+
+
 def test_own_shops_are_looked_up_as_rows(spark):
     """No list of a workspace's shops is searched for each offer, or made for each query."""
     cols = "query_id long, workspace long, seller_id string, seller_slug string, url string, source_url string"
