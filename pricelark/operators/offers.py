@@ -245,10 +245,13 @@ def photo_pick(offers: DataFrame) -> DataFrame:
 
 
 def photo_apply(offers: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``used`` removes a suspicious offer and demotes another; ``unsure`` demotes a suspicious one.  ``verdicts``: url, verdict."""
-    marked = _photo_marked(offers)
-    asked = marked.where("photo IS NOT NULL").select("query_id", "photo").distinct().join(verdicts.select(F.col("url").alias("photo"), "verdict"), "photo")
-    said = _said_by(marked, asked, "photo")
+    """``used`` removes a suspicious offer and demotes another; ``unsure`` demotes a suspicious one.  ``verdicts``: url, verdict.
+
+    Offers are marked once and meet the verdicts by url; those whose photo isn't looked at are dealt out by place, so that nothing gathers.
+    """
+    said = verdicts.where(F.col("url").isNotNull()).groupBy(F.col("url").alias("_url")).agg(F.max("verdict").alias("_v"))
+    marked = _photo_marked(offers).withColumn("_key", F.coalesce("photo", F.concat_ws(" ", "query_id", "source_ord", "offer_ord")))
+    said = marked.join(said, (F.col("_key") == F.col("_url")) & F.col("photo").isNotNull(), "left")
     v = F.col("_v")
     act = F.when((v == "used") & suspicious(), F.lit("drop")).when(v == "used", F.lit("used")).when((v == "unsure") & suspicious(), F.lit("demote"))
     return _act(said.withColumn("_act", act), offers.columns)

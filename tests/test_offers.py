@@ -196,6 +196,18 @@ def test_report_moves_offers_once(spark):
             assert [s.get(f"{c}_price") for c in ("min", "median", "max")] == [None if one[f"{c}_price"] is None else str(one[f"{c}_price"]) for c in ("min", "median", "max")]
 
 
+def test_photos_mark_offers_once(spark):
+    """Offers are read and marked once, not again for the verdicts' join; of several verdicts on a url the last in order counts, null urls have none."""
+    o = t.fine_offers(spark, "/root/testdata/sf0.001")
+    photos = o.select("url", F.when(F.col("seller") % 2 == 0, "used").otherwise("unsure").alias("verdict")).distinct().toPandas()
+    photos = spark.createDataFrame([*photos.itertuples(index=False, name=None), (None, "used")], "url string, verdict string")
+    got = offers.photo_apply(o, photos)
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    asked = {(r["query_id"], r["url"]): r["seller"] for r in offers.photo_pick(o).collect()}
+    used = {(r["query_id"], r["url"]) for r in got.where("condition = 'used'").collect()}
+    assert used and used <= {k for k, seller in asked.items() if seller % 2 == 0}
+
+
 def test_own_shops_are_looked_up_as_rows(spark):
     """No list of a workspace's shops is searched for each offer, or made for each query."""
     cols = "query_id long, workspace long, seller_id string, seller_slug string, url string, source_url string"
