@@ -26,7 +26,7 @@ from .common import partitions, stage
 
 MOST = 20_000  # pieces in a partition
 FEW = 250  # and at least so many, where there are fewer
-KEPT, TEXTS = 300_000, 1024  # token pieces that a worker keeps between texts, and texts that it encodes at once
+KEPT, TEXTS = 600_000, 1024  # token pieces that a worker keeps between texts, and texts that it encodes at once
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
