@@ -240,7 +240,7 @@ def _contexts(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
     return found.mapInArrow(run, schema)
 
 
-def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
+def _extended(docs: DataFrame, seeds: DataFrame, scope: str, removed: bool = False) -> DataFrame:
     """``seeds`` (places of windows that several documents have) as spans up to the ends of what is shared.
 
     A removed place reaches as far as some earlier document goes on alike, a kept one as far as any
@@ -249,7 +249,7 @@ def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
     every ``STRIDE``-th k, then for those between where places that were alike so far part.  A side on which
     the next window of the text follows without a gap, kept or removed as well, needs no words: that window goes as
     far.  Where windows cover the next ``REACH`` words, two of the places that have the same ones stand for all;
-    where words do, places with the same ones are compared as one.
+    where words do, places with the same ones are compared as one.  With ``removed`` only the removed spans are given, one for a place.
     """
     doc = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("text_key").alias("k"))
     turn = Window.partitionBy("doc_id", "text_key").orderBy("at")
@@ -293,10 +293,12 @@ def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
     places = stage(full.drop("before", "after"), scope)
 
     # Places with the same words on a side are one context there; only contexts are compared.
-    sides = F.explode(F.array(*[F.struct(F.lit(b).alias("back"), F.col(c).alias("ctx")) for b, c in ((True, "ctx_b"), (False, "ctx_a"))]))
-    tops = places.select("place", "doc", sides.alias("s")).select("place", "doc", "s.*").where("ctx IS NOT NULL")
-    tops = tops.groupBy("ctx").agg(F.min(F.struct("doc", "place", "back")).alias("f"), F.max("doc").alias("last"))
-    tops = tops.select("ctx", "last", F.col("f.doc").alias("first"), "f.place", "f.back").join(full.select("place", "component", "before", "after"), "place")
+    def topped(ctx: str, back: bool) -> DataFrame:
+        met = places.where(F.col(ctx).isNotNull()).groupBy(F.col(ctx).alias("ctx")).agg(F.min(F.struct("doc", "place")).alias("f"), F.max("doc").alias("last"))
+        return met.withColumn("back", F.lit(back))
+
+    tops = topped("ctx_b", True).unionByName(topped("ctx_a", False))
+    tops = tops.select("ctx", "last", F.col("f.doc").alias("first"), "f.place", "back").join(full.select("place", "component", "before", "after"), "place")
     contexts = stage(tops.select("ctx", "back", "component", "first", "last", F.when(F.col("back"), F.col("before")).otherwise(F.col("after")).alias("codes")), own)
     release(docs.sparkSession, coded_places)
 
@@ -322,7 +324,7 @@ def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
     reached = stage(reached, scope)
     release(docs.sparkSession, own)
     far = lambda steps: F.coalesce(F.array_max(F.transform(steps, lambda x: x["k"])), F.lit(0))
-    done = places
+    done = places.where("NOT kept") if removed else places
     for c in "ba":
         # A side without words meets nothing; its key is its own, so that such places spread.
         done = done.withColumn("ctx", F.coalesce(f"ctx_{c}", F.xxhash64("place"))).join(reached, "ctx", "left")
@@ -330,6 +332,8 @@ def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
     start, end = F.col("at"), F.col("at") + WINDOW
     span = lambda a, b, kept, first: F.struct(a.cast("int").alias("at"), (b - a).cast("int").alias("words"), kept.alias("kept"), first.alias("first_doc"))
     own, gone = F.col("kept"), ~F.col("kept")
+    if removed:
+        return whole.where("NOT kept").unionByName(done.select("doc_id", "text_key", (start - F.col("rb")).cast("int").alias("at"), (end + F.col("ra") - start + F.col("rb")).cast("int").alias("words"), "component", "kept", "first_doc"))
     spans = F.array(
         span(start - F.when(own, F.col("sb")).otherwise(F.col("rb")), end + F.when(own, F.col("sa")).otherwise(F.col("ra")), own, F.col("first_doc")),
         F.when(gone & (F.col("sb") > F.col("rb")), span(start - F.col("sb"), start - F.col("rb"), F.lit(True), F.col("doc_id"))),
@@ -339,8 +343,8 @@ def _extended(docs: DataFrame, seeds: DataFrame, scope: str) -> DataFrame:
     return whole.unionByName(flat.select("doc_id", "text_key", "s.at", "s.words", "component", "s.kept", "s.first_doc"))
 
 
-def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8, recall: float = 0.999, scope: str = "paragraphs") -> DataFrame:
-    """(doc_id, text_key, at, words, component, kept): units that occur in several documents, windows extended.
+def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8, recall: float = 0.999, scope: str = "paragraphs", removed: bool = False) -> DataFrame:
+    """(doc_id, text_key, at, words, component, kept): units that occur in several documents, windows extended; with ``removed`` those alone that aren't kept.
 
     ``at`` counts words of the text from 0.  The first unit of a component, by doc_id (nulls
     last), then text, then place, is ``kept``; so are those of the component in that document.
@@ -378,7 +382,8 @@ def repeats(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8
     kept = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key"))
     out = stage(out.select("doc_id", "text_key", "at", "words", F.xxhash64("component", "check").alias("component"), kept.alias("kept"), "first_doc"), last)
     release(docs.sparkSession, own)
-    return out.where("words > 0").unionByName(_extended(docs, out.where("words = 0"), last))
+    paragraphs = out.where("words > 0 AND NOT kept" if removed else "words > 0")
+    return paragraphs.unionByName(_extended(docs, out.where("words = 0"), last, removed))
 
 
 def _merged(spans) -> str:
@@ -409,7 +414,7 @@ def remove(docs: DataFrame, least: int = 20, n: int = 5, threshold: float = 0.8,
 
     Documents with nothing to remove are untouched.  Other columns stay.
     """
-    found = repeats(docs, least, n, threshold, recall, scope).where("NOT kept")
+    found = repeats(docs, least, n, threshold, recall, scope, removed=True)
     gone = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("words")).alias("to")))).alias("s"))
     gone = stage(gone.select(F.col("doc_id").alias("__of"), F.col("text_key").alias("__key"), F.expr(_merged("s")).alias("__spans")), scope)
     names = docs.columns

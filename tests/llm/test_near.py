@@ -291,6 +291,17 @@ def test_hot_passage(spark):
     assert all(r["first_doc"] == r["doc_id"] for r in out if not r["removed"]) and len(out) < 10 * 150
 
 
+def test_removed_alone(spark):
+    """`remove` asks for removed spans alone: the same ones, a row a place and no rows made from it."""
+    passage = prose(5, 60).split(" ")
+    docs = make(spark, [(k, prose(k + 100, 40) + " " + " ".join(passage[k % 4 : 60 - k % 3]) + " " + prose(k % 5, 30), "a") for k in range(40)])
+    cells = ("doc_id", "text_key", "at", "words", "component", "first_doc")
+    rows = lambda df: sorted(tuple(r[c] for c in cells) for r in df.collect())
+    alone = paragraphs.repeats(docs, removed=True)
+    assert rows(alone) == rows(paragraphs.repeats(docs).where("NOT kept")) and rows(alone)
+    assert "Generate" not in alone._jdf.queryExecution().optimizedPlan().toString()
+
+
 # --- classifier ------------------------------------------------------------------------------
 
 
