@@ -13,6 +13,14 @@ from . import pages as source
 
 #: Pages of a feed that are read at most, the first included.
 FEED_PAGES = 4
+#: Pages that a worker holds as Python texts at once.
+HELD = 256
+
+
+def _slices(batches):
+    """The same rows in batches of ``HELD`` at most."""
+    for b in batches:
+        yield from (b.slice(at, HELD) for at in range(0, b.num_rows, HELD))
 
 
 def listing_pages(pages: DataFrame, prefix: str = source.LISTING) -> DataFrame:
@@ -20,7 +28,7 @@ def listing_pages(pages: DataFrame, prefix: str = source.LISTING) -> DataFrame:
     kept = [c for c in pages.columns if c != "html"]
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             got = [source.state_record(h, prefix) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array([r for r, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=[*kept, "_record", "error"])
 
