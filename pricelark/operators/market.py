@@ -12,15 +12,15 @@ def strong() -> Column:
     return F.col("confidence") >= vocab.STRONG
 
 
-def _median(counts: DataFrame, keys: list[str], price: str, n: Column, name: str, order: str | None = None) -> DataFrame:
+def _median(counts: DataFrame, keys: list[str], price: str, n: Column, name: str, order: tuple[str, ...] = ()) -> DataFrame:
     """``counts`` (rows of a key, each ``n`` times a price) with the key's ``<name>_total`` and, on the rows that hold them, its middle two prices.
 
     A running count by price finds the places; all windows share one exchange and one
-    sort, and nothing is gathered in a list.  Null prices don't count.  Rows may come in the order of another price
+    sort, and nothing is gathered in a list.  Null prices don't count.  Rows may come in the order of other columns
     (``order``) that puts these, where they aren't null, in theirs.
     """
     w, counted = Window.partitionBy(*keys), F.when(F.col(price).isNotNull(), n).otherwise(0)
-    upto = F.sum(counted).over(w.orderBy(F.col(order or price).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = F.sum(counted).over(w.orderBy(*[F.col(c).asc_nulls_last() for c in order or (price,)]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = counts.withColumn("_upto", upto).withColumn(f"{name}_total", F.sum(counted).over(w)).withColumn("_own", counted)
     holds = lambda at: (F.col("_upto") >= at) & (F.col("_upto") - F.col("_own") < at)
     return placed.withColumn(f"{name}_low", F.when(holds(F.expr(f"({name}_total + 1) DIV 2")), F.col(price))).withColumn(f"{name}_high", F.when(holds(F.expr(f"{name}_total DIV 2") + 1), F.col(price))).drop("_upto", "_own")
@@ -59,12 +59,12 @@ def levels(offers: DataFrame) -> DataFrame:
     return _summed(twice, ["query_id", "of_source", "_at"]).withColumnRenamed("_at", "source")
 
 
-def with_anchor(offers: DataFrame, least: int = vocab.MIN_SAMPLE, key: str = "query_id") -> DataFrame:
+def with_anchor(offers: DataFrame, least: int = vocab.MIN_SAMPLE, key: str = "query_id", order: tuple[str, ...] = ()) -> DataFrame:
     """``offers`` with ``anchor``, the median strong price of the query where it has at least ``least`` of them (else null), and ``n_offers``.
 
     Windows over one exchange by query; offers are not joined with themselves.
     """
-    rows = _median(offers.withColumn("_price", F.when(strong(), F.col("price"))), [key], "_price", F.lit(1), "_s")
+    rows = _median(offers.withColumn("_price", F.when(strong(), F.col("price"))), [key], "_price", F.lit(1), "_s", order)
     w = Window.partitionBy(key)
     middle = money.middle(F.max("_s_low").over(w), F.max("_s_high").over(w))
     out = rows.withColumn("anchor", F.when(F.col("_s_total") >= least, middle)).withColumn("n_offers", F.count(F.lit(1)).over(w))
@@ -83,7 +83,7 @@ def legacy_stats(offers: DataFrame, *keys: str) -> DataFrame:
     counts = _counts(offers, *keys).withColumn("_price", F.when(F.col("_strong"), F.col("price")))
     # Strong prices stand in the order of all prices, so one sort serves both.
     rows = _median(counts, keys, "price", F.col("_n"), "_a")
-    rows = _median(rows, keys, "_price", F.col("_n"), "_s", "price")
+    rows = _median(rows, keys, "_price", F.col("_n"), "_s", ("price",))
     each = rows.groupBy(*keys).agg(
         F.max("_s_total").alias("strong_total"), F.min("_price").alias("s_min"), F.max("_price").alias("s_max"), money.middle(F.max("_s_low"), F.max("_s_high")).alias("s_median"),
         F.min("price").alias("a_min"), F.max("price").alias("a_max"), money.middle(F.max("_a_low"), F.max("_a_high")).alias("a_median"),

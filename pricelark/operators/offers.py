@@ -155,15 +155,18 @@ def single_currency(offers: DataFrame) -> DataFrame:
     Offers of a currency are peers in their query's order, so one exchange and one sort serve all of it.
     """
     by_query = Window.partitionBy("query_id")
-    peers = by_query.orderBy("currency").rangeBetween(Window.currentRow, Window.currentRow)
+    peers = by_query.orderBy(F.col("currency").asc_nulls_last()).rangeBetween(Window.currentRow, Window.currentRow)
     counted = offers.withColumn("_n", F.count(F.lit(1)).over(peers)).withColumn("_seen", F.min(F.struct("source_ord", "offer_ord")).over(peers))
     order = F.struct((F.col("currency") != "UAH").alias("a"), (-F.col("_n")).alias("b"), F.col("_seen").alias("c"), F.col("currency").alias("main"))
     return counted.withColumn("_main", F.min(order).over(by_query)).where(F.col("currency").eqNullSafe(F.col("_main.main"))).select(*offers.columns)
 
 
-def drop_implausible(offers: DataFrame) -> DataFrame:
-    """Without prices of 0 and, in queries of four offers or more, those eight times off the median strong price."""
-    both = market.with_anchor(offers.where("price > 0"), least=1)
+def drop_implausible(offers: DataFrame, single: bool = False) -> DataFrame:
+    """Without prices of 0 and, in queries of four offers or more, those eight times off the median strong price.
+
+    Where each query has a ``single`` currency, rows in the order of currency and price stand by price.
+    """
+    both = market.with_anchor(offers.where("price > 0"), least=1, order=("currency", "price") if single else ())
     checked = (F.col("n_offers") >= vocab.OUTLIER_MIN_OFFERS) & F.col("anchor").isNotNull() & (F.col("anchor") > 0)
     inside = (F.col("price") * vocab.OUTLIER_FACTOR >= F.col("anchor")) & (F.col("price") <= F.col("anchor") * vocab.OUTLIER_FACTOR)
     return both.where(~checked | inside).select(*offers.columns)
@@ -260,7 +263,9 @@ def photo_apply(offers: DataFrame, verdicts: DataFrame) -> DataFrame:
 def collect(offers: DataFrame, rates: DataFrame, verdicts: DataFrame | None = None, checked: DataFrame | None = None, photos: DataFrame | None = None, gate: bool = True) -> DataFrame:
     """All stages after the sources, in the order that results depend on."""
     out = refine(offers, verdicts) if verdicts is not None else offers
-    out = availability_gate(drop_implausible(single_currency(to_uah(out, rates))), gate)
+    # One sort serves the choice of a currency and the median in it.
+    sorted_ = to_uah(out, rates).repartition("query_id").sortWithinPartitions("query_id", F.col("currency").asc_nulls_last(), F.col("price").asc_nulls_last())
+    out = availability_gate(drop_implausible(single_currency(sorted_), single=True), gate)
     out = verify_apply(out, checked) if checked is not None else out
     return photo_apply(out, photos) if photos is not None else out
 
