@@ -41,6 +41,24 @@ def test_names_do_not_meet_by_common_words(spark):
     assert got.count() == got.distinct().count() == 2000 * 4
 
 
+def test_pairs_of_one_table_move_once_and_narrow(spark):
+    """Each two names once, as `similar_names` has them; sets of sizes that no name has get no key; no words move with a pair."""
+    rng = random.Random(7)
+    words = [f"w{i:02}" for i in range(30)]
+    names = [(i, " ".join(rng.choices(words, weights=[300 / (i + 1) for i in range(30)], k=rng.choice([2, 4, 5, 14])))) for i in range(200)]
+    names += [(1000 + i, " ".join(reversed(names[i][1].split()))) for i in range(0, 200, 4)] + [(2000, None), (2001, "")]
+    table = spark.createDataFrame(names, "id long, name string")
+    got = [tuple(r) for r in matching.similar_pairs(table, 0.7).collect()]
+    assert len(got) == len(set(got)) > 50
+    assert set(got) == {tuple(r) for r in matching.similar_names(table, table, 0.7).where("left_id < right_id").collect()}
+    named = matching._named(table, 0.7)
+    assert "t" not in (alike := matching._alike(named, named, 0.7, once=True)).columns
+    assert alike.where("set_left > set_right").count() == 0
+    five = spark.createDataFrame([(["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "e"])], "t array<string>, r array<string>")
+    sizes = spark.createDataFrame([(5,), (14,)], "k int")
+    assert {k.split("\x01")[1] for (k,) in matching._filed(five, 0.7, "left", sizes).where("NOT long").select("key").collect()} == {"5"}
+
+
 def test_code_inside_text(spark):
     rng = random.Random(5)
     codes = [(i, ["BRAND" + "".join(rng.choices("01", k=rng.randrange(1, 5))), "12", None]) for i in range(60)] + [(90, []), (91, None)]
