@@ -3,6 +3,7 @@
 Each stage reads what its predecessor wrote as Parquet.  All but the last return the
 columns of ``documents``; the last returns packed pieces.  What a stage staged in the
 shared folder is deleted when the next one begins, since its result is then written.
+Texts reach Python workers in small Arrow batches, which a stage sets for the session.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ _SCOPES = ("pipeline-quality", "pipeline-jaccard", "pipeline-paragraphs", "pipel
 def _begin(spark: SparkSession, scope: str) -> str:
     for other in _SCOPES:
         common.release(spark, other)
+    common.small_batches(spark)
     return scope
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard, tokens
-from .common import partitions, stage
+from .common import give_back, partitions, stage
 
 MOST = 20_000  # pieces in a partition
 FEW = 250  # and at least so many, where there are fewer
@@ -88,7 +88,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: in
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
     def cut(batches):
-        jaccard._words.clear()  # word hashes of operators before this one, in the same Python worker
+        if jaccard._words:  # of operators before this one, in the same Python worker
+            jaccard._words.clear()
+            give_back()
         enc = tokens.encoder(tokenizer, KEPT)
         for batch in (s for b in batches for s in tokens.slices(b, TEXTS)):
             every, counts = enc.encode_with_end(batch.column("text"), end_id)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard, tokens
+from .common import give_back
 from .tokens import slices
 
 #: Byte classes, one column each: upper, lower, digit, white space, sentence marks, brackets and quotes, other symbols, beyond ASCII.
@@ -123,8 +124,10 @@ def held_out(doc_id: Column) -> Column:
 
 def _make_room() -> None:
     """Drop what operators before this one keep in the same Python worker: token pieces and word hashes, some hundred MB."""
-    tokens._encoders.clear()
-    jaccard._words.clear()
+    if tokens._encoders or jaccard._words:
+        tokens._encoders.clear()
+        jaccard._words.clear()
+        give_back()
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:

@@ -378,3 +378,37 @@ def test_pipeline(spark):
     want = packing.pack(mixing.mix(cleaned), tokenizer_path("word_bpe_49k.json")).collect()
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in want)
     assert {r["doc_id"] for r in rows} <= {d for d, (taken, size) in plan.items() if taken or not size}
+
+
+def test_pipeline_hands_workers_small_batches(spark):
+    """A stage's tasks get 1,024 whole texts at a time at most, not 10,000; fewer where fewer are set."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    try:
+        for own, most in (("10000", 1024), ("0", 1024), ("100", 100)):
+            spark.conf.set(key, own)
+            corpus_pipeline._begin(spark, corpus_pipeline._SCOPES[0])
+            got = spark.range(0, 5000, 1, 1).mapInArrow(rows, "n long").agg(F.max("n"), F.sum("n")).first()
+            assert tuple(got) == (most, 5000)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_quality_drops_what_other_stages_keep():
+    from pricelark.llm import common, jaccard, quality, tokens
+
+    jaccard.shingles("some words of another stage", 3)
+    tokens._encoders["x"] = object()
+    quality._make_room()
+    assert not jaccard._words and not tokens._encoders
+    common.give_back()
