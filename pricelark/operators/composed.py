@@ -33,27 +33,24 @@ def feed_rows(found: DataFrame, first_pages: DataFrame, continuations: DataFrame
     ``first_pages``: url (``part_uri``), html; ``continuations``: token, html, error.  Rows
     have found's columns, ``page``, and those of `pages.feed_offers`.
     """
-    start = found.join(pages.feed_pages(first_pages).where("error IS NULL").select(F.col("url").alias("part_uri"), "token").hint("merge"), "part_uri")
-    read = pages.feed_pages(continuations.select(F.col("token").alias("url"), "html", F.col("error").alias("_failed")))
-    # A token that failed once ends the chain, whatever other rows of it show.
-    good = F.col("error").isNull()
-    told = read.groupBy("url").agg(F.bool_or(F.col("_failed").isNotNull()).alias("_failed"), F.bool_or(good).alias("_read"), F.min(F.when(good, crawl.token_key(F.col("token")))).alias("next"))
-    fine = told.where("_read AND NOT _failed").select(F.col("url").alias("token"), "next", F.lit(None).cast("string").alias("error"))
-    further = crawl.follow(start, fine, most)
-    first = start.withColumn("page", F.lit(0)).join(pages.feed_lists(first_pages).select(F.col("url").alias("part_uri"), "rows").hint("merge"), "part_uri")
-    later_pages = continuations.where("error IS NULL").select(crawl.token_key(F.col("token")).alias("url"), "html").where("url IS NOT NULL")
-    later = further.join(pages.feed_lists(later_pages).select(F.col("url").alias("at"), "rows").hint("merge"), "at").drop("at")
-    whole = first.unionByName(later).drop("token")
-    return pages.offers_of(whole, "own_uri")
-
-
-def feed_source(queries: DataFrame, suggested: DataFrame, first_pages: DataFrame, continuations: DataFrame, most_pages: int = crawl.FEED_PAGES) -> DataFrame:
-    """Offers of the parts feed for each query: those of its first part number whose rows survive the gates.
-
-    ``queries``: query_id, oem_numbers, brand, name, manual.  ``suggested``: query_id, rank (place of the number, from 0), payload.
-    A number without a suggestion, or whose rows are all used or on request, falls back to the
-    next.  Junk goes before the dedupe, which keeps the cheapest row of a maker's code; the
-    first 40 by confidence, then price, stay.
+    of = lambda c: F.element_at("_page", 1)[c]
+    begun = found.join(pages.read_once(pages.feed_lists(first_pages.select(F.col("url").alias("part_uri"), "html")), "part_uri").hint("merge"), "part_uri")
+    # Exploded, a token's conditions stay above the exchange of pages, which the rows share.
+    start = begun.select(*found.columns, F.explode_outer(F.array(F.when(of("is_feed"), of("token")))).alias("token"))
+    # A page that failed isn't read.  A token that failed once ends the chain, whatever other rows of it show.
+    asked = continuations.select(crawl.token_key(F.col("token")).alias("at"), F.col("token").alias("asked"), F.col("error").isNotNull().alias("failed"), F.when(F.col("error").isNull(), F.col("html")).alias("html"))
+    read = pages.read_once(pages.feed_lists(asked), "at")
+    told = read.groupBy(of("asked")).agg(F.min("at").alias("_next"), F.bool_or(of("failed")).alias("_failed"), F.bool_or(of("is_feed")).alias("_read"), F.min(F.when(of("is_feed"), crawl.token_key(of("token")))).alias("_to"))
+    links = told.where("_read AND NOT _failed").groupBy("_next").agg(F.min("_to").alias("_to"))
+    later = crawl.follow_keys(start, links, most).join(read.hint("merge"), "at")
+    whole = [x.select(*found.columns, page.alias("page"), of("rows").alias("rows")) for x, page in ((begun, F.lit(0)), (later, F.col("page")))]
+    return pages.offers_of(whole[0].unionByName(whole[1]), "own_uri")
+
+
+def feed_gated(queries: DataFrame, suggested: DataFrame, first_pages: DataFrame, continuations: DataFrame, most_pages: int = crawl.FEED_PAGES) -> DataFrame:
+    """Rows of the parts feed that survive the gates, for each query and all its part numbers; the tables as `feed_source` has them.
+
+    A query has rows here if and only if `feed_source` has offers for it.
     """
     asked = queries.select("query_id", "brand", "name", "oem_numbers", F.coalesce(F.col("manual"), F.lit(False)).alias("manual"))
     ranked = suggested.where(F.col("rank") < FEED_NUMBERS).select(F.struct("query_id", "rank").alias("query_id"), "payload")
@@ -64,24 +61,36 @@ def feed_source(queries: DataFrame, suggested: DataFrame, first_pages: DataFrame
     found = picked.select("query_id.query_id", "query_id.rank", "part_uri", F.col("title").alias("_suggested"))
     rows = feed_rows(found, first_pages, continuations, most_pages)
     line = row_text(F.col("maker"), F.col("code"), F.col("description"))
-    fine = rows.withColumn("_line", line).where(~F.col("used") & ~text.is_junk(F.col("_line"), F.col("availability")))
+    return rows.withColumn("_line", line).where(~F.col("used") & ~text.is_junk(F.col("_line"), F.col("availability")))
+
+
+def feed_source(queries: DataFrame, suggested: DataFrame, first_pages: DataFrame, continuations: DataFrame, most_pages: int = crawl.FEED_PAGES) -> DataFrame:
+    """Offers of the parts feed for each query: those of its first part number whose rows survive the gates.
+
+    ``queries``: query_id, oem_numbers, brand, name, manual.  ``suggested``: query_id, rank (place of the number, from 0), payload.
+    A number without a suggestion, or whose rows are all used or on request, falls back to the
+    next.  Junk goes before the dedupe, which keeps the cheapest row of a maker's code; the
+    first 40 by confidence, then price, stay.
+    """
+    fine = feed_gated(queries, suggested, first_pages, continuations, most_pages)
     code = text.norm_code(F.col("code"))
     cheapest = F.row_number().over(Window.partitionBy("query_id", "rank", F.coalesce("maker", F.lit("")), code).orderBy("price", "page", "offer_ord"))
-    unique = fine.withColumn("_rn", cheapest).where("_rn = 1").drop("_rn").join(asked.select("query_id", F.transform("oem_numbers", text.norm_code).alias("_exact")).hint("merge"), "query_id")
+    unique = fine.withColumn("_rn", cheapest).where("_rn = 1").drop("_rn").join(queries.select("query_id", F.transform("oem_numbers", text.norm_code).alias("_exact")).hint("merge"), "query_id")
     exact = F.array_contains("_exact", code)
     made = unique.withColumn("confidence", F.when(exact, F.lit(FEED_HIT)).otherwise(F.lit(vocab.ANALOG))).withColumn("is_analog", ~exact)
     top = F.row_number().over(Window.partitionBy("query_id", "rank").orderBy(F.col("confidence").desc(), "price", "page", "offer_ord"))
     kept = first_that_answers(made.withColumn("_top", top).where(F.col("_top") <= FEED_MOST))
     none = F.lit(None).cast("string")
+    # Used rows are gone, so all that are left count as new.
     return kept.select(
         "query_id", F.lit("avtopro").alias("source"), F.lit(1).alias("source_ord"), F.col("_top").cast("long").alias("offer_ord"), F.coalesce(F.nullif("_line", F.lit("")), "_suggested").alias("title"),
         F.col("price").cast(money.MONEY).alias("price"), "currency", none.alias("seller"), F.concat(F.lit(FEED), F.coalesce(F.nullif("own_uri", F.lit("")), "part_uri")).alias("url"), "city", "availability",
-        F.coalesce(text.condition_of(F.col("_line"), F.col("availability")), F.lit("new")).alias("condition"), none.alias("image_url"), "confidence", "is_analog", none.alias("stock"), "rank",
+        F.lit("new").alias("condition"), none.alias("image_url"), "confidence", "is_analog", none.alias("stock"), "rank",
     )
 
 
 def feed_status(queries: DataFrame, offers: DataFrame) -> DataFrame:
-    """(query_id, source, status) of the feed: skipped without a part number, empty without offers, else ok."""
+    """(query_id, source, status) of the feed: skipped without a part number, empty without offers (or rows of `feed_gated`), else ok."""
     some = offers.select("query_id").distinct().withColumn("_some", F.lit(True))
     status = F.when(F.coalesce(F.size("oem_numbers"), F.lit(0)) <= 0, F.lit("skipped")).when(F.col("_some"), F.lit("ok")).otherwise(F.lit("empty"))
     return queries.join(some.hint("merge"), "query_id", "left").select("query_id", F.lit("avtopro").alias("source"), status.alias("status"))

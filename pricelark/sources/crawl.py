@@ -92,8 +92,13 @@ def follow(starts: DataFrame, continuations: DataFrame, most: int = FEED_PAGES)
     grows with ``most`` and pages are parsed once; a chain that leads back to itself ends at ``most``.
     """
     fine = continuations.where("error IS NULL").groupBy(token_key(F.col("token")).alias("_next")).agg(F.min(token_key(F.col("next"))).alias("_to"))
+    return follow_keys(starts, fine, most)
+
+
+def follow_keys(starts: DataFrame, links: DataFrame, most: int = FEED_PAGES) -> DataFrame:
+    """`follow` over ``links`` that are ready: _next and _to, `token_key` of a page's token and of its own, each _next once."""
     # Both columns are needed at each step, the last one too, or its links would be another exchange.
-    known = fine.where("_next IS NOT NULL").select("_next", F.struct("_to").alias("_page")).hint("merge")
+    known = links.where("_next IS NOT NULL").select("_next", F.struct("_to").alias("_page")).hint("merge")
     chain = starts.withColumn("_next", token_key(F.col("token"))).withColumn("_ats", F.array().cast("array<string>"))
     if most < 2:
         chain = chain.where(F.lit(False))
