@@ -15,6 +15,9 @@ from ..functions import money, text, urls, vocab
 from . import market
 from .matching import containing_code, similar_names  # noqa: F401  (they are looked for here too)
 
+#: Tasks that queries are dealt to by their lists of shops; some ten different lists of 100 KB are a Parquet dictionary.
+OWNER_PARTS = 200
+
 
 def drop_junk(offers: DataFrame) -> DataFrame:
     """Without used parts and prices on request.  Comes before the dedupe."""
@@ -46,15 +49,30 @@ def _own_seller(queries: DataFrame) -> tuple[Column, Column]:
 
 
 def query_owners(queries: DataFrame, owners: DataFrame) -> DataFrame:
-    """(query_id, seller_ids, seller_slugs): the workspace's own shops (`owner_identity`) united with the listing's own seller.
+    """(query_id, seller_ids, seller_slugs): the workspace's own shops (`owner_identity`) united with the listing's own seller; both tables as `owner_lists` has them."""
+    return each_query(owner_lists(queries, owners))
+
+
+def each_query(lists: DataFrame) -> DataFrame:
+    """Rows of `owner_lists` for each query, query_id in place of ``queries``."""
+    return lists.select(F.explode("queries").alias("q"), *[c for c in lists.columns if c != "queries"]).select("q.query_id", *[c for c in lists.columns if c != "queries"])
+
+
+def owner_lists(queries: DataFrame, owners: DataFrame, parts: int = OWNER_PARTS) -> DataFrame:
+    """(queries, seller_ids, seller_slugs): `query_owners` for queries of a workspace whose listings have the same seller, taken together.
 
     ``queries`` has query_id, workspace and, as far as they are known, seller_id and seller_slug (of the listing's
-    raw data), owner_seller_id and owner_seller_slug (of its export host).  A workspace's shops are sorted once, not for each
-    query; queries are dealt out before their rows grow by them.
+    raw data), owner_seller_id and owner_seller_slug (of its export host).  Lists are as long as a workspace has shops, so they are
+    made once for many queries and not moved afterwards.  ``parts`` tasks take the queries in the order of their lists: rows of one list
+    lie together, and a file that keeps repeated values once (as Parquet does) grows with the different lists, not with their rows.
     """
     none = F.array().cast("array<string>")
     ids, slugs = _own_seller(queries)
-    asked = queries.select("query_id", "workspace", F.array_distinct(ids).alias("_ids"), F.array_distinct(slugs).alias("_slugs")).repartition("query_id")
+    # A part of a list's queries, so that no list of queries is long and no task has all of a frequent list.
+    dealt = queries.select("query_id", "workspace", ids.alias("_ids"), slugs.alias("_slugs")).repartition("query_id")  # the order is found by a look at all queries, which aren't made twice for it
+    asked = dealt.select(F.struct("query_id").alias("query"), "workspace", *[F.sort_array(F.array_distinct(c)).alias(c) for c in ("_ids", "_slugs")], F.pmod(F.xxhash64("query_id"), F.lit(max(parts // 8, 1))).alias("_part"))
+    key = ("workspace", "_ids", "_slugs", "_part")
+    same = asked.repartitionByRange(parts, *key).groupBy(*key).agg(F.collect_list("query").alias("queries"))
     listed = owners.select("workspace", *[F.sort_array(F.array_distinct(F.array_compact(F.coalesce(c, none)))).alias(c) for c in ("seller_ids", "seller_slugs")])
 
     def both(name, more):
@@ -62,7 +80,7 @@ def query_owners(queries: DataFrame, owners: DataFrame) -> DataFrame:
         new = F.filter(more, lambda x: ~F.array_contains(had, x))
         return F.when(F.size(new) == 0, had).otherwise(F.sort_array(F.concat(had, new))).alias(name)
 
-    return asked.join(listed, "workspace", "left").select("query_id", both("seller_ids", "_ids"), both("seller_slugs", "_slugs"))
+    return same.join(listed, "workspace", "left").select("queries", both("seller_ids", "_ids"), both("seller_slugs", "_slugs"))
 
 
 def drop_own_products(offers: DataFrame, owners: DataFrame, key: str = "workspace") -> DataFrame:

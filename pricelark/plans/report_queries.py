@@ -135,8 +135,8 @@ SELECT k AS query_id, (SELECT string_agg(v, ',' ORDER BY v) FROM i WHERE i.k = o
 )
 def query_owners(spark, d):
     """House, workspace and the listing's own seller, united for each query."""
-    got = offers.query_owners(_owned_queries(spark, d), m._owners(spark, d))
-    return got.select("query_id", F.array_join("seller_ids", ",").alias("seller_ids"), F.array_join("seller_slugs", ",").alias("seller_slugs"))
+    got = offers.owner_lists(_owned_queries(spark, d), m._owners(spark, d))
+    return offers.each_query(got.select("queries", F.array_join("seller_ids", ",").alias("seller_ids"), F.array_join("seller_slugs", ",").alias("seller_slugs")))
 
 
 def _found(spark, d):
