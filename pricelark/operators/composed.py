@@ -72,9 +72,10 @@ def feed_source(queries: DataFrame, suggested: DataFrame, first_pages: DataFrame
     next.  Junk goes before the dedupe, which keeps the cheapest row of a maker's code; the
     first 40 by confidence, then price, stay.
     """
-    fine = feed_gated(queries, suggested, first_pages, continuations, most_pages)
-    code = text.norm_code(F.col("code"))
-    cheapest = F.row_number().over(Window.partitionBy("query_id", "rank", F.coalesce("maker", F.lit("")), code).orderBy("price", "page", "offer_ord"))
+    # Dealt out by query once: its own windows and the join all need no more.
+    fine = feed_gated(queries, suggested, first_pages, continuations, most_pages).withColumn("_code", text.norm_code(F.col("code"))).withColumn("_maker", F.coalesce("maker", F.lit(""))).repartition("query_id")
+    code = F.col("_code")
+    cheapest = F.row_number().over(Window.partitionBy("query_id", "rank", "_maker", "_code").orderBy("price", "page", "offer_ord"))
     unique = fine.withColumn("_rn", cheapest).where("_rn = 1").drop("_rn").join(queries.select("query_id", F.transform("oem_numbers", text.norm_code).alias("_exact")).hint("merge"), "query_id")
     exact = F.array_contains("_exact", code)
     made = unique.withColumn("confidence", F.when(exact, F.lit(FEED_HIT)).otherwise(F.lit(vocab.ANALOG))).withColumn("is_analog", ~exact)
