@@ -55,7 +55,8 @@ def query_owners(queries: DataFrame, owners: DataFrame) -> DataFrame:
 
 def each_query(lists: DataFrame) -> DataFrame:
     """Rows of `owner_lists` for each query, query_id in place of ``queries``."""
-    return lists.select(F.explode("queries").alias("q"), *[c for c in lists.columns if c != "queries"]).select("q.query_id", *[c for c in lists.columns if c != "queries"])
+    # The transform's lambda keeps the step out of generated code, which would hold all rows of a list, each with its copy of it, before the first goes on.
+    return lists.select(F.explode(F.transform("queries", lambda q: q["query_id"])).alias("query_id"), *[c for c in lists.columns if c != "queries"])
 
 
 def owner_lists(queries: DataFrame, owners: DataFrame, parts: int = OWNER_PARTS) -> DataFrame:

@@ -285,6 +285,8 @@ def test_queries_of_one_list_lie_together(spark, tmp_path):
     want = {(q, ",".join((shops if w == 0 else []) + ([s] if s else []))) for q, w, s in asked}
     rows = [tuple(r) for r in joined.collect()]
     assert len(rows) == len(asked) and set(rows) == want
+    steps = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode" in line]
+    assert steps and not any("*(" in line for line in steps), "all rows of a list would be held at once"
     plain = sum(len(ids) for _, ids in rows)
     joined.write.option("parquet.dictionary.page.size", 131072).option("compression", "none").parquet(f"{tmp_path}/owners")
     assert sum(p.stat().st_size for p in (tmp_path / "owners").glob("*.parquet")) < plain / 4
